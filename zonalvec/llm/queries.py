@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op6_benchmark_decontamination
+from .fingerprint import op1_document_fingerprints
 from .packing import op7_packing
 from .sharding import op2_sharding
 from .simhash import op10_simhash_near_dedup
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sharding": op2_sharding,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
