@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
+from .licenses import op3_license_scan
 from .packing import op7_packing
 from .sharding import op2_sharding
 from .simhash import op10_simhash_near_dedup
@@ -11,6 +12,7 @@ from .simhash import op10_simhash_near_dedup
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
