@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
+from .language import op9_language_id
 from .licenses import op3_license_scan
 from .packing import op7_packing
 from .sharding import op2_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
+    "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
