@@ -7,6 +7,7 @@ from .fingerprint import op1_document_fingerprints
 from .language import op9_language_id
 from .licenses import op3_license_scan
 from .packing import op7_packing
+from .quality import op4_quality_classifier
 from .sharding import op2_sharding
 from .simhash import op10_simhash_near_dedup
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
