@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .archives import op5_warc_archives
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
 from .language import op9_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc_archives": op5_warc_archives,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
