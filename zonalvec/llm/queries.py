@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .archives import op5_warc_archives
+from .chat import op8_chat_formatting
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
 from .language import op9_language_id
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc_archives": op5_warc_archives,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
