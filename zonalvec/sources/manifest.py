@@ -32,7 +32,7 @@ def entries(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(ord, rel_path, class_name); strict fails on a line without a class, otherwise see ``rejected``."""
     rows = parsed(lines)
     if strict:
-        rows = rows.withColumn("rel_path", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("rel_path")))
+        rows = rows.withColumn("rel_path", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("rel_path")))
         return rows.drop("error")
     return rows.filter("error is null").drop("error")
 
