@@ -91,7 +91,8 @@ def with_successors(docs: DataFrame) -> DataFrame:
     dealt = rows.join(F.broadcast(leads), "bucket").select(
         F.explode(F.when(F.col("key") == F.col("first"), F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("guest"))))
                   .otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest"))))).alias("to"), "key", "text",
-    ).select("to.bucket", "to.guest", "key", "text")
+    ).select(F.coalesce("to.bucket", F.lit(0)).alias("bucket"), "to.guest", "key", "text")
+    # The bucket is never null, and so no filter keeps the two uses of this exchange from being one.
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
     placed = dealt.repartition(parts, "bucket")
