@@ -8,6 +8,7 @@ from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
 from .language import op9_language_id
 from .licenses import op3_license_scan
+from .oracles import ORACLE_SQL
 from .packing import op7_packing
 from .quality import op4_quality_classifier
 from .sharding import op2_sharding
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
