@@ -12,7 +12,9 @@ an empty one; documents follow the order of the input's partitions, so results r
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,8 +28,8 @@ from .common import materialise, table
 
 WINDOW = 4096
 END_ID = 2
-#: Entries of each of a worker's two caches; they are emptied when full.
-CACHE = 400_000
+#: Entries of a worker's caches of space-separated chunks and of pieces; they are emptied when full.
+CHUNKS, PIECES = 700_000, 500_000
 #: Rows a task tokenises together.
 TOGETHER = 64
 
@@ -45,6 +47,22 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """What ``make`` gives for a key, kept for short keys; emptied when full."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Exact ids of whole texts with pieces cached.
 
@@ -60,41 +78,36 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks = _Memo(self._chunk, CHUNKS)
+        self.pieces = _Memo(self._piece, PIECES)
         self.end = self._bytes([end_id])
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        made = array(self.code, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if (found := self.pieces.get(piece)) is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = self._bytes([t.id for t in self.model.tokenize(shown)])
-            if len(piece) < 64:
-                self.pieces[piece] = found
-        return found
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if chunk.isprintable() and max(chunk) < "\u0100" and "<|" not in chunk:
-            return b"".join(map(self._piece, self.pattern.findall(chunk.lower())))
+            low = chunk.lower()
+            return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self.split(low)])
         return self._bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text and the end id."""
-        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
-            self.chunks, self.pieces = {"": b""}, {}
-        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
-        known, long = self.chunks, {}
-        for chunk in set().union(*split).difference(known):
-            (known if len(chunk) < 64 else long)[chunk] = self._chunk(chunk)
-        if long:
-            known = known | long
-        get = known.__getitem__
-        return [b"".join(map(get, s)) + self.end for s in split]
+    def encode(self, text: str) -> bytes:
+        """Little-endian ids of the text and the end id."""
+        parts = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+        return b"".join(map(self.chunks.__getitem__, parts)) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -108,12 +121,12 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         if (path, end_id) not in _encoders:
             _encoders[path, end_id] = Encoder(path, end_id)
         coder = _encoders[path, end_id]
-        part, before, width = TaskContext.get().partitionId(), 0, coder.dtype.itemsize
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(i, TOGETHER)
-                ids = coder.encode([t or "" for t in some.column(1).to_pylist()])
-                n = [len(x) // width for x in ids]
+                ids = [coder.encode(t or "") for t in some.column(1).to_pylist()]
+                n = [len(x) // coder.width for x in ids]
                 starts = list(accumulate(n, initial=before))
                 before = starts.pop()
                 yield pa.RecordBatch.from_arrays(
