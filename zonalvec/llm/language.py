@@ -38,8 +38,6 @@ PIECE = 1 << 18
 CERTAIN_BYTES = 64
 
 _LETTER = re.compile(r"[^\W\d_]")
-_models: dict[str, Model] = {}
-
 
 def _grams(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(language, gram, count) of a batch: grams are the last four bytes, zeros before a text's first."""
@@ -127,9 +125,8 @@ class Model:
         return self.languages[best], float(1 / np.exp2(bits[best] - bits).sum())
 
 
-def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS):
-    """-> (languages, broadcast of the counts, its key). Only rows of the training folds are read."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
+    """The model, made once on the driver from the counts. Only rows of the training folds are read."""
     training = docs.filter((row_id_fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}  # one row a language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
@@ -144,23 +141,19 @@ def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS):
     languages = sorted(set(got["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     lang = np.fromiter(map(number.__getitem__, got["lang"].to_pylist()), np.int16, len(got))
-    data = (languages, lang, got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy())
-    return spark.sparkContext.broadcast(data), f"{id(data)}-{len(lang)}-{int(data[3].sum())}"
+    return Model(languages, lang, got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy())
 
 
-def identify(docs: DataFrame, model=None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """-> row (struct of docs' columns), lang_pred, score."""
     from pyspark.sql import types as T
 
-    sent, key = model or fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*sent.value)
         for batch in batches:
-            got = [_models[key].predict(t.as_py()) for t in batch.column(0).field("text")]
+            got = [sent.value.predict(t.as_py()) for t in batch.column(0).field("text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
 
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)

@@ -2,8 +2,8 @@
 
 A text's terms are its pairs of adjacent byte classes (tf-idf, unit length) and a few shares of its shape
 (repeated neighbours, capitals, digits, symbols, line ends). A truncated singular value decomposition of the
-labelled sample's matrix gives the latent space. The sample's vectors are sent to all tasks; every document's
-cosines to all of them are computed in blocks, and its score is the share of label 1 among the nearest
+labelled sample's matrix gives the latent space. The space is fitted once, on the driver, and its basis and the sample's vectors
+(``DIMENSIONS`` values each) are sent to all tasks; every document's cosines to all of them are computed in blocks, and its score is the share of label 1 among the nearest
 ``NEIGHBOURS``, weighted by a power of the cosine.
 
 The sample holds about ``SAMPLE_TEXTS`` labelled training documents at most, chosen by a hash of their ids;
@@ -75,10 +75,11 @@ class Space:
         order = np.argsort(ids, kind="stable")
         self.labels = np.array(labels, float)[order]
         self.prior = float(self.labels.mean()) if len(order) else 0.5
-        made = [features(texts[i]) for i in order]
-        counts = np.array([m[0] for m in made], np.float32).reshape(len(made), -1)
-        self.idf = (np.log((len(made) + 1) / ((counts > 0).sum(0) + 1)) + 1).astype(np.float32) if made else np.ones(CLASSES * CLASSES, np.float32)
-        matrix = self._weighted(counts, np.array([m[1] for m in made])) if made else np.zeros((0, 1), np.float32)
+        counts, shape = np.zeros((len(order), CLASSES * CLASSES), np.float32), np.zeros((len(order), 5))
+        for row, i in enumerate(order):
+            counts[row], shape[row] = features(texts[i])
+        self.idf = (np.log((len(order) + 1) / ((counts > 0).sum(0) + 1)) + 1).astype(np.float32)
+        matrix = self._weighted(counts, shape)
         # Left singular vectors from the small Gram matrix of the sample; then the right ones.
         values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
         keep = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-6]
@@ -90,13 +91,15 @@ class Space:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
     def _weighted(self, counts: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        return np.hstack([self._unit(np.log1p(counts.astype(np.float32)) * self.idf), (SHAPE_WEIGHT * shape).astype(np.float32)])
+        return np.hstack([self._unit(np.log1p(counts) * self.idf), (SHAPE_WEIGHT * shape).astype(np.float32)])
 
     def scores(self, texts: list[str | None], neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
-        made = [features(t) for t in texts]
-        own = self._unit(self._weighted(np.array([m[0] for m in made]), np.array([m[1] for m in made])) @ self.basis)
+        counts, shape = np.zeros((len(texts), CLASSES * CLASSES), np.float32), np.zeros((len(texts), 5))
+        for row, text in enumerate(texts):
+            counts[row], shape[row] = features(text)
+        own = self._unit(self._weighted(counts, shape) @ self.basis)
         cosine = np.round((own @ self.vectors.T).astype(np.float64), 6)
         k = min(neighbours, len(self.labels))
         ranked = cosine - np.arange(len(self.labels)) * 1e-10
@@ -107,35 +110,27 @@ class Space:
         return np.clip(np.round(np.where(total > 0, votes, self.prior), 6), 0, 1)
 
 
-_spaces: dict[str, Space] = {}
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS):
-    """-> (broadcast of the bounded labelled sample, its key)."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Space:
+    """The space of the bounded labelled sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     training = known.filter(row_id_fold("doc_id", FOLDS) != HELD_OUT)
     rate = min(1.0, sample_texts / max(1, training.count()))
     chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(rate * 1_000_000))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
-    data = (sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["quality"].to_pylist())
-    return spark.sparkContext.broadcast(data), f"{id(data)}-{len(data[0])}-{sum(data[0])}"
+    return Space(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["quality"].to_pylist())
 
 
-def scored(docs: DataFrame, model) -> DataFrame:
+def scored(docs: DataFrame, space: Space) -> DataFrame:
     """-> row (struct of docs' columns), score."""
-    sent, key = model
+    sent = docs.sparkSession.sparkContext.broadcast(space)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _spaces:
-            _spaces.clear()
-            _spaces[key] = Space(*sent.value)
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(i, BLOCK)
                 rows = some.column(0)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(_spaces[key].scores(rows.field("text").to_pylist()))], ["row", "score"])
+                yield pa.RecordBatch.from_arrays([rows, pa.array(sent.value.scores(rows.field("text").to_pylist()))], ["row", "score"])
 
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
 
