@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,25 +29,27 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 _FIND = re.compile(WORD)
-#: A-Z are lower-cased here, so that a text's length never changes.
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: For UTF-8 bytes: A-Z lower-cased, other ASCII but digits and letters to blanks; bytes of longer characters stay.
+_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 #: One automaton for each block and Python worker.
 _built: dict[str, tuple] = {}
 
 
 def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    """A-Z lower-cased; the text's length stays the same."""
+    return text.encode().lower().decode()
 
 
-def words(text: str | None) -> list[str]:
-    return _FIND.findall(ascii_lower(text)) if text else []
+def words(text: str | None) -> list[bytes]:
+    """The words in UTF-8."""
+    return text.encode().translate(_BYTES).split() if text else []
 
 
 def _automaton(items: list[tuple[str, str]], window: int) -> tuple:
     """items: (item_id, text). -> word numbers, automaton whose values are (words in the window, item ids)."""
     import ahocorasick
 
-    numbers: dict[str, int] = {}
+    numbers: dict[bytes, int] = {}
     patterns: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
         ids = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
@@ -60,13 +63,13 @@ def _automaton(items: list[tuple[str, str]], window: int) -> tuple:
     return numbers, found if patterns else None
 
 
-def occurrences(text: str | None, numbers: dict[str, int], automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
+def occurrences(text: str | None, numbers: dict[bytes, int], automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
     """-> words in the text, merged word spans [first, end) that windows cover, ids of the items they belong to."""
     own = words(text)
     if automaton is None or not own:
         return len(own), [], set()
     spans, who = [], set()
-    for last, (size, items) in automaton.iter(tuple([numbers.get(w, 0) for w in own])):
+    for last, (size, items) in automaton.iter(tuple(map(numbers.get, own, repeat(0)))):
         spans.append((last - size + 1, last + 1))
         who |= items
     return len(own), merge(spans), who
