@@ -34,7 +34,7 @@ NEXT: dict[str | None, tuple[str, ...]] = {None: ("system", "user"), "system": (
 LAST = ("assistant",)
 STATES: tuple[str | None, ...] = (None, *ROLES)
 #: Costs of a merge of a turn with the same role, of a change of role and of an empty turn.
-MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
+MERGE, RELABEL, INSERT = 1.0, 5.0, 3.0
 ROWS_LEAST, ROWS_MOST, BLOCKS = 1024, 65_536, 1 << 15
 
 

@@ -70,7 +70,8 @@ class Model:
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.languages = languages
-        seen = np.unique(gram & 255)  # bytes that occur; the others share a symbol, since all their statistics are equal
+        # Bytes that occur, and zero, which stands before a text; the others share symbol 0, since their statistics are equal.
+        seen = np.unique(np.r_[gram & 255, 0])
         self.symbols = len(seen) + 1
         self.symbol = np.zeros(256, np.int64)
         self.symbol[seen] = np.arange(1, self.symbols)
