@@ -1,8 +1,10 @@
 """Compare a query with its SQL."""
 
 import os
+from numbers import Number
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,6 +18,13 @@ def connection(folder):
     return con
 
 
+def _plain(value):
+    """Text of a value; a number's does not depend on its type."""
+    if pd.isna(value):
+        return "none"
+    return repr(float(value)) if isinstance(value, Number) and not isinstance(value, bool) else str(value)
+
+
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(tuple("None" if v is None or v != v else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
+    return columns, sorted(tuple(map(_plain, r)) for r in frame[columns].astype(object).itertuples(index=False))
