@@ -19,6 +19,7 @@ from ..model import assemble
 
 V = "v"
 PERCENTILES = (10, 25, 50, 75, 90)
+QUARTILES = (0.25, 0.5, 0.75)
 P, EPS = 3.0, 1e-6
 
 
@@ -31,8 +32,10 @@ def least() -> Column:
     return _nan_if_any(F.min(V))
 
 
-def percentile(q: float) -> Column:
-    return _nan_if_any(F.percentile(V, F.lit(q)))
+def percentile(q: float, of: tuple[float, ...] | None = None) -> Column:
+    """One of several percentiles (shares of 1). Blocks that name the same ones share one aggregate and its values."""
+    of = of or (q,)
+    return _nan_if_any(F.percentile(V, F.array(*map(F.lit, of)))[of.index(q)])
 
 
 def _positive(p: float) -> float:
@@ -75,7 +78,8 @@ class Pooler:
 
 
 def percentiles(of: Iterable[float] = PERCENTILES) -> Pooler:
-    return Pooler("percentiles", tuple((lambda q=q: percentile(q / 100.0)) for q in of))
+    shares = tuple(q / 100.0 for q in of)
+    return Pooler("percentiles", tuple((lambda q=q: percentile(q, shares)) for q in shares))
 
 
 def gem(p: float = P) -> Pooler:
@@ -110,7 +114,7 @@ POOLERS: dict[str, Pooler] = {
     for p in (
         Pooler("mean", (_mean,)), Pooler("std", (_std,)), Pooler("mean_std", (_mean, _std)), Pooler("stats", (least, _max, _mean, _std)), Pooler("max", (_max,)),
         gem(), signed_gem(), Pooler("mean_max", (_mean, _max)), percentiles(), centre_weighted(),
-        Pooler("median_iqr", (lambda: percentile(0.5), lambda: percentile(0.75) - percentile(0.25))), Pooler("min", (least,)),
+        Pooler("median_iqr", (lambda: percentile(0.5, QUARTILES), lambda: percentile(0.75, QUARTILES) - percentile(0.25, QUARTILES))), Pooler("min", (least,)),
     )
 }
 COVARIANCE = "flattened_cov"

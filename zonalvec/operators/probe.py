@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import sanitize
-from .metrics import METRICS, metrics, summary
-from .sampling import bootstrap
+from ..storage import written
+from .metrics import METRICS, metrics
+from .sampling import bootstrap, size_curve
 
 #: Values (8 bytes each) of a block of queries that is sent to all tasks.
 QUERY_VALUES = 4_000_000
@@ -44,11 +45,11 @@ def _blocks(test: DataFrame):
         yield np.array(ids, np.int64), np.array(vectors)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
+def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None) -> DataFrame:
     """(q, train_id, label, dist, rank): the k nearest training rows of every test row by cosine distance, rounded to
-    nine digits; ties go to the smaller id."""
+    nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key."""
     spark = test.sparkSession
-    known = unit(clean(train)).select("row_id", "label", "features")
+    known = unit(clean(train)).select("row_id", "label", (F.col(key) if key else F.lit(0)).cast("long").alias("key"), "features")
     parts = []
     for ids, queries in _blocks(test):
         sent = spark.sparkContext.broadcast((ids, queries))
@@ -56,22 +57,20 @@ def neighbours(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
         def nearest(batches, sent=sent):
             own, vectors = sent.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                near = np.round(1.0 - vectors @ np.stack(batch["features"].to_numpy()).T, DIGITS)
-                train_ids, labels = batch["row_id"].to_numpy(), batch["label"].to_numpy()
-                by_id = np.argsort(train_ids, kind="stable")
-                order = by_id[np.argsort(near[:, by_id], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"q": np.repeat(own, order.shape[1]), "train_id": train_ids[order].ravel(), "label": labels[order].ravel(), "dist": np.take_along_axis(near, order, 1).ravel()})
-
-        parts.append(known.mapInPandas(nearest, "q long, train_id long, label int, dist double"))
-    if not parts:
-        return spark.createDataFrame([], "q long, train_id long, label int, dist double, rank int")
-    found = parts[0]
+                for group, rows in batch.groupby("key"):
+                    near = np.round(1.0 - vectors @ np.stack(rows["features"].to_numpy()).T, DIGITS)
+                    train_ids, labels = rows["row_id"].to_numpy(), rows["label"].to_numpy()
+                    by_id = np.argsort(train_ids, kind="stable")
+                    order = by_id[np.argsort(near[:, by_id], axis=1, kind="stable")[:, :k]]
+                    yield pd.DataFrame({"key": group, "q": np.repeat(own, order.shape[1]), "train_id": train_ids[order].ravel(), "label": labels[order].ravel(), "dist": np.take_along_axis(near, order, 1).ravel()})
+
+        parts.append(known.mapInPandas(nearest, "key long, q long, train_id long, label int, dist double"))
+    found = parts[0] if parts else spark.createDataFrame([], "key long, q long, train_id long, label int, dist double")
     for p in parts[1:]:
         found = found.unionAll(p)
-    order = Window.partitionBy("q").orderBy("dist", "train_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("key", "q").orderBy("dist", "train_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumnRenamed("key", key) if key else ranked.drop("key")
 
 
 def vote(found: DataFrame, *keys: str, weight=None) -> DataFrame:
@@ -84,11 +83,12 @@ def truth(test: DataFrame) -> DataFrame:
     return test.select(F.col("row_id").alias("q"), F.col("label").alias("y"))
 
 
-def evaluate_knn(test: DataFrame, train: DataFrame, ks: list[int]) -> DataFrame:
-    """The five metrics for every k; neighbours are ranked once."""
+def evaluate_knn(test: DataFrame, train: DataFrame, ks: list[int], key: str | None = None) -> DataFrame:
+    """The five metrics for every k (and key of the training rows); neighbours are ranked once."""
+    keys = [key] if key else []
     grid = F.explode(F.array(*map(F.lit, sorted(ks)))).alias("k")
-    voting = neighbours(test, train, max(ks)).select("*", grid).filter(F.col("rank") <= F.col("k"))
-    return metrics(vote(voting, "k").join(truth(test), "q"), "k")
+    voting = neighbours(test, train, max(ks), key).select("*", grid).filter(F.col("rank") <= F.col("k"))
+    return metrics(vote(voting, "k", *keys).join(truth(test), "q"), "k", *keys)
 
 
 def bootstrap_knn(test: DataFrame, train: DataFrame, k: int, reps: int, seed: int = 42, margin: int = 16) -> DataFrame:
@@ -197,22 +197,18 @@ def bootstrap_linear(test: DataFrame, train: DataFrame, reps: int, c: float = 1.
 
 def sweep(features: DataFrame, methods: dict[str, DataFrame], ks: list[int], sizes: list[int], seed: int = 42) -> DataFrame:
     """kNN metrics for methods x split types x training sizes x k. features: the labelled splits (row_id, label,
-    split_type, role); methods: name -> (row_id, features)."""
-    from .sampling import size_curve
-
+    split_type, role); methods: name -> (row_id, features). A method's vectors are made once; all sizes and k of a
+    method and split come from one ranking."""
     out = None
     splits = [r[0] for r in features.select("split_type").distinct().orderBy("split_type").collect()]
+    labelled = features.select("row_id", "label", "split_type", "role")
     for name, vectors in methods.items():
-        rows = features.drop("features").join(vectors, "row_id")
+        rows = written(labelled.join(vectors.select("row_id", "features"), "row_id"), "sweep")
         for split in splits:
             own = rows.filter(F.col("split_type") == split)
-            test, known = own.filter("role = 'test'"), own.filter("role = 'train'")
-            for n in sizes:
-                train = size_curve(known, [n], seed)
-                used = train.agg(F.count(F.lit(1)).alias("train_samples"))
-                one = evaluate_knn(test, train, ks).crossJoin(F.broadcast(used))
-                one = one.select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), F.lit(n).alias("n_train"), "k", "train_samples", *METRICS)
-                out = one if out is None else out.unionByName(one)
+            train = size_curve(own.filter("role = 'train'"), sizes, seed)
+            used = train.groupBy("n_train").agg(F.count(F.lit(1)).alias("train_samples"))
+            one = evaluate_knn(own.filter("role = 'test'"), train, ks, "n_train").join(F.broadcast(used), "n_train")
+            one = one.select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), F.col("n_train").cast("int").alias("n_train"), "k", "train_samples", *METRICS)
+            out = one if out is None else out.unionByName(one)
     return out
-
-

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def seeded_hash(seed: int, *parts: str | Column) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
@@ -47,7 +49,8 @@ def bootstrap(rows: DataFrame, reps: int, seed: int = 42, label: str = "label",
 
 def in_seeded_order(rows: DataFrame, seed: int = 42, key: str = "row_id") -> DataFrame:
     """rows with ``ord``: their place in a seeded shuffle."""
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(seeded_hash(seed, key), key)))
+    hashed = rows.withColumn("_hash", seeded_hash(seed, key))
+    return numbered(hashed, "_hash", key, name="ord")[0].withColumn("ord", F.col("ord") + 1).drop("_hash")
 
 
 def size_curve(rows: DataFrame, sizes: list[int], seed: int = 42) -> DataFrame:
