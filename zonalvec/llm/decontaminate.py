@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ _FIND = re.compile(WORD)
 #: For UTF-8 bytes: A-Z lower-cased, other ASCII but digits and letters to blanks; bytes of longer characters stay.
 _BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 #: One automaton for each block and Python worker.
-_built: dict[str, tuple] = {}
+_built: dict[str, Windows] = {}
 
 
 def ascii_lower(text: str) -> str:
@@ -45,34 +46,50 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_BYTES).split() if text else []
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> tuple:
-    """items: (item_id, text). -> word numbers, automaton whose values are (words in the window, item ids)."""
-    import ahocorasick
-
-    numbers: dict[bytes, int] = {}
-    patterns: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            patterns.setdefault(tuple(ids[i : i + window]), set()).add(item)
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, who in patterns.items():
-        found.add_word(key, (len(key), frozenset(who)))
-    if patterns:
-        found.make_automaton()
-    return numbers, found if patterns else None
-
-
-def occurrences(text: str | None, numbers: dict[bytes, int], automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """-> words in the text, merged word spans [first, end) that windows cover, ids of the items they belong to."""
-    own = words(text)
-    if automaton is None or not own:
-        return len(own), [], set()
-    spans, who = [], set()
-    for last, (size, items) in automaton.iter(tuple(map(numbers.get, own, repeat(0)))):
-        spans.append((last - size + 1, last + 1))
-        who |= items
-    return len(own), merge(spans), who
+class Windows:
+    """The automaton over all windows of some items, and what each window belongs to.
+
+    A word's number is spelt in digits of base 64 with a range of their own for each place, since a node's
+    edges are searched one after the other; a node then has 64 edges at most, whatever the vocabulary.
+    """
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        patterns: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
+            for i in range(max(1, len(ids) - window + 1) if ids else 0):
+                patterns.setdefault(tuple(ids[i : i + window]), set()).add(item)
+        self.digits = max(1, -(-len(self.numbers).bit_length() // 6))
+        self.least = min(map(len, patterns), default=0)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, who in patterns.items():
+            self.automaton.add_word(self._spelt(np.array(key)), (len(key), frozenset(who)))
+        if patterns:
+            self.automaton.make_automaton()
+
+    def _spelt(self, ids: np.ndarray) -> tuple[int, ...]:
+        places = np.arange(self.digits)
+        return tuple(((ids[:, None] >> 6 * places & 63) + 64 * places).ravel().tolist())
+
+    def occurrences(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """-> words in the text, merged word spans [first, end) that windows cover, ids of the items they belong to."""
+        own = words(text)
+        spans, who = [], set()
+        if not self.least or len(own) < self.least:
+            return len(own), [], who
+        ids = np.fromiter(map(self.numbers.get, own, repeat(0)), np.int64, len(own))
+        # No window holds a word that no item has, so only runs between such words are scanned.
+        cuts = np.r_[-1, np.flatnonzero(ids == 0), len(ids)]
+        for k in np.flatnonzero(np.diff(cuts) > self.least):
+            first = int(cuts[k]) + 1
+            for last, (size, items) in self.automaton.iter(self._spelt(ids[first : cuts[k + 1]])):
+                end = first + last // self.digits + 1
+                spans.append((end - size, end))
+                who |= items
+        return len(own), merge(spans), who
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -117,13 +134,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
             if token not in _built:
                 _built.clear()
-                _built[token] = _automaton(sent.value, window)
-            numbers, automaton = _built[token]
+                _built[token] = Windows(sent.value, window)
+            windows = _built[token]
             for batch in batches:
                 n_words, spans, who = [], [], []
                 for text, before, ids in zip(batch.column(0).field("text"), batch.column(1), batch.column(2)):
                     text = text.as_py()
-                    n, here, found = occurrences(text, numbers, automaton)
+                    n, here, found = windows.occurrences(text)
                     n_words.append(n)
                     if before.is_valid and (old := before.as_py()):
                         here = merge(here + [(s["first"], s["end"]) for s in old])
