@@ -87,10 +87,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): pairs of different fingerprints at max_bits or fewer; each once."""
     if max_bits > 5:
         raise ValueError("three segments and one wildcard find differences of five bits at most")
-    v = variants(fps)
+    # Spark takes a table of variants for as small as the fingerprints it comes from, so it is told not to broadcast it;
+    # both sides keep the same columns, and so they share one exchange.
+    v = variants(fps).hint("merge")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     return (
-        v.alias("a").join(v.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= max_bits) & (F.col("a.w") == _first_shared(x)))
+        v.alias("a").join(v.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= max_bits) & (F.col("a.w") == _first_shared(x)))
         .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     )
 
