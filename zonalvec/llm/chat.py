@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from .common import table
-from .sharding import numbered
 
 ROLES = ("system", "user", "assistant")
 #: Which turn may follow which; the key None is the beginning.

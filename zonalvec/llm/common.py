@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, written
+
 #: Words of the scanning contracts, after A-Z are lower-cased: runs of anything but ASCII non-alphanumerics.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: A table is broadcast only when its measured size is below this many bytes.
-BROADCAST_BYTES = 64 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir()
-    if have is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="zonalvec-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, what)
 
 
 def text_or_empty(column: str = "text"):
@@ -49,3 +27,6 @@ def text_or_empty(column: str = "text"):
 def row_id_fold(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: decides which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+__all__ = ["WORD", "materialise", "new_folder", "row_id_fold", "table", "text_or_empty"]

@@ -13,8 +13,8 @@ out; items that repeat count once by id; repeated documents are each judged; oth
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
     state = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for items_here, last in _blocks(items, block_bytes):
         sent = spark.sparkContext.broadcast(items_here)
-        token = f"{id(sent)}-{hashlib.sha256(repr(items_here[:50]).encode()).hexdigest()}-{len(items_here)}-{window}"
+        token = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
             if token not in _built:

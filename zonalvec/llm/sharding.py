@@ -10,14 +10,13 @@ checksum, and rows equal in those too are interchangeable; an empty table gives
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from ..operators.order import numbered
+from .common import table, text_or_empty
 
 SHARDS = 24
 SEED = 20_240_601
@@ -63,24 +62,6 @@ def permuted(rows: np.ndarray, n: int, seed: int = SEED, back: bool = False) ->
     return out
 
 
-def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """rows with ``row``, their global number in the order of the given columns; and how many there are.
-
-    One range exchange; the numbers in a partition are fixed by writing the sorted partitions once, and only
-    one count a partition comes to the driver.
-    """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ids = ordered.withColumn("_at", F.monotonically_increasing_id())
-    kept = materialise(ids.select("*", F.shiftright("_at", 33).cast("int").alias("_part")), "numbered")
-    counts = sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect())  # one small row a partition
-    firsts = list(accumulate((c for _, c in counts), initial=0))
-    bases = spark.createDataFrame([(p, f) for (p, _), f in zip(counts, firsts)], "_part int, _base long")
-    out = kept.join(F.broadcast(bases), "_part").withColumn("row", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("_part", "_at", "_base"), firsts[-1]
-
-
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, text_crc32, row, shard, slot)."""
     text = text_or_empty().cast("binary")
