@@ -1 +1,13 @@
 """zonalvec: zonal pooling of embedding grids, probes and reports on Spark DataFrames."""
+
+from .functions.codecs import minmax_vector, percentile_stretch, quantise_offset, quantise_power, recode_u8, sanitize, scale_clip, stride_sample
+from .model import assemble, patches_to_long, pixels_to_long
+from .operators.fitted import PCA, BoVW, NotFitted
+from .operators.metrics import METRICS, class_scores, confusion, metrics, summary
+from .operators.pool import POOLERS, TRAINING_FREE, Pooler, average_deviation, covariance, covariance_by_moments, custom, features, gem, output_dim, percentiles, pool_long, pool_many, signed_gem
+from .operators.probe import bootstrap_knn, bootstrap_linear, evaluate_knn, evaluate_linear, neighbours, standardise, standardiser, sweep
+from .operators.sampling import bootstrap, quotas, size_curve, subsample
+from .sources.manifest import decode_labels, encode_labels, entries, load, load_pooled, lookup, quarantine, read_lines, split
+from .sources.tables import inventory, read_pooled, read_results, write_pooled, write_results
+
+__all__ = [n for n in dir() if not n.startswith("_")]
