@@ -176,3 +176,11 @@ def test_removal_of_the_training_data_subpackage():
     for path in [*(root / "zonalvec").rglob("*.py"), *(root / "tests").glob("*.py")]:
         if "llm" not in path.parts and path.name != Path(__file__).name:
             assert "zonalvec.llm" not in path.read_text() and "from .llm" not in path.read_text(), path
+
+
+def test_public_names():
+    import zonalvec
+
+    assert all(getattr(zonalvec, name) is not None for name in zonalvec.__all__)
+    with pytest.raises(AttributeError):
+        zonalvec.nothing
