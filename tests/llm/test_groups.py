@@ -199,3 +199,24 @@ def test_archives_of_nothing(spark):
     folder = new_folder(spark, "warc-test")
     files = archives.write(pages(spark).limit(0), folder)
     assert files.count() == 0 and archives.read(files, folder).count() == 0
+
+
+def likeness(a, b):
+    a, b = (set(simhash.shingles(simhash.words_of(t))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_one_per_group_links_five_word_likeness(spark):
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(20)]
+    near, far = [], []
+    for text in base:
+        for to, changes in ((near, 5), (far, 16)):
+            w = text.split()
+            for at in range(10, 290, 280 // changes)[:changes]:
+                w[at] = "changed"
+            to.append(" ".join(w))
+    assert all(likeness(a, b) >= 0.8 for a, b in zip(base, near)) and all(likeness(a, b) < 0.7 for a, b in zip(base, far))
+    assert max((brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in zip(base, near)) > 5
+    kept = {r.doc_id for r in simhash.one_per_group(helpers.documents(spark, base + near + far)).collect()}
+    assert kept == set(range(20)) | set(range(40, 60))
