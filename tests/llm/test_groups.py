@@ -220,3 +220,19 @@ def test_one_per_group_links_five_word_likeness(spark):
     assert max((brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in zip(base, near)) > 5
     kept = {r.doc_id for r in simhash.one_per_group(helpers.documents(spark, base + near + far)).collect()}
     assert kept == set(range(20)) | set(range(40, 60))
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    a, b, c, d, e = (helpers.prose(60, k) for k in range(50, 55))
+    rows = [(None, a), (None, b), (None, c), (3, c), (8, d), (8, e), (8, d)]
+    kept = simhash.one_per_group(helpers.documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == {(None, a): 1, (None, b): 1, (3, c): 1, (8, d): 1, (8, e): 1}
+
+
+def test_null_ids_bridge_their_neighbours(spark, monkeypatch):
+    def fixed(docs):
+        return docs.select("doc_id", F.col("text").cast("long").alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", fixed)
+    got = simhash.near_duplicates(helpers.documents(spark, ["0", "15", "255"], [5, None, 9])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {5: 5, None: 5, 9: 5}

@@ -122,10 +122,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = materialise(fingerprints(docs), "simhash")
     groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
     pairs = links(groups)
-    first, second = (groups.select(F.col("fp").alias(s), F.col("rep").alias(f"rep_{s}")) for s in "ab")
-    edges = pairs.join(first, "a").join(second, "b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    roots = components(edges)
-    named = groups.join(roots, groups.rep == roots.u, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked = groups.join(roots, groups.fp == roots.u, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -223,13 +222,11 @@ def near_roots(rows: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their near-duplicate group's least, all columns kept; of rows that repeat an id one stays."""
+    """One row of each near-duplicate group, all columns kept: that of the least id, nulls last, and of equal ids the first row."""
     rows = materialise(keyed(docs), "simhash-rows")
     named = materialise(near_roots(rows).join(rows.select("key", F.col("row.doc_id").cast("long").alias("doc_id")), "key"), "simhash-roots")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    id_key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    stay = named.join(least, "root").filter(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy(id_key).agg(F.min("key").alias("key"))
-    gone = materialise(named.select("key").join(stay.select("key"), "key", "left_anti"), "simhash-gone")
+    least = named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("least"))
+    gone = materialise(named.join(least, "root").filter("key <> least.key").select("key"), "simhash-gone")
     return rows.join(gone, "key", "left_anti").select("row.*")
 
 
