@@ -219,3 +219,12 @@ def test_run_equals_its_stages(spark):
 
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    junk = [(10**6 + i, t, "en") for i, t in enumerate(["xq zvkj wqpt hjkq zzxv bnmq " * 9, "Всякая литература есть общее благо " * 5, "qwrtz" * 300])]
+    both = docs.union(spark.createDataFrame(junk, docs.schema).withColumn("lang", F.lit(None).cast("string")))
+    kept = {r.doc_id for r in language.with_a_language(both).collect()}
+    held_out = {r.doc_id for r in docs.filter(language.row_id_fold("doc_id", language.FOLDS) == language.HELD_OUT).filter("length(text) > 200").collect()}
+    assert not kept & {i for i, _, _ in junk} and len(held_out - kept) <= len(held_out) // 50

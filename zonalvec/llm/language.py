@@ -7,6 +7,10 @@ all 256 bytes are equally likely. The statistics are frozen, so a byte's code le
 alone: it is computed once for every context of the union of the trees, and a text's code length under each
 language is a sum of table look-ups. The shortest code wins.
 
+A text fits its language if its code is not longer than ``LOOSE`` times, or ``LOOSE_BITS`` more, than the mean code of
+a byte of that language's training sample, whichever allows more; ``LOOSE_START`` bits are free, for short texts.
+At sf0.1 the means are about 2 bits and held-out texts need at most 3.7; letters in no learned language need 8 and more.
+
 Training texts: those with an id whose crc32 modulo 4 is not 2 and a language; at most about
 ``SAMPLE_TEXTS`` of each language, chosen by a hash of their ids. The tables' size depends on the contexts
 seen in that sample; their counts are refused above ``MOST_COUNTS`` rows before they come to the driver.
@@ -36,6 +40,8 @@ MOST_COUNTS = 4_000_000
 PIECE = 1 << 18
 #: Longest texts count as this many bytes in the score, which would else be 0 or 1.
 CERTAIN_BYTES = 64
+#: How much longer than the training sample's the code of a text in its language may be.
+LOOSE, LOOSE_BITS, LOOSE_START = 2.0, 2.0, 64.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -87,6 +93,7 @@ class Model:
             node[ids[order]] = first[order] + np.arange(len(ids[order]))
         self.node = node.astype(np.int32)
         others = 256 - len(seen)
+        self.mean = np.zeros(len(languages))  # bits a byte of the training sample, under its own language
         self.bits = np.empty((int(first[-1]) * a, len(languages)), np.float32)
         for k in range(len(languages)):
             own = lang == k
@@ -104,6 +111,8 @@ class Model:
                     p = np.where(counts > 0, counts, kinds * free / left) / (total + kinds)
                 lower = np.where(total > 0, p, below)
                 self.bits[first[order] * a : first[order + 1] * a, k] = -np.log2(np.maximum(lower, 1e-30)).ravel()
+            if n[own].sum():
+                self.mean[k] = np.average(self.bits[self.node[contexts[ORDER][own]] * np.int64(a) + s[3][own], k], weights=n[own])
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of the whole text under each language."""
@@ -116,14 +125,20 @@ class Model:
             out += self.bits[self.node[context] * np.int64(a) + s[i:j]].sum(0, dtype=np.float64)
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the shortest code, and how far it leads: the posterior of a text of CERTAIN_BYTES at most."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The language with the shortest code, how far it leads (the posterior of a text of CERTAIN_BYTES at most), and whether the text fits it."""
         if not text or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
+            return "und", 0.0, False
         raw = text.encode()
-        bits = self.code_lengths(raw) * (min(len(raw), CERTAIN_BYTES) / len(raw))
+        whole = self.code_lengths(raw)
+        bits = whole * (min(len(raw), CERTAIN_BYTES) / len(raw))
         best = int(np.argmin(bits))
-        return self.languages[best], float(1 / np.exp2(bits[best] - bits).sum())
+        most = max(self.mean[best] * LOOSE, self.mean[best] + LOOSE_BITS) * len(raw) + LOOSE_START
+        return self.languages[best], float(1 / np.exp2(bits[best] - bits).sum()), bool(whole[best] <= most)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language of the shortest code and its lead."""
+        return self.judge(text)[:2]
 
 
 def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
@@ -146,23 +161,23 @@ def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """-> row (struct of docs' columns), lang_pred, score."""
+    """-> row (struct of docs' columns), lang_pred, score, fits."""
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sent.value.predict(t.as_py()) for t in batch.column(0).field("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
+            got = [sent.value.judge(t.as_py()) for t in batch.column(0).field("text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], ["row", "lang_pred", "score", "fits"])
 
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def with_a_language(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found; all columns kept."""
-    return identify(docs).filter("lang_pred <> 'und'").select("row.*")
+    """The documents that fit the language found in them; all columns kept."""
+    return identify(docs).filter("fits").select("row.*")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
