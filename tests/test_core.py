@@ -184,3 +184,15 @@ def test_public_names():
     assert all(getattr(zonalvec, name) is not None for name in zonalvec.__all__)
     with pytest.raises(AttributeError):
         zonalvec.nothing
+
+
+def test_ids_and_labels_from_any_number(spark, tmp_path):
+    from zonalvec import fixtures as fx
+    from zonalvec.plans import sources
+
+    d = str(tmp_path)
+    rows = [(100 + i, [float(i)] * 64, i) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(i, f"type {i}") for i in range(7)], "p_partkey long, p_type string").write.parquet(f"{d}/part.parquet")
+    assert {r.cluster: r.centre for r in fx.codebook(spark, d).collect()} == {i: [0.0] * 4 for i in range(8)}
+    assert {r.vec_id: r.class_name for r in sources.label_decode(spark, d).collect()} == {100 + i: f"type {i}" for i in range(7)}

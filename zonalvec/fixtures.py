@@ -147,7 +147,7 @@ RESULTS = """results AS (SELECT dataset, pool, split_type, probe, count(*) AS tr
 
 def codebook(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
     """The first k pixels of the 4x4x4 grids as cluster centres."""
-    first = pixels44(spark, d).filter(F.col("patch_id") < k).orderBy("patch_id", "y", "x").limit(k)
+    first = pixels44(spark, d).orderBy("patch_id", "y", "x").limit(k)
     numbered = first.select(F.row_number().over(Window.orderBy("patch_id", "y", "x")).alias("n"), "vec")
     return numbered.select((F.col("n") - 1).cast("int").alias("cluster"), F.transform("vec", lambda x: x.cast("double")).alias("centre"))
 

@@ -56,7 +56,7 @@ ORACLES["label_encode"] = f"WITH {PARSED}, {fx.CLASSES} SELECT ord, class_name,
 
 
 def label_decode(spark, d):
-    rows = fx.table(spark, d, "embeddings").filter("label < 6").select("vec_id", "label")
+    rows = fx.table(spark, d, "embeddings").select("vec_id", "label")
     return mf.decode_labels(rows, fx.classes(spark, d)).select("vec_id", "class_name")
 
 
