@@ -1,8 +1,9 @@
 """Probes of feature vectors: cosine nearest neighbours and multinomial logistic regression.
 
-The test rows are a stated query set. They are sent to the training rows in blocks of bounded size; each task
-multiplies a block with its own training rows, keeps the k nearest of each query, and one grouped top-k merges
-what the tasks kept. Training rows are never shuffled.
+The test rows are a stated query set; both sides are packed into tiles of a bounded number of rows, written to the
+shared folder, and each tile of queries is multiplied with each tile of training rows inside the tasks. A task keeps
+the k nearest of its own queries while it goes through its training tiles, and one grouped top-k merges what the
+tasks kept. No query or training row comes to the driver, and a task's memory depends on the tiles alone.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import sanitize
-from ..storage import written
+from ..storage import dropped, written
 from .metrics import METRICS, metrics
+from .order import numbered_within
 from .sampling import bootstrap, size_curve
 
-#: Values (8 bytes each) of a block of queries that is sent to all tasks.
-QUERY_VALUES = 4_000_000
+#: Rows of a tile of queries and of training rows, and query tiles of a task.
+QUERY_TILE, TRAIN_TILE, TILES = 512, 2048, 8
 DIGITS = 9
 
 
@@ -32,47 +34,82 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_norm", norm).withColumn("features", F.transform("features", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_norm")
 
 
-def _blocks(test: DataFrame):
-    """Bounded blocks of (ids, unit vectors) of the query rows, in id order."""
-    ids, vectors = [], []
-    for row in unit(clean(test)).select("row_id", "features").orderBy("row_id").toLocalIterator(prefetchPartitions=True):
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) * len(row[1]) >= QUERY_VALUES:
-            yield np.array(ids, np.int64), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors)
+def _tiles(rows: DataFrame, per: int) -> DataFrame:
+    """(key, ids, labels, vectors): rows (row_id, label, key, features) packed in tiles of one key, at most ``per`` each, in id order."""
+
+    def run(batches):
+        for batch in batches:
+            for key, own in batch.sort_values("row_id", kind="stable").groupby("key"):
+                for i in range(0, len(own), per):
+                    some = own.iloc[i : i + per]
+                    yield pd.DataFrame({"key": [key], "ids": [some["row_id"].to_numpy(np.int64).tobytes()], "labels": [some["label"].to_numpy(np.int64).tobytes()],
+                                        "vectors": [np.stack(some["features"].to_numpy()).astype(float).tobytes()]})
+
+    return rows.mapInPandas(run, "key long, ids binary, labels binary, vectors binary")
+
+
+def _tile_pairs(test: DataFrame, train: DataFrame, key: str | None) -> DataFrame:
+    """(q_ids, q_vectors, key, ids, labels, vectors): every tile of queries beside every tile of training rows.
+
+    The query set is stated by the caller and meets all training rows in blocks. Spark sends the query tiles to the
+    training tiles where their size allows it, and else pairs their partitions.
+    """
+    with_key = lambda df, c: unit(clean(df)).select("row_id", F.coalesce("label", F.lit(0)).alias("label"), c.cast("long").alias("key"), "features")
+    queries = written(_tiles(with_key(test, F.lit(0)), QUERY_TILE), "queries")
+    known = written(_tiles(with_key(train, F.col(key) if key else F.lit(0)), TRAIN_TILE), "known")
+    dealt = queries.repartition(max(1, -(-queries.count() // TILES)))
+    return dealt.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).crossJoin(known)
+
+
+def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, training ids, labels and rounded distances (in units of 10**-DIGITS) of a pair of tiles."""
+    own, ids, labels = (np.frombuffer(x, np.int64) for x in (pair.q_ids, pair.ids, pair.labels))
+    vectors, known = (np.frombuffer(x).reshape(n, -1) for x, n in ((pair.q_vectors, len(own)), (pair.vectors, len(ids))))
+    return own, ids, labels, np.rint((1.0 - vectors @ known.T) * 10**DIGITS).astype(np.int64)
 
 
 def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None) -> DataFrame:
     """(q, train_id, label, dist, rank): the k nearest training rows of every test row by cosine distance, rounded to
     nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key."""
-    spark = test.sparkSession
-    known = unit(clean(train)).select("row_id", "label", (F.col(key) if key else F.lit(0)).cast("long").alias("key"), "features")
-    parts = []
-    for ids, queries in _blocks(test):
-        sent = spark.sparkContext.broadcast((ids, queries))
-
-        def nearest(batches, sent=sent):
-            own, vectors = sent.value
-            for batch in batches:
-                for group, rows in batch.groupby("key"):
-                    near = np.round(1.0 - vectors @ np.stack(rows["features"].to_numpy()).T, DIGITS)
-                    train_ids, labels = rows["row_id"].to_numpy(), rows["label"].to_numpy()
-                    by_id = np.argsort(train_ids, kind="stable")
-                    order = by_id[np.argsort(near[:, by_id], axis=1, kind="stable")[:, :k]]
-                    yield pd.DataFrame({"key": group, "q": np.repeat(own, order.shape[1]), "train_id": train_ids[order].ravel(), "label": labels[order].ravel(), "dist": np.take_along_axis(near, order, 1).ravel()})
-
-        parts.append(known.mapInPandas(nearest, "key long, q long, train_id long, label int, dist double"))
-    found = parts[0] if parts else spark.createDataFrame([], "key long, q long, train_id long, label int, dist double")
-    for p in parts[1:]:
-        found = found.unionAll(p)
+
+    def nearest(batches):
+        best: dict[tuple, tuple] = {}
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                own, ids, labels, near = _matrices(pair)
+                # Distance and place in one number: the k least are the nearest, and of equal ones those with the least ids.
+                ranked = near * len(ids) + np.arange(len(ids))
+                some = np.sort(np.partition(ranked, min(k, len(ids)) - 1, axis=1)[:, :k] if k < len(ids) else ranked, axis=1)
+                dist, at = some // len(ids), some % len(ids)
+                found = (dist, ids[at], labels[at])
+                if (held := best.get(name := (pair.key, pair.q_ids))) is not None:
+                    both = [np.concatenate(x, axis=1) for x in zip(held[1], found)]
+                    order = np.lexsort((both[1], both[0]))[:, :k]
+                    found = tuple(np.take_along_axis(x, order, 1) for x in both)
+                best[name] = own, found
+        for (group, _), (own, (dist, ids, labels)) in best.items():
+            yield pd.DataFrame({"key": group, "q": np.repeat(own, dist.shape[1]), "train_id": ids.ravel(), "label": labels.ravel(), "dist": dist.ravel() / 10**DIGITS})
+
+    found = _tile_pairs(test, train, key).mapInPandas(nearest, "key long, q long, train_id long, label int, dist double")
     order = Window.partitionBy("key", "q").orderBy("dist", "train_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumnRenamed("key", key) if key else ranked.drop("key")
 
 
+def distances(test: DataFrame, train: DataFrame) -> DataFrame:
+    """(q, train_id, dist): the cosine distance of every test row to every training row."""
+
+    def run(batches):
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                own, ids, _, near = _matrices(pair)
+                for i in range(0, len(own), 64):
+                    part = near[i : i + 64]
+                    yield pd.DataFrame({"q": np.repeat(own[i : i + 64], len(ids)), "train_id": np.tile(ids, len(part)), "dist": part.ravel() / 10**DIGITS})
+
+    return _tile_pairs(test, train, None).mapInPandas(run, "q long, train_id long, dist double")
+
+
 def vote(found: DataFrame, *keys: str, weight=None) -> DataFrame:
     """(keys, q, p): the label with most neighbours; ties go to the smallest label."""
     counts = found.groupBy(*keys, "q", "label").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
@@ -97,17 +134,18 @@ def bootstrap_knn(test: DataFrame, train: DataFrame, k: int, reps: int, seed: in
     Distances are found once; a repetition takes a neighbour as often as it was drawn until k draws are reached.
     The list of neighbours is doubled until it holds k draws of every repetition.
     """
-    drawn = bootstrap(train, reps, seed).select("rep", F.col("row_id").alias("train_id"), "mult").persist()
+    drawn = written(bootstrap(train, reps, seed).select("rep", F.col("row_id").alias("train_id"), "mult"), "drawn")
     queries, size, known = test.count(), k + margin, train.count()
     while True:
         near = neighbours(test, train, min(size, known)).join(drawn, "train_id")
         before = F.coalesce(F.sum("mult").over(Window.partitionBy("rep", "q").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = near.withColumn("take", F.least(F.col("mult"), F.lit(k) - before)).filter("take > 0").persist()
+        taken = written(near.withColumn("take", F.least(F.col("mult"), F.lit(k) - before)).filter("take > 0"), "taken")
         full = taken.groupBy("rep", "q").agg(F.sum("take").alias("n")).filter(F.col("n") >= min(k, known)).count()
         if full == queries * reps or size >= known:
             break
-        taken.unpersist()
+        dropped(taken)
         size *= 2
+    dropped(drawn)
     return metrics(vote(taken, "rep", weight=F.col("take")).join(truth(test), "q"), "rep")
 
 
@@ -156,43 +194,52 @@ C_GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 
 
 def folds(train: DataFrame, n: int = 3) -> DataFrame:
-    """train with ``fold``: contiguous parts of each class in id order."""
-    return train.withColumn("fold", F.ntile(n).over(Window.partitionBy("label").orderBy("row_id")) - 1)
+    """train with ``fold``: contiguous parts of each class in id order, the first ones larger by one where sizes differ."""
+    placed = numbered_within(train, "label", "row_id", name="_at", size="_n")
+    least = F.expr(f"_n div {n}")
+    large = F.col("_n") % n  # so many parts have one row more
+    later = F.when(least > 0, F.expr(f"(_at - (_n % {n}) * (_n div {n} + 1)) div greatest(_n div {n}, 1)")).otherwise(0)
+    fold = F.when(F.col("_at") < large * (least + 1), F.expr(f"_at div (_n div {n} + 1)")).otherwise(large + later)
+    return placed.withColumn("fold", fold.cast("int")).drop("_at", "_n")
 
 
 def choose_c(train: DataFrame, grid=C_GRID, n: int = 3) -> tuple[float, list[tuple[float, float]]]:
     """The C with the best mean accuracy over folds (the first of equals), and every C's mean."""
-    parts = folds(train, n).persist()
+    parts = folds(train, n)  # numbered rows are written, so every fold reads the same table
     found = []
     for c in grid:
         right = [
             metrics(predict_linear(fit_linear(parts.filter(F.col("fold") != f), c), parts.filter(F.col("fold") == f))).first()["accuracy"] for f in range(n)
         ]
         found.append((c, float(np.mean(right))))
-    parts.unpersist()
     return max(found, key=lambda x: x[1])[0], found
 
 
 def evaluate_linear(test: DataFrame, train: DataFrame, c: float | list[float] | None = None) -> DataFrame:
     """The five metrics and ``c``. A list (or None: the default grid) is searched by cross-validation first."""
-    scaler = standardiser(clean(train)).persist()
-    known, asked = standardise(clean(train), scaler).persist(), standardise(clean(test), scaler)
+    scaler = written(standardiser(clean(train)), "scaler")
+    known, asked = written(standardise(clean(train), scaler), "standardised"), standardise(clean(test), scaler)
     best = c if isinstance(c, (int, float)) else choose_c(known, tuple(c) if c else C_GRID)[0]
-    out = metrics(predict_linear(fit_linear(known, best), asked)).withColumn("c", F.lit(float(best)))
-    return out
+    return metrics(predict_linear(fit_linear(known, best), asked)).withColumn("c", F.lit(float(best)))
 
 
 def bootstrap_linear(test: DataFrame, train: DataFrame, reps: int, c: float = 1.0, seed: int = 42) -> DataFrame:
-    """(rep, the five metrics): the scaler and the model are refitted with the drawn multiplicities as weights."""
-    drawn = bootstrap(train, reps, seed)
-    out = None
+    """(rep, the five metrics): the scaler and the model are refitted with the drawn multiplicities as weights.
+
+    One row a repetition is written as soon as it is known, so the plan does not grow with the repetitions.
+    """
+    spark = train.sparkSession
+    drawn = written(bootstrap(train, reps, seed).select("rep", "row_id", "mult"), "drawn")
+    found = []
     for rep in range(reps):
-        own = clean(train).join(drawn.filter(F.col("rep") == rep).select("row_id", "mult"), "row_id").persist()
-        scaler = standardiser(own, "mult").persist()
+        own = written(clean(train).join(drawn.filter(F.col("rep") == rep).select("row_id", "mult"), "row_id"), "drawn-rows")
+        scaler = written(standardiser(own, "mult"), "scaler")
         model = fit_linear(standardise(own, scaler), c, weight="mult")
-        one = metrics(predict_linear(model, standardise(clean(test), scaler))).withColumn("rep", F.lit(rep))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = metrics(predict_linear(model, standardise(clean(test), scaler))).first()
+        found.append((rep, *[float(one[m]) for m in METRICS]))
+        dropped(own, scaler)
+    dropped(drawn)
+    return spark.createDataFrame(found, "rep int, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def sweep(features: DataFrame, methods: dict[str, DataFrame], ks: list[int], sizes: list[int], seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .order import numbered, numbered_within
 
 
 def seeded_hash(seed: int, *parts: str | Column) -> Column:
@@ -31,20 +31,31 @@ def quotas(rows: DataFrame, n: int, label: str = "label") -> DataFrame:
     return base.withColumn("quota", quota).select(label, "size", F.when(F.col("total") <= n, F.col("size")).otherwise(F.col("quota")).alias("quota"))
 
 
+def _ranked(rows: DataFrame, seed: int, label: str, key: str) -> DataFrame:
+    """rows with ``_at``: their place from 0 in their class in the order of a seeded hash of the key."""
+    return numbered_within(rows.withColumn("_hash", seeded_hash(seed, key)), label, "_hash", key, name="_at", size="_size").drop("_hash", "_size")
+
+
+def _cut(ranked: DataFrame, rows: DataFrame, n: int, label: str) -> DataFrame:
+    """Of every class the first rows, as many as its quota."""
+    quota = F.broadcast(quotas(rows, n, label).select(F.col(label).alias("_label"), "quota"))
+    return ranked.join(quota, F.col(label).eqNullSafe(F.col("_label"))).filter(F.col("_at") < F.col("quota")).select(*rows.columns)
+
+
 def subsample(rows: DataFrame, n: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
-    """Exactly the quotas of each class, without replacement."""
-    order = Window.partitionBy(label).orderBy(seeded_hash(seed, key), key)
-    ranked = rows.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(quotas(rows, n, label).select(label, "quota")), label)
-    return ranked.filter(F.col("_rank") <= F.col("quota")).select(*rows.columns)
+    """Exactly the quotas of each class, without replacement. A large class is ranked in many tasks."""
+    return _cut(_ranked(rows, seed, label, key), rows, n, label)
 
 
 def bootstrap(rows: DataFrame, reps: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
-    """(rep, key, mult): how often each row is drawn when every class is redrawn to its own size with replacement."""
-    numbered = rows.select(label, key, (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1).alias("_at"))
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.select(label, "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select(label, "_n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("draw"))
+    """(rep, key, mult): how often each row is drawn when every class is redrawn to its own size with replacement.
+
+    Each row stands for one draw of each repetition, so draws are made where the rows are.
+    """
+    placed = numbered_within(rows.select(label, key), label, key, name="_at", size="_n")
+    draws = placed.select("_n", label, F.col("_at").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     picked = draws.select("rep", label, F.pmod(seeded_hash(seed, "rep", label, "draw"), F.col("_n")).alias("_at")).groupBy("rep", label, "_at").agg(F.count(F.lit(1)).alias("mult"))
-    return picked.join(numbered, [label, "_at"]).select("rep", key, label, "mult")
+    return picked.join(placed.select(label, key, "_at"), [label, "_at"]).select("rep", key, label, "mult")
 
 
 def in_seeded_order(rows: DataFrame, seed: int = 42, key: str = "row_id") -> DataFrame:
@@ -53,9 +64,10 @@ def in_seeded_order(rows: DataFrame, seed: int = 42, key: str = "row_id") -> Dat
     return numbered(hashed, "_hash", key, name="ord")[0].withColumn("ord", F.col("ord") + 1).drop("_hash")
 
 
-def size_curve(rows: DataFrame, sizes: list[int], seed: int = 42) -> DataFrame:
-    """Subsamples of several sizes with their ``n_train``; -1 keeps all."""
-    parts = [(rows if n == -1 else subsample(rows, n, seed)).withColumn("n_train", F.lit(n)) for n in sizes]
+def size_curve(rows: DataFrame, sizes: list[int], seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
+    """Subsamples of several sizes with their ``n_train``; -1 keeps all. Rows are ranked once for all sizes."""
+    ranked = _ranked(rows, seed, label, key) if any(n != -1 for n in sizes) else rows
+    parts = [(rows if n == -1 else _cut(ranked, rows, n, label)).withColumn("n_train", F.lit(n)) for n in sizes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -182,7 +182,7 @@ def _five(df, *keys):
     return df.select(*keys, *[(F.round(m, 6) + F.lit(0.0)).alias(m) for m in metrics.METRICS])
 
 
-QUERIES["cosine_pairs"] = lambda spark, d: probe.neighbours(_test(spark, d), _train(spark, d), 1 << 30).select("q", "train_id", "dist")
+QUERIES["cosine_pairs"] = lambda spark, d: probe.distances(_test(spark, d), _train(spark, d))
 ORACLES["cosine_pairs"] = f"WITH {TRAIN}, {_pairs('test', 'train')} SELECT q, train_id, dist FROM pairs"
 QUERIES["knn_topk"] = lambda spark, d: probe.neighbours(_test(spark, d), _train(spark, d), 5).select("q", "train_id", "label", "dist", F.col("rank").cast("long").alias("rank"))
 ORACLES["knn_topk"] = f"WITH {TRAIN}, {_pairs('test', 'train')} SELECT q, train_id, label, dist, rank FROM ranked WHERE rank <= 5"
