@@ -3,17 +3,21 @@
 Each language has a context tree over bytes: how often each byte followed the last 0 to 3 bytes in its training
 texts. With method C, a context seen n times with q different bytes gives a seen byte c / (n + q) and escapes
 with q / (n + q) to the next shorter context, in which the bytes already ruled out are excluded; below order 0
-all 256 bytes are equally likely. The statistics are frozen, so a byte's code length depends on its context
-alone: it is computed once for every context of the union of the trees, and a text's code length under each
-language is a sum of table look-ups. The shortest code wins.
+all 256 bytes are equally likely. The statistics are frozen, so a byte's code length depends on the last four bytes
+alone, and a text's code length under each language is a sum over its grams of four bytes. The shortest code wins.
+
+A language keeps the code lengths of the bytes it saw in each context and the cost of an escape from it, nothing for
+what it did not see: the model grows with what the languages saw, not with their number times all contexts. A gram's
+code lengths are found by going from order 0 up, adding escapes and replacing what was seen; a worker remembers the
+grams it met in a table of ``SLOTS`` places for all languages together.
 
 A text fits its language if its code is not longer than ``LOOSE`` times, or ``LOOSE_BITS`` more, than the mean code of
 a byte of that language's training sample, whichever allows more; ``LOOSE_START`` bits are free, for short texts.
 At sf0.1 the means are about 2 bits and held-out texts need at most 3.7; letters in no learned language need 8 and more.
 
 Training texts: those with an id whose crc32 modulo 4 is not 2 and a language; at most about
-``SAMPLE_TEXTS`` of each language, chosen by a hash of their ids. The tables' size depends on the contexts
-seen in that sample; their counts are refused above ``MOST_COUNTS`` rows before they come to the driver.
+``SAMPLE_TEXTS`` of each language, chosen by a hash of their ids. The counts of that sample, one row for each language and
+gram seen, come to the driver, where the model is made once.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language are
 scored but never learned from; without any training text every row is ``und``; ties go to the first language in
@@ -35,9 +39,12 @@ from .common import row_id_fold, table
 ORDER = 3
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_TEXTS = 1500
-MOST_COUNTS = 4_000_000
 #: Bytes scored at a time.
-PIECE = 1 << 18
+PIECE = 1 << 14
+#: Code lengths (4 bytes each) that a worker remembers, over all languages.
+SLOTS = 1 << 21
+#: Grams that it remembers besides, because their places are taken; with more it forgets all.
+OTHERS = 1 << 16
 #: Longest texts count as this many bytes in the score, which would else be 0 or 1.
 CERTAIN_BYTES = 64
 #: How much longer than the training sample's the code of a text in its language may be.
@@ -45,6 +52,7 @@ LOOSE, LOOSE_BITS, LOOSE_START = 2.0, 2.0, 64.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 
+
 def _grams(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(language, gram, count) of a batch: grams are the last four bytes, zeros before a text's first."""
     by: dict[str, list[bytes]] = {}
@@ -71,58 +79,114 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Sparse:
+    """Values of some languages for some sorted keys."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """parts: keys and values of each language."""
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.starts = np.append(first, len(keys))
+        self.langs = np.repeat(np.arange(len(parts), dtype=np.int16), [len(k) for k, _ in parts])[order]
+        self.values = np.concatenate([v for _, v in parts])[order].astype(np.float32)
+
+    def entries(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``asked``, languages and values of all that is held for them."""
+        at = np.searchsorted(self.keys, asked)
+        known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == asked)
+        at = at[known]
+        n = self.starts[at + 1] - self.starts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(known, n), self.langs[places], self.values[places]
+
+
 class Model:
-    """Code lengths of every byte in every context of the union tree, for each language."""
+    """Code lengths of every byte after every three bytes, for each language."""
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        """gram: the last four bytes of a place in a text, as a number; n: how often it was seen in the language."""
         self.languages = languages
-        # Bytes that occur, and zero, which stands before a text; the others share symbol 0, since their statistics are equal.
-        seen = np.unique(np.r_[gram & 255, 0])
-        self.symbols = len(seen) + 1
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, self.symbols)
-        a = self.symbols
-        s = [self.symbol[(gram >> k) & 255] for k in (24, 16, 8, 0)]
-        contexts = [np.zeros(len(gram), np.int64), s[2], s[1] * a + s[2], (s[0] * a + s[1]) * a + s[2]]
-        # A node number for every possible context: that of its longest suffix in the union tree.
-        ids = [np.unique(c) for c in contexts]
-        first = np.cumsum([0, *(len(i) for i in ids)])
-        node = np.zeros(1, np.int64)
-        for order in range(1, ORDER + 1):
-            node = np.tile(node, a)  # the suffix: a context without its oldest symbol
-            node[ids[order]] = first[order] + np.arange(len(ids[order]))
-        self.node = node.astype(np.int32)
-        others = 256 - len(seen)
         self.mean = np.zeros(len(languages))  # bits a byte of the training sample, under its own language
-        self.bits = np.empty((int(first[-1]) * a, len(languages)), np.float32)
+        seen: list[list] = [[] for _ in range(ORDER + 1)]
+        escapes: list[list] = [[] for _ in range(ORDER + 1)]
         for k in range(len(languages)):
-            own = lang == k
-            lower = np.full((1, a), 1 / 256)  # order -1: each byte alike; symbol 0 stands for any one unseen byte
+            own, times = gram[lang == k].astype(np.int64), n[lang == k]
+            before = None
             for order in range(ORDER + 1):
-                at = np.searchsorted(ids[order], contexts[order][own])
-                counts = np.zeros((len(ids[order]), a))
-                np.add.at(counts, (at, s[3][own]), n[own])
-                parent = np.zeros(len(ids[order]), np.int64) if order <= 1 else np.searchsorted(ids[order - 1], ids[order] % a ** (order - 1))
-                below = lower[parent]
-                total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                free = np.where(counts > 0, 0, below)
-                left = free[:, 1:].sum(1, keepdims=True) + others * free[:, :1]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = np.where(counts > 0, counts, kinds * free / left) / (total + kinds)
-                lower = np.where(total > 0, p, below)
-                self.bits[first[order] * a : first[order + 1] * a, k] = -np.log2(np.maximum(lower, 1e-30)).ravel()
-            if n[own].sum():
-                self.mean[k] = np.average(self.bits[self.node[contexts[ORDER][own]] * np.int64(a) + s[3][own], k], weights=n[own])
+                keys, at = np.unique(own & (1 << 8 * (order + 1)) - 1, return_inverse=True)  # context and byte
+                counts = np.bincount(at, times, len(keys))
+                contexts, of = np.unique(keys >> 8, return_inverse=True)
+                total, kinds = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
+                # Below order 0 each byte is alike; a byte seen in a context was seen in the shorter one too.
+                lower = np.full(len(keys), 1 / 256) if before is None else before[1][np.searchsorted(before[0], keys & (1 << 8 * order) - 1)]
+                left = np.maximum(1 - np.bincount(of, lower, len(contexts)), 1e-12)
+                shares = counts / (total + kinds)[of]
+                seen[order].append((keys, -np.log2(shares)))
+                escapes[order].append((contexts, -np.log2(kinds / (total + kinds) / left)))
+                before = keys, shares
+            if len(own):
+                self.mean[k] = np.average(-np.log2(before[1][np.searchsorted(before[0], own)]), weights=times)
+        if languages:
+            self.seen, self.escapes = [_Sparse(x) for x in seen], [_Sparse(x) for x in escapes]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin the table of known grams anew; without its arrays, so that a model is sent small."""
+        self.bits = max(1, (SLOTS // max(1, len(self.languages))).bit_length() - 1)
+        self.held, self.lengths, self.others = None, None, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None, "lengths": None, "others": {}}
+
+    def gram_lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram under each language."""
+        out = np.full((len(grams), len(self.languages)), 8, np.float32)
+        for order in range(ORDER + 1):
+            keys = grams & (1 << 8 * (order + 1)) - 1
+            rows, langs, bits = self.escapes[order].entries(keys >> 8)
+            out[rows, langs] += bits
+            rows, langs, bits = self.seen[order].entries(keys)
+            out[rows, langs] = bits
+        return out
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def _met(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of different grams that have no place in the table: remembered there, or apart where the place is taken."""
+        known = [self.others.get(g) for g in grams.tolist()]
+        new = [i for i, x in enumerate(known) if x is None]
+        if new:
+            own = grams[new]
+            found, places = self.gram_lengths(own.astype(np.int64)), self._slots(own)
+            free = self.held[places] == (places == 0)
+            self.held[places[free]] = own[free]
+            kept = self.held[places] == own
+            self.lengths[places[kept]] = found[kept]
+            for i, gram, row, k in zip(new, own.tolist(), found, kept):
+                known[i] = row
+                if not k:
+                    self.others[gram] = row
+        return np.stack(known)
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of the whole text under each language."""
-        a = self.symbols
-        s = np.concatenate([np.full(ORDER, self.symbol[0]), self.symbol[np.frombuffer(text, np.uint8)]])
-        out = np.zeros(len(self.languages))
-        for i in range(ORDER, len(s), PIECE):
-            j = min(len(s), i + PIECE)
-            context = (s[i - 3 : j - 3] * a + s[i - 2 : j - 2]) * a + s[i - 1 : j - 1]
-            out += self.bits[self.node[context] * np.int64(a) + s[i:j]].sum(0, dtype=np.float64)
+        if self.held is None or len(self.others) > OTHERS:
+            self._forget()
+            self.held, self.lengths = np.zeros(1 << self.bits, np.uint32), np.zeros((1 << self.bits, len(self.languages)), np.float32)
+            self.held[0] = 1  # place 0 is that of gram 0, and so 1 stands for nothing there
+        padded, out = b"\0" * ORDER + text, np.zeros(len(self.languages))
+        for i in range(0, len(text), PIECE):
+            size = min(PIECE, len(text) - i)
+            grams = np.ndarray((size,), ">u4", padded, i, (1,)).astype(np.uint32)
+            slots = self._slots(grams)
+            known = self.held.take(slots) == grams
+            if not known.all():
+                new, times = np.unique(grams[~known], return_counts=True)
+                slots = slots[known]
+                out += times @ self._met(new).astype(np.float64)
+            out += np.ones(len(slots), np.float32) @ self.lengths.take(slots, axis=0)
         return out
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
@@ -143,21 +207,14 @@ class Model:
 
 def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
     """The model, made once on the driver from the counts. Only rows of the training folds are read."""
-    training = docs.filter((row_id_fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}  # one row a language
+    training = docs.filter((row_id_fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    rates = F.broadcast(training.groupBy("lang").agg(F.least(F.lit(1.0), sample_texts / F.count(F.lit(1))).alias("rate")))  # one row a language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < min(1.0, sample_texts / n)))
-    counts = count_grams(training.filter(chosen)).persist()
-    if (rows := counts.count()) > MOST_COUNTS:
-        raise ValueError(f"{rows} contexts; lower sample_texts")
-    got = counts.orderBy("lang", "gram").toArrow()
-    counts.unpersist()
-    languages = sorted(set(got["lang"].to_pylist()))
+    got = count_grams(training.join(rates, "lang").filter(draw < F.col("rate"))).toArrow()
+    languages = sorted(set(got["lang"].unique().to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     lang = np.fromiter(map(number.__getitem__, got["lang"].to_pylist()), np.int16, len(got))
-    return Model(languages, lang, got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy())
+    return Model(languages, lang, got["gram"].to_numpy(), got["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
