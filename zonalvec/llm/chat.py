@@ -8,11 +8,15 @@ in front, at the least total cost; the repaired sequence is then rendered turn b
 The step from state to state over one turn is a small matrix, and steps compose in the (min, +) algebra, so a
 conversation of any length is repaired in blocks of consecutive rows: each block's border conversations are
 summarised by one matrix, the matrices of a conversation are chained to fix the states at block borders, and
-the blocks are then solved and rendered apart from each other. The output has one row a given turn.
+the blocks are then solved apart from each other. Roles alone go through the programming; the decisions are joined
+to the texts by row number and rendered there. The output has one row a given turn.
 
-Defined cases: turns follow the order of turn, role and text, nulls first; rows with null conv_id are one conversation; a null or
-unknown role is relabelled; a null text is empty; repeated rows are turns of their own; among equal costs the
-first in the order keep, merge, relabel, then fewer and earlier-listed insertions wins; an empty table gives
+Markers in a text are made harmless: between ``<`` and ``|`` one more backslash is put (``escaped``, ``unescaped``), so
+that no text can open or close a turn and every text can be read back.
+
+Defined cases: turns follow the order of turn, role and a checksum of the text, nulls first; rows with null conv_id are
+one conversation; a null or unknown role is relabelled; a null text is empty; repeated rows are turns of their own; among
+equal costs the first in the order keep, merge, relabel, then fewer and earlier-listed insertions wins; an empty table gives
 an empty one.
 """
 
@@ -22,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
@@ -140,30 +144,40 @@ def _chained(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "ck": frame["ck"], "enter": states[:-1], "leave": states[1:], "last": last})
 
 
-def _opened(role: str) -> str:
-    return f"<|{role}|>\n"
+def _opened(role: Column | str) -> Column:
+    return F.concat(F.lit("<|"), F.lit(role) if isinstance(role, str) else role, F.lit("|>\n"))
 
 
 CLOSED = "<|end|>\n"
 
 
-def fragment(state: str | None, action: str, inserted: tuple[str, ...], role: str, text: str, after: tuple[str, ...] | None) -> str:
-    """What a turn adds to the rendering; after: the empty turns behind the last turn, None for the others."""
-    if action == "merge":
-        out = "\n" + text
-    else:
-        out = (CLOSED if state is not None else "") + "".join(_opened(r) + CLOSED for r in inserted) + _opened(role) + text
-    return out if after is None else out + CLOSED + "".join(_opened(r) + CLOSED for r in after)
+def escaped(text: Column) -> Column:
+    """The text without markers: a backslash more between < and |."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
+
+
+def rendered() -> Column:
+    """What a turn adds to the rendering, from the columns before (the state in front of it), action, inserted, new_role, text,
+    last (whether it ends its conversation) and appended (the empty turns behind it)."""
+    empty = lambda roles: F.array_join(F.transform(F.filter(F.split(roles, ","), lambda r: r != ""), lambda r: F.concat(_opened(r), F.lit(CLOSED))), "")
+    front = F.concat(F.when(F.col("before").isNotNull(), CLOSED).otherwise(""), empty(F.col("inserted")), _opened(F.col("new_role")))
+    begin = F.when(F.col("action") == "merge", "\n").otherwise(front)
+    end = F.when(F.col("last"), F.concat(F.lit(CLOSED), empty(F.col("appended")))).otherwise("")
+    return F.concat(begin, escaped(F.coalesce("text", F.lit(""))), end)
 
 
-REPAIRED = "conv_id long, turn long, role string, new_role string, action string, inserted string, appended string, cost double, rendered string"
+DECIDED = "row long, before string, new_role string, action string, inserted string, appended string, last boolean, cost double"
 
 
-def _repaired(_key, frame: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
+def _decided(_key, frame: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of a block's turns; borders: the states around its first and last conversation."""
     frame = frame.sort_values("row")
     fixed = {b.ck: (b.enter, b.leave, b.last) for b in borders.itertuples()}
-    roles, texts = _roles(frame), [t or "" for t in frame["text"].tolist()]
-    keys = frame["ck"].tolist()
+    roles, keys, rows = _roles(frame), frame["ck"].tolist(), frame["row"].tolist()
     made: list[tuple] = []
     for a, b in _segments(keys):
         own = roles[a:b]
@@ -175,30 +189,27 @@ def _repaired(_key, frame: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
         before = enter
         for i, state in enumerate(path(own, enter, leave)):
             cost, action, inserted = step(own[i])[before][state]
-            after = None
-            if last and a + i == b - 1:
-                after = () if STATES[state] in LAST else _inserted(STATES[state])[LAST[0]]
-            text = fragment(STATES[before], action, inserted, STATES[state], texts[a + i], after)
-            made.append((STATES[state], action, ",".join(inserted), ",".join(after or ()), cost + INSERT * len(after or ()), text))
+            ends = bool(last and a + i == b - 1)
+            after = _inserted(STATES[state])[LAST[0]] if ends and STATES[state] not in LAST else ()
+            made.append((rows[a + i], STATES[before], STATES[state], action, ",".join(inserted), ",".join(after), ends, cost + INSERT * len(after)))
             before = state
-    out = pd.DataFrame(made, columns=["new_role", "action", "inserted", "appended", "cost", "rendered"], index=frame.index)
-    ids = frame["ck"].map(lambda k: None if k == "" else int(k)).astype("Int64")
-    return pd.concat([ids.rename("conv_id"), frame["turn_key"].map(lambda k: None if k == "" else int(k)).astype("Int64").rename("turn"), frame[["role"]], out], axis=1)
+    return pd.DataFrame(made, columns=[c.split()[0] for c in DECIDED.split(", ")])
 
 
 def repair(conversations: DataFrame) -> DataFrame:
-    """One row a given turn: its new role, the action, inserted and appended empty turns, cost and rendering.
-    The renderings of a conversation in the order of its turns are the formatted conversation."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """(conv_id, turn, role, new_role, action, inserted, appended, cost, rendered), one row a given turn: inserted and
+    appended name empty turns. The renderings of a conversation in the order of its turns are the formatted conversation."""
     given = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    rows, n = numbered(given, "conv_id", "turn", "role", "text")
+    rows, n = numbered(given.withColumn("sum", F.xxhash64("text")), "conv_id", "turn", "role", "sum")
     size = max(ROWS_LEAST, min(ROWS_MOST, n // BLOCKS))
-    rows = rows.select("row", F.expr(f"row div {size}").alias("block"), text("conv_id").alias("ck"), text("turn").alias("turn_key"), "role", "text")
-    borders = rows.select("row", "block", "ck", "role").groupBy("block").applyInPandas(_borders, "ck string, block long, costs array<double>")
+    roles = rows.select("row", F.expr(f"row div {size}").alias("block"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("ck"), "role")
+    borders = roles.groupBy("block").applyInPandas(_borders, "ck string, block long, costs array<double>")
     chained = borders.groupBy("ck").applyInPandas(_chained, "block long, ck string, enter long, leave long, last boolean")
-    return rows.groupBy("block").cogroup(chained.groupBy("block")).applyInPandas(_repaired, REPAIRED)
+    decided = roles.groupBy("block").cogroup(chained.groupBy("block")).applyInPandas(_decided, DECIDED)
+    both = rows.join(decided.hint("merge"), "row")
+    return both.select("conv_id", "turn", "role", "new_role", "action", "inserted", "appended", "cost", rendered().alias("rendered"))
 
 
 def op8_chat_formatting(spark, sf_dir: str) -> DataFrame:
