@@ -41,10 +41,27 @@ def test_licenses(spark):
     assert licenses.scan(helpers.repeated(spark)).count() == 6
 
 
-def test_license_anchors_follow_frequencies():
+def test_license_labels(spark):
+    texts = ["SPDX-License-Identifier: Apache-2.0", "GPLv3", "MIT License", "in no event will the authors be held", "see the terms in no event will the authors be held liable",
+             "This wor\u212a is licensed under the GNU General Public License version 2", "permission is hereby granted free of charge to any person obtaining a copy", "under the MIT licen\u017fe",
+             "Provided AS IS, without any express or implied warranty. In no event will the authors be held liable"]
+    got = {r.doc_id: sorted({p.label for p in r.places or []}) for r in licenses.scan(helpers.documents(spark, texts)).collect()}
+    # The zlib phrase alone is less than half of its template; the long s is not an s.
+    assert got == {0: ["apache-2"], 1: ["gpl-3"], 2: ["mit"], 3: [], 4: [], 5: ["gpl-2"], 6: ["mit"], 7: [], 8: ["zlib"]}
+
+
+def test_only_a_to_z_are_lower_cased(spark):
+    got = licenses.scan(helpers.documents(spark, ["\u212aING Ünder İ THE"])).first()
+    assert got.n_words == len(words("\u212aING Ünder İ THE"))
+    rows = helpers.documents(spark, ["\u212aING ÄB"]).select(licenses.words_of().alias("w")).first()
+    assert rows.w == words("\u212aING ÄB")
+
+
+def test_license_index_begins_with_the_rarest_words():
     t = licenses.templates()
-    index = licenses.postings(t, {w: 10 for w in "under the license".split()})
-    assert [w for w, _ in index[0]["anchors"]] == ["mit", "under"]
+    index = licenses.index(t, {w: 10 for w in "under the license".split()})
+    assert [w for w in index if (0, t[0]["key"].index(w) if w in t[0]["key"] else -1) in index[w]][:2] == ["mit", "license"]
+    assert index["mit"][0] == (0, 2)
 
 
 def judged(texts, items, window=10):

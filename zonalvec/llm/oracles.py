@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import WORD
-from .licenses import templates
+from .licenses import LEAST_SHARE, templates
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,8 +22,9 @@ def license_scan() -> str:
 templates AS (SELECT * FROM (VALUES {rows}) AS v(label, base, words, key, key_at)),
 found AS (SELECT doc_id, w, label, base, words, unnest(list_filter(range(len(w)), lambda i: w[i + 1] = key[1] AND w[i + 1 : i + len(key)] = key)) - key_at AS start FROM docs, templates WHERE contains(s, ' ' || array_to_string(key, ' ') || ' ')),
 places AS (SELECT doc_id, label, base, start, len(list_filter(range(len(words)), lambda j: start + j >= 0 AND w[greatest(start + j, 0) + 1] IS NOT DISTINCT FROM words[j + 1])) / CAST(len(words) AS DOUBLE) AS share FROM found),
+kept AS (SELECT * FROM places WHERE base OR share >= {LEAST_SHARE}),
 per AS (SELECT doc_id, CAST(sum(CASE WHEN base THEN 1 ELSE 0 END) AS BIGINT) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
- string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM places GROUP BY doc_id)
+ string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM kept GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM docs LEFT JOIN per USING (doc_id)"""
 
