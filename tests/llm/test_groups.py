@@ -67,8 +67,10 @@ def test_near_duplicates(spark):
 def test_near_duplicates_of_repeats_and_nothing(spark):
     assert simhash.near_duplicates(helpers.empty(spark)).count() == 0
     assert simhash.near_duplicates(helpers.repeated(spark)).count() == 6
-    kept = simhash.one_per_group(helpers.repeated(spark)).collect()
-    assert Counter(r.doc_id for r in kept) == {4: 1, 7: 1, 9: 1}
+    # An id with two different texts keeps both.
+    given = helpers.repeated(spark)
+    assert Counter((r.doc_id, r.text) for r in simhash.one_per_group(given).collect()) == brute_kept([(r.doc_id, r.text) for r in given.collect()])
+    assert simhash.one_per_group(helpers.empty(spark)).count() == 0
 
 
 def test_links_are_all_pairs_within_four_bits(spark):
@@ -206,6 +208,51 @@ def likeness(a, b):
     return len(a & b) / len(a | b)
 
 
+def brute_kept(rows):
+    """(id, text): the row of least id, nulls last, of each group of rows with the same words or a likeness of 0.8 or more."""
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    sets = [set(simhash.shingles(simhash.words_of(t))) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both * 5 >= (len(sets[a]) + len(sets[b]) - both) * 4:
+                root[find(a)] = find(b)
+    groups = {}
+    for a in range(len(rows)):
+        groups.setdefault(find(a), []).append(rows[a])
+    return Counter(min(own, key=lambda r: (r[0] is None, r[0] or 0)) for own in groups.values())
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_one_per_group_keeps_the_rows_of_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(8)
+    rows, base = [], [f"w{x}" for x in rng.integers(0, 3000, 150)]
+    for k in range(60):  # variants of one text, some closer to it than to each other; null and repeated ids, repeated rows
+        w = list(base)
+        for at in rng.choice(len(w), k % 5, replace=False):
+            w[at] = f"new{k}{at}"
+        rows.append((None if k % 7 == 0 else k // 2, " ".join(w)))
+    rows += [(100 + k, helpers.prose(30 + k, 70 + k)) for k in range(20)] + rows[:5] + [(7, None), (None, ""), (7, "same id"), (7, "other words")]
+    expected = brute_kept(rows)
+    for parts in (1, 5):
+        order = rng.permutation(len(rows))
+        docs = helpers.documents(spark, [rows[i][1] for i in order], [rows[i][0] for i in order]).withColumn("_key", F.lit(1)).withColumn("bucket_", F.lit("x")).repartition(parts)
+        kept = simhash.one_per_group(docs)
+        got = kept.collect()
+        assert kept.columns == docs.columns and len(got) == sum(expected.values())
+        # Of rows with the same words and id any one may stay.
+        plain = lambda t: " ".join((t or "").lower().split())
+        assert Counter(r.doc_id for r in got) == Counter(e for (e, _), n in expected.items() for _ in range(n))
+        assert {plain(r.text) for r in got if r.doc_id is not None} == {plain(t) for (i, t) in expected if i is not None}
+
+
 def test_one_per_group_links_five_word_likeness(spark):
     rng = np.random.default_rng(4)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(20)]

@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
-        now = materialise(_small_star(_large_star(now)), "edges")
+        now = materialise(_small_star(_large_star(now)), "edges", instead_of=now)
         said = _digest(now)
         if said == seen:
             break

@@ -5,12 +5,14 @@ that differs in one bit at most (4 / 3 < 2), so both produce the same variant of
 bit position left out. Variants are joined on equality and the whole fingerprints are then compared.
 Equal fingerprints are collapsed first, so copies never meet each other in the join.
 
-``one_per_group`` links more: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-Such texts differ in about ten of 64 bits, where few segments have one difference. So the SimHash is made of
-``WORDS`` numbers of 64 bits, any of its bands of ``BAND`` bits makes two texts candidates, and the sets of
-the candidates are compared exactly. Texts of the same words are collapsed first. Of each band every text meets
-the first one, then only texts that are not linked yet meet each other, so large groups of near copies cost
-no pairs of texts.
+``one_per_group`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts
+differ in about ten of the 64 bits, more than few segments with one difference can reach, and many short segments would
+bring nearly all texts together. So a text's component under the links above is one of its buckets, and ``BANDS`` buckets
+more come from min-wise keys (``ROWS`` least shingle hashes each) of the same shingle hashes. In each bucket every text meets
+one representative, at first the text with the largest buckets, then others; what is linked already meets no more. Of the rest,
+small buckets are compared pair by pair, and large ones are cut by longer keys first. Candidates must be close in their
+fingerprints, and their sets of shingles are compared exactly. Texts of the same words are collapsed first, and no
+step makes more than ``SMALL`` pairs a text of a bucket before its keys are as long as they get.
 
 Defined cases: a null text has no words; no words give fingerprint zero, which links like any other; fewer
 than four words are one shingle; repeated rows share a fingerprint; rows with a null doc_id keep a
@@ -20,13 +22,14 @@ fingerprint and take part, the component of a group of nothing but null ids is n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import dropped, materialise
 from .components import components
 
 SHINGLE = 4
@@ -38,38 +41,48 @@ CUTS = (0, 21, 42, 64)
 #: What one_per_group links: five-word shingles, similarity of LIKE[0] / LIKE[1] or more.
 NEAR_SHINGLE = 5
 LIKE = (4, 5)
-#: 64 bands: all of the 250 pairs of different texts from 0.8 to 0.9 at sf0.1 and of those above share one.
-WORDS, BAND = 16, 16
-BANDS = WORDS * 64 // BAND
-#: Candidates differ in as many bits of the first 64 or fewer; pairs at 0.8 or more differ in 14 at most at sf0.1.
+#: Min-wise keys: a pair at 0.8 shares one of them with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.995.
+BANDS, ROWS = 10, 4
+#: Candidates differ in as many bits of the fingerprint or fewer; pairs at 0.8 or more differ in 14 at most at sf0.1.
 NEAR_BITS = 20
+#: Rounds in which all texts of a bucket meet one of them; texts of a bucket that are compared pair by pair.
+ROUNDS, SMALL = 3, 32
+#: Keys that are joined to cut large buckets, by level.
+LEVELS = (1, 2, 4, 8)
 #: Shingles hashed at a time.
 PIECE = 4096
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _BYTE_OFFSET = np.arange(8, dtype=np.int64) * 256
-_LONG_OFFSET = np.arange(8 * WORDS, dtype=np.int64) * 256
-_STEPS = np.array([0x9E3779B97F4A7C15 * k % (1 << 64) for k in range(1, WORDS)], np.uint64)
+#: An odd factor and a mask for each least hash.
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) | 1 for k in range(BANDS * ROWS)], np.uint64)
+_MASKS = np.array([0xD1B54A32D192ED03 * (k + 1) % (1 << 64) for k in range(BANDS * ROWS)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority of the bits of every shingle's XXH64, repeats included; as an unsigned number."""
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of fewer words the hash of all."""
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))).tolist()
     starts = [0, *(e + 1 for e in ends[: -shingle])]
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(starts))
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_OFFSET).ravel(), minlength=2048).reshape(8, 256)
     ones = (counts @ _BITS).ravel() * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority of the bits of every shingle's XXH64, repeats included; as an unsigned number."""
+    words = words_of(text)
+    return _majority(_hashes(words, shingle)) if words else 0
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
@@ -129,96 +142,138 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    return (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
 
 
 def shingles(words: list[bytes], shingle: int = NEAR_SHINGLE) -> list[bytes]:
     return [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
 
 
-def long_fingerprint(words: list[bytes], shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """SimHash of WORDS numbers: the first from every shingle's XXH64, the others from SplitMix64 steps from it."""
+def signature(words: list[bytes]) -> np.ndarray:
+    """The fingerprint over NEAR_SHINGLE words, and BANDS keys of ROWS least hashes each."""
     import xxhash
 
     if not words:
-        return np.zeros(WORDS, np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(words, shingle)), np.uint64)
-    counts = np.zeros(2048 * WORDS, np.int64)
+        return np.zeros(1 + BANDS, np.int64)
+    hashes = _hashes(words, NEAR_SHINGLE)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for i in range(0, len(hashes), PIECE):
-        first = hashes[i : i + PIECE, None]
-        z = first + _STEPS
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = np.concatenate([first, z ^ (z >> np.uint64(31))], axis=1)
-        counts += np.bincount((z.view(np.uint8).reshape(len(z), -1) + _LONG_OFFSET).ravel(), minlength=2048 * WORDS)
-    ones = (counts.reshape(-1, 256) @ _BITS).ravel() * 2 > len(hashes)
-    return np.packbits(ones, bitorder="little").view(np.int64)
+        least = np.minimum(least, ((hashes[i : i + PIECE, None] ^ _MASKS) * _FACTORS).min(0))
+    keys = [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, BANDS * ROWS, ROWS)]
+    return np.array([_majority(hashes), *keys], np.uint64).view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """-> row (struct of docs' columns), key (of the row alone), same (digest of the words), fps (the long SimHash)."""
+    """-> row (struct of docs' columns), key (of the row alone), same (digest of the words), sig (see ``signature``)."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("key", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("key", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            same, fps = [], np.empty((batch.num_rows, WORDS), np.int64)
+            same, sig = [], np.empty((batch.num_rows, 1 + BANDS), np.int64)
             for i, t in enumerate(batch.column(0).field("text")):
                 words = words_of(t.as_py())
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                fps[i] = long_fingerprint(words)
-            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, WORDS, dtype=np.int32), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), lists], ["row", "key", "same", "fps"])
+                sig[i] = signature(words)
+            lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, 1 + BANDS, dtype=np.int32), pa.array(sig.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), lists], ["row", "key", "same", "sig"])
 
     rows = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
     return rows.select(F.struct(*[rows[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")).mapInArrow(run, schema)
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """BANDS rows a node: its columns but fps, fp = the first 64 bits, band = the number and bits of a band."""
-    per = 64 // BAND
-    rows = nodes.select(*[c for c in nodes.columns if c != "fps"], F.col("fps")[0].alias("fp"), F.posexplode("fps").alias("w", "x"))
-    parts = F.array(*[F.shiftrightunsigned("x", BAND * k).bitwiseAND(F.lit((1 << BAND) - 1)) + (F.col("w") * per + k).cast("long") * (1 << BAND) for k in range(per)])
-    return rows.withColumn("band", F.explode(parts)).withColumn("band", F.col("band").cast("int")).drop("w", "x")
-
-
 def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) of keys whose texts' sets of shingles are as similar as LIKE; compared exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lru_cache(16)(lambda text: frozenset(shingles(words_of(text))))  # a representative comes many times
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (set(shingles(words_of(t.as_py()))) for t in (a, b))
+                a, b = held(a.as_py()), held(b.as_py())
                 both = len(a & b)
                 keep.append(both * LIKE[1] >= (len(a) + len(b) - both) * LIKE[0])
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs.distinct(), "simhash-candidates")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = materialise(rows.select("key", F.col("row.text").alias("text")).join(ends, "key", "left_semi"), "simhash-texts")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select("u").union(pairs.select("v")).distinct()
+    texts = materialise(rows.select("key", F.col("row.text").alias("text")).join(ends.withColumnRenamed("u", "key"), "key", "left_semi"), "simhash-texts")
     first, second = (texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    return materialise(pairs.join(first, "u").join(second, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"), "simhash-alike")
+    found = materialise(pairs.join(first, "u").join(second, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"), "simhash-alike")
+    dropped(pairs, texts)
+    return found
+
+
+def _close(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR_BITS
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with ``root``: that of their node, or the node itself."""
+    return rows.drop("root").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _unsettled(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold texts of different roots, with ``n`` rows in the bucket."""
+    ends = buckets.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi")
+    return buckets.drop("n").hint("merge").join(ends.select("bucket", "n"), "bucket")
+
+
+def _starred(buckets: DataFrame, rank: Column) -> DataFrame:
+    """(u, v): every text with the text of least rank in its bucket."""
+    best = buckets.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "fp", "root")).alias("b")).select("bucket", F.col("b.node").alias("u"), F.col("b.fp").alias("fp_u"), F.col("b.root").alias("root_u"))
+    met = buckets.hint("merge").join(best, "bucket").filter((F.col("root") != F.col("root_u")) & _close("fp", "fp_u"))
+    return met.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v"))
+
+
+def _paired(buckets: DataFrame) -> DataFrame:
+    """(u, v): all close texts of different roots that share a bucket."""
+    b = buckets.select("bucket", "node", "fp", "root").hint("merge")
+    pair = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _close("a.fp", "b.fp")
+    return b.alias("a").join(b.alias("b"), pair).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
 def near_roots(rows: DataFrame) -> DataFrame:
     """keyed rows -> (key, root): root is the least key reachable over texts of the same words and over alike texts."""
-    named = F.min(F.struct("key", "fps")).alias("n")
-    nodes = materialise(rows.groupBy("same").agg(named).select("same", F.col("n.key").alias("node"), F.col("n.fps").alias("fps")), "simhash-nodes")
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR_BITS
-    b = bands(nodes.select("node", "fps"))
-    firsts = b.groupBy("band").agg(F.min(F.struct("node", "fp")).alias("f")).select("band", F.col("f.node").alias("u"), F.col("f.fp").alias("fp_u"))
-    edges = alike(b.hint("merge").join(firsts, "band").filter((F.col("u") < F.col("node")) & close("fp", "fp_u")).select("u", F.col("node").alias("v")), rows)
-    roots = components(edges)
-    b = bands(nodes.join(roots, nodes.node == roots.u, "left").select("node", "fps", F.coalesce("root", "node").alias("root"))).hint("merge")
-    pair = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & close("a.fp", "b.fp")
-    more = alike(b.alias("a").join(b.alias("b"), pair).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), rows)
-    roots = components(edges.union(more))
-    found = nodes.join(roots, nodes.node == roots.u, "left").select("same", F.coalesce("root", "node").alias("root"))
-    return rows.select("key", "same").join(found, "same").select("key", "root")
+    named = F.min(F.struct("key", "sig")).alias("n")
+    nodes = materialise(rows.groupBy("same").agg(named).select("same", F.col("n.key").alias("node"), F.col("n.sig")[0].alias("fp"), F.slice("n.sig", 2, BANDS).alias("keys")), "simhash-nodes")
+    # A bucket is a number and a key: the bands' keys, and the component of the fingerprint under links of a few bits.
+    linked = components(links(nodes.select("fp").distinct()).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    by_bits = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("node", "fp", "keys", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("bucket"))
+    by_band = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("band", "bucket"))
+    buckets = by_band.unionByName(by_bits).select("node", "fp", "keys", "band", F.xxhash64("band", "bucket").alias("bucket"), F.col("node").alias("root"))
+    live = materialise(_unsettled(buckets), "simhash-buckets")
+    weight = live.groupBy("node").agg(F.sum("n").alias("weight"))
+    edges, roots = None, None
+    for number in range(ROUNDS):
+        if live.isEmpty():
+            break
+        rank = F.xxhash64("node", F.lit(number)) if number else F.struct(-F.col("weight"), F.col("node"))
+        found = alike(_starred(live if number else live.join(weight, "node"), rank), rows)
+        edges, before = found if edges is None else materialise(edges.union(found), "simhash-edges", instead_of=edges), roots
+        roots = components(edges)
+        live = materialise(_unsettled(_with_roots(live, roots)), "simhash-buckets", instead_of=live)
+        dropped(*[before] * (before is not None))
+    rest = None
+    for keys in LEVELS:
+        if live.isEmpty():
+            break
+        if keys > 1:  # what is left of large buckets, under longer keys
+            more = [F.get("keys", (F.col("band") + k) % BANDS) for k in range(keys)]
+            longer = live.filter(F.col("n") > SMALL).withColumn("bucket", F.xxhash64("bucket", *more))
+            live = materialise(_unsettled(longer), "simhash-buckets", instead_of=live)
+        pairs = materialise(_paired(live if keys == LEVELS[-1] else live.filter(F.col("n") <= SMALL)), "simhash-pairs")
+        rest = pairs if rest is None else materialise(rest.union(pairs), "simhash-pairs", instead_of=rest)
+    if rest is not None:
+        roots = components(edges.union(alike(rest, rows)))
+    if roots is None:  # no text shares a bucket with another one
+        return nodes.join(rows.select("key", "same"), "same").select("key", F.col("node").alias("root"))
+    return rows.select("key", "same").join(_with_roots(nodes.select("same", "node"), roots).select("same", "root"), "same").select("key", "root")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -226,7 +281,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     rows = materialise(keyed(docs), "simhash-rows")
     named = materialise(near_roots(rows).join(rows.select("key", F.col("row.doc_id").cast("long").alias("doc_id")), "key"), "simhash-roots")
     least = named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("least"))
-    gone = materialise(named.join(least, "root").filter("key <> least.key").select("key"), "simhash-gone")
+    gone = materialise(named.join(least, "root").filter("key <> least.key").select("key"), "simhash-gone", instead_of=named)
     return rows.join(gone, "key", "left_anti").select("row.*")
 
 
