@@ -5,8 +5,9 @@ from a bounded number of the records that are archived in it; each record is the
 Where the records are too few to train one, their bytes serve as a raw dictionary.
 
 Pages with equal payloads of at least 100 bytes are stored once, as the response of the least page_id; the
-others are revisit records. The first of each group is found by a partial aggregation over digests, so a
-group of copies never meets in one task; pages are then dealt by their own id, with one shuffle of the payloads.
+others are revisit records. The first of each group is found by a partial aggregation over digests; the table of firsts is
+repeated for ``SALTS`` parts of each group, so neither short payloads nor a group of copies meet in one task. Pages are then
+dealt by their own id, with one shuffle of the payloads.
 
 Files go to a folder that driver and executors share (any store that pyarrow.fs opens). A task writes under a
 name of its own and renames when a file is whole; names and contents depend on the partition alone, so a
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, new_folder, table
 
 LEAST_SHARED = 100
+#: Parts of a group of equal payloads.
+SALTS = 16
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 32 << 10
 #: Records (and bytes of them) that a file's dictionary is built from.
@@ -52,9 +55,12 @@ def planned(pages: DataFrame) -> DataFrame:
     """pages with digest, n (bytes) and first: the page_id whose record holds the payload, if it is another's."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    ids = rows.select("page_id", "digest", "n").distinct()
-    firsts = ids.filter(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    first = ids.join(firsts, "digest", "left").select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
+    ids = rows.select("page_id", "digest", "n").distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    shared, short = ids.filter(F.col("n") >= LEAST_SHARED), ids.filter(F.col("n") < LEAST_SHARED)
+    firsts = shared.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    both = shared.join(firsts, ["digest", "salt"], "left").select("page_id", "digest", "first").unionByName(short.select("page_id", "digest", F.lit(None).cast("long").alias("first")))
+    first = both.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
     joined = rows.join(first.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
     return joined.select("page_id", "url", "html", "digest", "n", "first").sortWithinPartitions("page_id", "digest", "url")
 
