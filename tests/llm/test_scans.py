@@ -82,12 +82,12 @@ def judged(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_nodes", [1 << 20, 500])
+def test_decontamination(spark, block_nodes):
     passage = helpers.prose(14, 50)
     items = [(1, passage), (2, passage.upper()), (3, "short item"), (4, None), (None, "alpha beta"), (10, helpers.prose(25, 51)), (3, "short item"), (5, "  ,. ")]
     texts = helpers.tricky_texts() + [f"X, {passage.replace(' ', '  -- ')}! SHORT\nitem short item", helpers.prose(500, 60) + " " + helpers.prose(25, 51) + " end", "short", "short-item"]
-    df = decontaminate.scan(helpers.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    df = decontaminate.scan(helpers.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_nodes=block_nodes)
     got = {r.row.doc_id: r for r in df.withColumn("n_hit", decontaminate.hit_words()).collect()}
     for i, (n, hit, who) in enumerate(judged(texts, items)):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (n, hit, who), i

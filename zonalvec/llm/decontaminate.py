@@ -4,8 +4,9 @@ Texts are normalised to words (A-Z lower-cased; ASCII non-alphanumerics separate
 consecutive item words, or a whole shorter item, is a pattern over word numbers; a document is scanned once
 and each occurrence is mapped back to character offsets of the original text.
 
-The items are brought to the tasks in blocks of at most ``block_bytes`` of text, whatever the size of the
-benchmark: one block is the usual case, more blocks are scanned one after the other and their spans merged.
+An automaton takes about 75 bytes a node and has at most three nodes a word of each window. Items of more than
+``BLOCK_NODES`` nodes together are therefore dealt to several automata, each within a worker's memory; the documents go
+through them one after the other and the spans are merged. One automaton is the usual case.
 
 Defined cases: null or wordless texts have no words and no hits; items with null id or null text are left
 out; items that repeat count once by id; repeated documents are each judged; other columns are carried along.
@@ -27,7 +28,11 @@ from pyspark.sql import types as T
 from .common import WORD, materialise, table
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: Nodes of an automaton at most, about 300 MB of a worker.
+BLOCK_NODES = 4_000_000
+
+#: Digits of a word's number that a node is reckoned for: enough for 262,143 different words.
+DIGITS = 3
 
 _FIND = re.compile(WORD)
 #: For UTF-8 bytes: A-Z lower-cased, other ASCII but digits and letters to blanks; bytes of longer characters stay.
@@ -111,23 +116,25 @@ def _offsets(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "start_char", "end_char")]))
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """Items in blocks of at most block_bytes (or one item); only one block's rows are held at a time by the caller's loop."""
+def _blocks(items: DataFrame, window: int, block_nodes: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """Items in blocks of about block_nodes nodes (or one item), and whether a block is the last; one block's rows are held at a time."""
     kept = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null and t is not null")
-    size = kept.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_bytes))
+    count = F.regexp_count(F.lower("t"), F.lit(WORD)).cast("long")
+    nodes = F.greatest(F.lit(1), count - window + 1) * F.least(count, F.lit(window)) * DIGITS
+    n = max(1, -(-kept.agg(F.coalesce(F.sum(nodes), F.lit(0))).first()[0] // block_nodes))
     for b in range(n):
         yield [(r.i, r.t) for r in kept.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()], b == n - 1
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """-> row (struct of docs' columns), n_words, spans (words and original characters), items (ids, sorted as strings)."""
     spark = docs.sparkSession
     schema = T.StructType([
         T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType())),
     ])
+    whole = None
     state = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for items_here, last in _blocks(items, block_bytes):
+    for items_here, last in _blocks(items, window, block_nodes):
         sent = spark.sparkContext.broadcast(items_here)
         token = uuid.uuid4().hex
 
@@ -151,7 +158,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, types), pa.array(who, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
         out = state.mapInArrow(run, schema)
-        state = out if last else materialise(out, "decontaminate").select("row", "spans", "items")
+        if not last:
+            whole = materialise(out, "decontaminate", instead_of=whole)
+            state = whole.select("row", "spans", "items")
     return out
 
 
