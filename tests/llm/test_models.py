@@ -48,7 +48,7 @@ def test_quality_cases(spark):
 
 def test_neighbours_are_those_of_brute_force():
     texts = [helpers.prose(20 + i, i) for i in range(50)]
-    space = quality.Space(list(range(50)), texts, [i % 2 for i in range(50)], 16)
+    space = quality.Space(list(range(50)), *quality.counted(texts), [i % 2 for i in range(50)], 16)
     cosine = np.round((space.vectors @ space.vectors.T).astype(float), 6)
     for i, score in enumerate(space.scores(texts)):
         near = sorted(range(50), key=lambda j: (-cosine[i, j], j))[: quality.NEIGHBOURS]
@@ -56,6 +56,65 @@ def test_neighbours_are_those_of_brute_force():
         assert score == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-4)
 
 
+def test_space_is_that_of_a_full_decomposition():
+    texts = [helpers.prose(20 + i, i) for i in range(40)] + ["ABC 123 ;;\n" * (i + 1) for i in range(10)]
+    space = quality.Space(list(range(50)), *quality.counted(texts), [i % 2 for i in range(50)], 12)
+    counts = np.zeros((50, 64, 64))
+    shape = []
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        for a, b in zip(raw, raw[1:]):
+            counts[i, quality._CLASS[a], quality._CLASS[b]] += 1
+        capitals, digits, lines = (sum(f(chr(b)) for b in raw) for f in (lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c == "\n"))
+        letters, own = sum("a" <= chr(b) <= "z" or b > 127 or b == 32 for b in raw), t.split()
+        shape.append([sum(a == b for a, b in zip(own, own[1:])) / len(own), capitals / len(raw), digits / len(raw), (len(raw) - capitals - digits - lines - letters) / len(raw), lines / len(raw)])
+    tf = counts.reshape(50, -1)
+    idf = np.log(51 / ((tf > 0).sum(0) + 1)) + 1
+    weighted = np.log1p(tf) * idf
+    matrix = np.hstack([weighted / np.linalg.norm(weighted, axis=1, keepdims=True), quality.SHAPE_WEIGHT * np.sqrt(shape)])
+    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    latent = u[:, :12] * s[:12]
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    np.testing.assert_allclose(space.vectors @ space.vectors.T, latent @ latent.T, atol=1e-3)
+    # A text that was not in the sample is projected on the same right singular vectors.
+    other = (space._weighted(*quality.counted(["the of and 42 zeta"])) @ space.basis)[0]
+    one = space._weighted(*quality.counted(["the of and 42 zeta"]))[0]
+    np.testing.assert_allclose(np.abs(other), np.abs(vt[:12] @ one), atol=1e-3)
+
+
+def test_a_repeated_id_is_learned_once(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = helpers.documents(spark, [helpers.prose(9, i) for i in range(40)] * 3 + ["again"], [*range(40)] * 3 + [1])
+    assert len(quality.fit(docs, labels).labels) == sum(fold(i, 5) != 0 for i in range(40))
+
+
+def test_fifty_languages(spark):
+    rng = np.random.default_rng(5)
+    rows, words = [], [[chr(0x4E00 + 16 * k + int(c)) * int(n) for c, n in zip(rng.integers(0, 16, 30), rng.integers(1, 4, 30))] for k in range(50)]
+    for i in range(1000):
+        rows.append((i, " ".join(rng.choice(words[i % 50], 12)), f"l{i % 50:02d}" if i < 800 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 50
+    size = sum(len(x.values) for x in model.seen + model.escapes)
+    # At most a byte and an escape for each gram that a language saw, in each of four orders.
+    assert size <= 8 * language.count_grams(docs.filter("lang is not null")).count()
+    got = {r.row.doc_id: r.lang_pred for r in language.identify(docs.drop("lang"), model).collect()}
+    assert np.mean([got[i] == f"l{i % 50:02d}" for i in range(1000)]) > 0.95
+
+
+def test_grams_without_a_place_are_remembered_apart(monkeypatch):
+    monkeypatch.setattr(language, "SLOTS", 64)
+    monkeypatch.setattr(language, "OTHERS", 20)
+    texts = [b"the cat sat on the mat " * 3, "ünd der die das größte".encode()]
+    parts = [(k, int.from_bytes((b"\0" * 3 + t)[i : i + 4], "big")) for k, t in enumerate(texts) for i in range(len(t))]
+    found, n = np.unique(np.array(parts, np.int64), axis=0, return_counts=True)
+    model = language.Model(["a", "b"], found[:, 0].astype(np.int16), found[:, 1], n)
+    for _ in range(3):
+        for text in (*texts, b"mixed der cat", bytes(range(256)), b""):
+            np.testing.assert_allclose(model.code_lengths(text), [brute_ppm([t], text) for t in texts], rtol=1e-5)
+
+
 def test_language_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     rows = llm.QUERIES["op9_language_id"](spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").collect()

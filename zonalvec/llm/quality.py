@@ -7,12 +7,14 @@ labelled sample's matrix gives the latent space. The space is fitted once, on th
 ``NEIGHBOURS``, weighted by a power of the cosine.
 
 The sample holds about ``SAMPLE_TEXTS`` labelled training documents at most, chosen by a hash of their ids;
-training rows are those with crc32(id) modulo 5 other than 0. Only text is looked at.
+training rows are those with crc32(id) modulo 5 other than 0. Only text is looked at. Terms are counted in the tasks, so
+what comes to the driver is ``CLASSES`` squared and five numbers a sampled id, however long its text is.
 
 Defined cases: a text without any term or similarity gets the sample's share of label 1; so does every row when
 nothing is labelled (0.5 then); equal texts get equal scores; ties of cosine at six decimals go to the
 labelled document with the smaller id; rows with a null or unknown label are not learned from; repeated
-labels of an id count once, as the largest; texts are read whole.
+labels of an id count once, as the largest; of rows that repeat a labelled id one text is learned from, that of the least
+checksum; texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ THRESHOLD = 0.3
 #: Documents a task multiplies at a time.
 BLOCK = 256
 CLASSES = 64
+#: Shares of a text's shape.
+SHAPE = 5
 
 
 def _byte_classes() -> np.ndarray:
@@ -68,16 +72,23 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return pairs, np.sqrt([again, capitals / n, digits / n, max(0, len(raw) - capitals - digits - lines - letters) / n, lines / n])
 
 
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of several texts."""
+    counts, shape = np.zeros((len(texts), CLASSES * CLASSES), np.float32), np.zeros((len(texts), SHAPE))
+    for row, text in enumerate(texts):
+        counts[row], shape[row] = features(text)
+    return counts, shape
+
+
 class Space:
     """The latent space of a labelled sample, and its documents in it."""
 
-    def __init__(self, ids: list[int], texts: list[str], labels: list[int], dimensions: int = DIMENSIONS):
+    def __init__(self, ids: list[int], counts: np.ndarray, shape: np.ndarray, labels: list[int], dimensions: int = DIMENSIONS):
+        """counts: of byte class pairs, a row for each id; shape: the shares of ``features``."""
         order = np.argsort(ids, kind="stable")
         self.labels = np.array(labels, float)[order]
         self.prior = float(self.labels.mean()) if len(order) else 0.5
-        counts, shape = np.zeros((len(order), CLASSES * CLASSES), np.float32), np.zeros((len(order), 5))
-        for row, i in enumerate(order):
-            counts[row], shape[row] = features(texts[i])
+        counts, shape = counts[order], shape[order]
         self.idf = (np.log((len(order) + 1) / ((counts > 0).sum(0) + 1)) + 1).astype(np.float32)
         matrix = self._weighted(counts, shape)
         # Left singular vectors from the small Gram matrix of the sample; then the right ones.
@@ -96,10 +107,7 @@ class Space:
     def scores(self, texts: list[str | None], neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
-        counts, shape = np.zeros((len(texts), CLASSES * CLASSES), np.float32), np.zeros((len(texts), 5))
-        for row, text in enumerate(texts):
-            counts[row], shape[row] = features(text)
-        own = self._unit(self._weighted(counts, shape) @ self.basis)
+        own = self._unit(self._weighted(*counted(texts)) @ self.basis)
         cosine = np.round((own @ self.vectors.T).astype(np.float64), 6)
         k = min(neighbours, len(self.labels))
         ranked = cosine - np.arange(len(self.labels)) * 1e-10
@@ -116,8 +124,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) ->
     training = known.filter(row_id_fold("doc_id", FOLDS) != HELD_OUT)
     rate = min(1.0, sample_texts / max(1, training.count()))
     chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(rate * 1_000_000))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
-    return Space(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["quality"].to_pylist())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(i, BLOCK)
+                counts, shape = counted(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array([c.tobytes() for c in counts]), pa.array([x.tobytes() for x in shape])], ["doc_id", "quality", "sum", "counts", "shape"])
+
+    found = texts.select("doc_id", "text", "quality", F.xxhash64("text").alias("sum")).mapInArrow(count, "doc_id long, quality int, sum long, counts binary, shape binary")
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("sum", "quality", "counts", "shape")).alias("s")).select("doc_id", "s.*").toArrow()
+    counts = np.frombuffer(b"".join(sample["counts"].to_pylist()), np.float32).reshape(-1, CLASSES * CLASSES)
+    shape = np.frombuffer(b"".join(sample["shape"].to_pylist())).reshape(-1, SHAPE)
+    return Space(sample["doc_id"].to_pylist(), counts, shape, sample["quality"].to_pylist())
 
 
 def scored(docs: DataFrame, space: Space) -> DataFrame:
