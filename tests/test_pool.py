@@ -55,7 +55,7 @@ def test_pooler(patches, method):
         np.testing.assert_allclose(got[k], expected, rtol=1e-6, atol=1e-9, err_msg=f"{method} {k}")
 
 
-@pytest.mark.parametrize("how", [pool.covariance, pool.covariance_by_moments])
+@pytest.mark.parametrize("how", [pool.covariance, pool.covariance_by_pairs])
 def test_covariance(spark, how):
     pixels = spark.createDataFrame([(k, y, x, [float(v) for v in g[y, x]]) for k, g in GRIDS.items() if k < 7 for y in range(g.shape[0]) for x in range(g.shape[1])], "patch_id long, y int, x int, vec array<double>")
     got = {k: dict(own) for k, own in _by_patch(how(pixels)).items()}

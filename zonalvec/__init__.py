@@ -10,7 +10,7 @@ _PUBLIC = {
     "model": "assemble patches_to_long pixels_to_long",
     "operators.fitted": "PCA BoVW NotFitted",
     "operators.metrics": "METRICS class_scores confusion metrics summary",
-    "operators.pool": "POOLERS TRAINING_FREE Pooler average_deviation covariance covariance_by_moments custom features gem output_dim percentiles pool_long pool_many signed_gem",
+    "operators.pool": "POOLERS TRAINING_FREE Pooler average_deviation covariance covariance_by_pairs custom features gem output_dim percentiles pool_long pool_many signed_gem",
     "operators.probe": "bootstrap_knn bootstrap_linear evaluate_knn evaluate_linear neighbours standardise standardiser sweep",
     "operators.sampling": "bootstrap quotas size_curve subsample",
     "sources.manifest": "decode_labels encode_labels entries load load_pooled lookup quarantine read_lines split",

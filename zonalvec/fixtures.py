@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.order import numbered
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -55,22 +57,32 @@ ZONES = """zones AS (SELECT l_suppkey AS patch_id, CAST(i AS INT) AS band, [l_qu
  FROM (SELECT *, unnest(range(4)) AS i FROM lineitem))"""
 
 
-#: First coordinate (a stand-in for longitude) from which the spatial split tests: about a fifth of unit vectors.
-SPATIAL_CUT = 0.1
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, features, label): the embeddings as feature vectors."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+
+
+def standard_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth row is tested."""
+    return labelled(spark, d).withColumn("split_type", F.lit("standard")).withColumn("role", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
+
+
+def spatial_split(spark: SparkSession, d: str) -> DataFrame:
+    """The fifth with the largest first coordinate (a stand-in for longitude) is tested; of equal ones those with the least ids first."""
+    east = labelled(spark, d).withColumn("_east", -F.element_at("features", 1))
+    ranked, n = numbered(east, "_east", "row_id", name="_place")
+    return ranked.select("row_id", "features", "label", F.lit("spatial").alias("split_type"), F.when(F.col("_place") < n // 5, "test").otherwise("train").alias("role"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as labelled feature vectors under two kinds of split."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
-    standard = e.withColumn("split_type", F.lit("standard")).withColumn("role", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
-    spatial = e.withColumn("split_type", F.lit("spatial")).withColumn("role", F.when(F.element_at("features", 1) > SPATIAL_CUT, "test").otherwise("train"))
-    return standard.unionByName(spatial)
+    return standard_split(spark, d).unionByName(spatial_split(spark, d))
 
 
 FEATURES = """feats AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features, label, 'standard' AS split_type,
  CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS role FROM embeddings
  UNION ALL SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)), label, 'spatial',
- CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.1 THEN 'test' ELSE 'train' END FROM embeddings)"""
+ CASE WHEN row_number() OVER (ORDER BY embedding[1] DESC, vec_id) <= count(*) OVER () // 5 THEN 'test' ELSE 'train' END FROM embeddings)"""
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:

@@ -42,9 +42,9 @@ def scale_clip(v: Column, by: float = 2500.0) -> Column:
 
 
 def minmax_vector(vector: Column, eps: float = 1e-8) -> Column:
-    """(x - min) / (max - min + eps)."""
+    """(x - min) / (max - min + eps); 0 where that divisor is 0, in a constant vector with eps 0."""
     low, high = F.array_min(vector), F.array_max(vector)
-    return F.transform(vector, lambda x: (x - low) / (high - low + eps))
+    return F.transform(vector, lambda x: F.when(high - low + eps != 0, (x - low) / (high - low + eps)).otherwise(0.0))
 
 
 def percentile_stretch(rows: DataFrame, low: float = 0.02, high: float = 0.98, keys: tuple[str, ...] = ("patch_id", "band")) -> DataFrame:

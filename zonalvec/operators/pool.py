@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..model import assemble
 
 V = "v"
+#: Values of moments that a task holds before it sends them on, and parts of a patch that are merged first.
+HELD_VALUES, SALTS = 4_000_000, 32
 PERCENTILES = (10, 25, 50, 75, 90)
 QUARTILES = (0.25, 0.5, 0.75)
 P, EPS = 3.0, 1e-6
@@ -77,8 +80,13 @@ class Pooler:
         return [b() for b in self.blocks]
 
 
-def percentiles(of: Iterable[float] = PERCENTILES) -> Pooler:
+def percentiles(of: Iterable[float] = PERCENTILES, accuracy: int | None = None) -> Pooler:
+    """Exact with interpolation; with ``accuracy`` values of the zone whose rank is off by 1 / accuracy of its size at most,
+    from a sketch of bounded size, for very large zones."""
     shares = tuple(q / 100.0 for q in of)
+    if accuracy:
+        sketch = lambda: F.percentile_approx(V, F.array(*map(F.lit, shares)), accuracy)
+        return Pooler("percentiles_approx", tuple((lambda i=i: _nan_if_any(sketch()[i])) for i in range(len(shares))))
     return Pooler("percentiles", tuple((lambda q=q: percentile(q, shares)) for q in shares))
 
 
@@ -148,40 +156,61 @@ def pool_many(rows: DataFrame, poolers: Iterable[Pooler], keys: tuple[str, ...]
     return stats.select(*keys, F.explode(cells).alias("_c")).select("_c.method", *keys, "_c.ord", "_c.value")
 
 
-def covariance(pixels: DataFrame, denom_floor: bool = False, keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:
-    """Pixel rows (keys, vec) -> (keys, ord, value): upper triangle of the sample covariance, diagonal included, row-major.
+def covariance(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
+    """Pixel rows (patch_id, vec) -> (patch_id, ord, value): upper triangle of the sample covariance, diagonal included, row-major.
 
-    Pairs of bands are exploded from each pixel and aggregated with partial sums. One pixel gives NaN, or 0 with
-    denom_floor (the divisor is then at least 1). For widths where d(d+1)/2 rows a pixel are too many, use
-    ``covariance_by_moments``.
+    One pixel gives NaN, or 0 with denom_floor (the divisor is then at least 1); a NaN or null value makes its bands' entries NaN.
+    Each task sums up its own pixels of a patch as (n, mean, products of the deviations from that mean); the parts of a
+    patch are merged in two steps by the rule for shifted means, so that no one task gets all parts of a large patch, no pixel
+    is exploded or read twice, and large means cancel nothing.
     """
-    pairs = F.explode(F.expr("flatten(transform(sequence(0, size(vec) - 1), i -> transform(sequence(i, size(vec) - 1), j -> struct(i, j, cast(vec[i] as double) as a, cast(vec[j] as double) as b))))"))
-    rows = pixels.select(*keys, F.size("vec").alias("_d"), pairs.alias("p")).select(*keys, "_d", "p.i", "p.j", "p.a", "p.b")
-    cov = rows.groupBy(*keys, "_d", "i", "j").agg(F.covar_samp("a", "b").alias("value"))
-    value = F.coalesce("value", F.lit(0.0 if denom_floor else float("nan")))
-    return cov.select(*keys, (F.col("i") * F.col("_d") - F.expr("i * (i - 1) div 2") + F.col("j") - F.col("i")).cast("int").alias("ord"), value.alias("value"))
-
-
-def covariance_by_moments(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
-    """The same from partial moments: each task sums (n, sum x, sum xx') of a patch's centred pixels, Spark merges the sums.
-
-    Rows shuffled: one a patch and task, instead of d(d+1)/2 a pixel. Vectors are centred by the patch's mean first.
-    """
-    means = pixels.select("patch_id", F.posexplode("vec").alias("band", "x")).groupBy("patch_id", "band").agg(F.avg("x").alias("m"))
-    centre = means.groupBy("patch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("m"))
-    centred = pixels.join(centre, "patch_id").select("patch_id", F.zip_with(F.col("vec"), F.col("m"), lambda a, b: a.cast("double") - b).alias("vec"))
 
     def moments(batches):
+        held: dict[int, tuple] = {}
         for batch in batches:
             for patch, own in batch.groupby("patch_id"):
-                x = np.stack(own["vec"].to_numpy())
-                d = x.shape[1]
-                yield pd.DataFrame({"patch_id": [patch], "n": [len(x)], "xx": [(x.T @ x)[np.triu_indices(d)]]})
-
-    parts = centred.mapInPandas(moments, "patch_id long, n long, xx array<double>")
-    sums = parts.select("patch_id", "n", F.posexplode("xx").alias("ord", "s")).groupBy("patch_id", "ord").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+                x = np.stack(own["vec"].to_numpy()).astype(float)
+                mean = x.mean(0)
+                part = len(x), mean, (x - mean).T @ (x - mean)
+                held[patch] = _merged(held[patch], part) if patch in held else part
+            if len(held) * len(mean) ** 2 > HELD_VALUES:
+                yield _parts(held)
+                held = {}
+        if held:
+            yield _parts(held)
+
+    def merge(_key, frame):
+        parts = [(n, np.array(m), np.array(xx).reshape(len(m), len(m))) for n, m, xx in zip(frame["n"], frame["mean"], frame["xx"])]
+        return _parts({frame["patch_id"].iloc[0]: reduce(_merged, parts)})
+
+    kind = "patch_id long, n long, mean array<double>, xx array<double>"
+    parts = pixels.select(F.col("patch_id").cast("long").alias("patch_id"), "vec").mapInPandas(moments, kind)
+    few = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("patch_id", "salt").applyInPandas(merge, kind)
+    whole = few.groupBy("patch_id").applyInPandas(merge, kind)
     alone = F.lit(0.0 if denom_floor else float("nan"))
-    return sums.select("patch_id", "ord", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(alone).alias("value"))
+    d = F.size("mean")
+    cells = F.expr("flatten(transform(sequence(0, size(mean) - 1), i -> slice(xx, i * size(mean) + i + 1, size(mean) - i)))")
+    return whole.select("patch_id", "n", F.posexplode(F.when(d > 0, cells)).alias("ord", "s")).select("patch_id", "ord", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(alone).alias("value"))
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Moments (n, mean, products) of two sets of pixels together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _parts(held: dict[int, tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"patch_id": list(held), "n": [p[0] for p in held.values()], "mean": [p[1] for p in held.values()], "xx": [p[2].ravel() for p in held.values()]})
+
+
+def covariance_by_pairs(pixels: DataFrame, denom_floor: bool = False, keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:
+    """The same without Python: pairs of bands are exploded from each pixel, d(d+1)/2 rows each, and summed with partial
+    aggregation. For pixels of a few bands, and for keys of any kind."""
+    pairs = F.explode(F.expr("flatten(transform(sequence(0, size(vec) - 1), i -> transform(sequence(i, size(vec) - 1), j -> struct(i, j, cast(vec[i] as double) as a, cast(vec[j] as double) as b))))"))
+    rows = pixels.select(*keys, F.size("vec").alias("_d"), pairs.alias("p")).select(*keys, "_d", "p.i", "p.j", "p.a", "p.b")
+    cov = rows.groupBy(*keys, "_d", "i", "j").agg(F.covar_samp("a", "b").alias("value"))
+    value = F.coalesce("value", F.lit(0.0 if denom_floor else float("nan")))
+    return cov.select(*keys, (F.col("i") * F.col("_d") - F.expr("i * (i - 1) div 2") + F.col("j") - F.col("i")).cast("int").alias("ord"), value.alias("value"))
 
 
 def average_deviation(rows: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Probes of feature vectors: cosine nearest neighbours and multinomial logistic regression.
 
-The test rows are a stated query set; both sides are packed into tiles of a bounded number of rows, written to the
-shared folder, and each tile of queries is multiplied with each tile of training rows inside the tasks. A task keeps
-the k nearest of its own queries while it goes through its training tiles, and one grouped top-k merges what the
-tasks kept. No query or training row comes to the driver, and a task's memory depends on the tiles alone.
+The test rows are a stated query set; both sides are packed into tiles of a bounded number of rows and written to the
+shared folder. Tiles are dealt to blocks: a part of the query tiles with a part of the training tiles, so the work of a task is
+bounded whatever the size of either side, and each tile of queries is multiplied with each tile of training rows of its block. A
+task keeps the k nearest of its own queries while it goes through a block, and one grouped top-k merges what the tasks kept. No query
+or training row comes to the driver.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import sanitize
 from ..storage import dropped, written
-from .metrics import METRICS, metrics
+from .metrics import METRICS, metrics, summary
 from .order import numbered_within
 from .sampling import bootstrap, size_curve
 
-#: Rows of a tile of queries and of training rows, and query tiles of a task.
-QUERY_TILE, TRAIN_TILE, TILES = 512, 2048, 8
+#: Rows of a tile of queries and of training rows, and tiles of either in a block.
+QUERY_TILE, TRAIN_TILE = 512, 2048
+QUERY_TILES, TRAIN_TILES = 8, 64
 DIGITS = 9
 
 
@@ -35,30 +37,33 @@ def unit(rows: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, per: int) -> DataFrame:
-    """(key, ids, labels, vectors): rows (row_id, label, key, features) packed in tiles of one key, at most ``per`` each, in id order."""
+    """(grp, key, ids, labels, vectors, tile): rows (grp, row_id, label, key, features) packed in tiles of one group and key, at most ``per`` each, in id order."""
 
     def run(batches):
         for batch in batches:
-            for key, own in batch.sort_values("row_id", kind="stable").groupby("key"):
+            for (grp, key), own in batch.sort_values("row_id", kind="stable").groupby(["grp", "key"]):
                 for i in range(0, len(own), per):
                     some = own.iloc[i : i + per]
-                    yield pd.DataFrame({"key": [key], "ids": [some["row_id"].to_numpy(np.int64).tobytes()], "labels": [some["label"].to_numpy(np.int64).tobytes()],
+                    yield pd.DataFrame({"grp": [grp], "key": [key], "ids": [some["row_id"].to_numpy(np.int64).tobytes()], "labels": [some["label"].to_numpy(np.int64).tobytes()],
                                         "vectors": [np.stack(some["features"].to_numpy()).astype(float).tobytes()]})
 
-    return rows.mapInPandas(run, "key long, ids binary, labels binary, vectors binary")
+    made = rows.mapInPandas(run, "grp long, key long, ids binary, labels binary, vectors binary")
+    return written(made.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
 
-def _tile_pairs(test: DataFrame, train: DataFrame, key: str | None) -> DataFrame:
-    """(q_ids, q_vectors, key, ids, labels, vectors): every tile of queries beside every tile of training rows.
+def _tile_pairs(test: DataFrame, train: DataFrame, key: str | None, group: str | None) -> DataFrame:
+    """(grp, block, q_ids, q_vectors, key, ids, labels, vectors): every tile of queries beside every tile of training rows of its group."""
+    def rows(df, column):
+        grp = F.col(group) if group else F.lit(0)
+        return unit(clean(df)).select(grp.cast("long").alias("grp"), "row_id", F.coalesce("label", F.lit(0)).alias("label"), column.cast("long").alias("key"), "features")
 
-    The query set is stated by the caller and meets all training rows in blocks. Spark sends the query tiles to the
-    training tiles where their size allows it, and else pairs their partitions.
-    """
-    with_key = lambda df, c: unit(clean(df)).select("row_id", F.coalesce("label", F.lit(0)).alias("label"), c.cast("long").alias("key"), "features")
-    queries = written(_tiles(with_key(test, F.lit(0)), QUERY_TILE), "queries")
-    known = written(_tiles(with_key(train, F.col(key) if key else F.lit(0)), TRAIN_TILE), "known")
-    dealt = queries.repartition(max(1, -(-queries.count() // TILES)))
-    return dealt.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).crossJoin(known)
+    queries, known = _tiles(rows(test, F.lit(0)), QUERY_TILE), _tiles(rows(train, F.col(key) if key else F.lit(0)), TRAIN_TILE)
+    down, across = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_TILES), (known, TRAIN_TILES)))
+    part = lambda n: F.pmod(F.col("tile"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("grp", part(down).alias("q_part"), every(across).alias("part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    right = known.select("grp", every(down).alias("q_part"), part(across).alias("part"), "key", "ids", "labels", "vectors")
+    return left.join(right, ["grp", "q_part", "part"]).withColumn("block", F.concat_ws("/", "grp", "q_part", "part"))
 
 
 def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,32 +73,41 @@ def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return own, ids, labels, np.rint((1.0 - vectors @ known.T) * 10**DIGITS).astype(np.int64)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None) -> DataFrame:
+def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None, group: str | None = None) -> DataFrame:
     """(q, train_id, label, dist, rank): the k nearest training rows of every test row by cosine distance, rounded to
-    nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key."""
+    nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key;
+    with ``group``, an integer column of both sides, among the rows of the own group."""
+
+    def kept(best):
+        for (grp, own_key, _), (own, (dist, ids, labels)) in best.items():
+            yield pd.DataFrame({"grp": grp, "key": own_key, "q": np.repeat(own, dist.shape[1]), "train_id": ids.ravel(), "label": labels.ravel(), "dist": dist.ravel() / 10**DIGITS})
 
     def nearest(batches):
-        best: dict[tuple, tuple] = {}
+        block, best = None, {}
         for batch in batches:
             for pair in batch.itertuples(index=False):
+                if pair.block != block:
+                    yield from kept(best)
+                    block, best = pair.block, {}
                 own, ids, labels, near = _matrices(pair)
                 # Distance and place in one number: the k least are the nearest, and of equal ones those with the least ids.
                 ranked = near * len(ids) + np.arange(len(ids))
-                some = np.sort(np.partition(ranked, min(k, len(ids)) - 1, axis=1)[:, :k] if k < len(ids) else ranked, axis=1)
+                some = np.sort(np.partition(ranked, k - 1, axis=1)[:, :k] if k < len(ids) else ranked, axis=1)
                 dist, at = some // len(ids), some % len(ids)
                 found = (dist, ids[at], labels[at])
-                if (held := best.get(name := (pair.key, pair.q_ids))) is not None:
+                if (held := best.get(name := (pair.grp, pair.key, pair.q_ids))) is not None:
                     both = [np.concatenate(x, axis=1) for x in zip(held[1], found)]
                     order = np.lexsort((both[1], both[0]))[:, :k]
                     found = tuple(np.take_along_axis(x, order, 1) for x in both)
                 best[name] = own, found
-        for (group, _), (own, (dist, ids, labels)) in best.items():
-            yield pd.DataFrame({"key": group, "q": np.repeat(own, dist.shape[1]), "train_id": ids.ravel(), "label": labels.ravel(), "dist": dist.ravel() / 10**DIGITS})
+        yield from kept(best)
 
-    found = _tile_pairs(test, train, key).mapInPandas(nearest, "key long, q long, train_id long, label int, dist double")
-    order = Window.partitionBy("key", "q").orderBy("dist", "train_id")
+    found = _tile_pairs(test, train, key, group).mapInPandas(nearest, "grp long, key long, q long, train_id long, label int, dist double")
+    order = Window.partitionBy("grp", "key", "q").orderBy("dist", "train_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.withColumnRenamed("key", key) if key else ranked.drop("key")
+    for name, given in (("key", key), ("grp", group)):
+        ranked = ranked.withColumnRenamed(name, given) if given else ranked.drop(name)
+    return ranked
 
 
 def distances(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -107,7 +121,7 @@ def distances(test: DataFrame, train: DataFrame) -> DataFrame:
                     part = near[i : i + 64]
                     yield pd.DataFrame({"q": np.repeat(own[i : i + 64], len(ids)), "train_id": np.tile(ids, len(part)), "dist": part.ravel() / 10**DIGITS})
 
-    return _tile_pairs(test, train, None).mapInPandas(run, "q long, train_id long, dist double")
+    return _tile_pairs(test, train, None, None).mapInPandas(run, "q long, train_id long, dist double")
 
 
 def vote(found: DataFrame, *keys: str, weight=None) -> DataFrame:
@@ -116,16 +130,17 @@ def vote(found: DataFrame, *keys: str, weight=None) -> DataFrame:
     return counts.groupBy(*keys, "q").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("p"))
 
 
-def truth(test: DataFrame) -> DataFrame:
-    return test.select(F.col("row_id").alias("q"), F.col("label").alias("y"))
+def truth(test: DataFrame, *keys: str) -> DataFrame:
+    return test.select(*keys, F.col("row_id").alias("q"), F.col("label").alias("y"))
 
 
-def evaluate_knn(test: DataFrame, train: DataFrame, ks: list[int], key: str | None = None) -> DataFrame:
-    """The five metrics for every k (and key of the training rows); neighbours are ranked once."""
-    keys = [key] if key else []
+def evaluate_knn(test: DataFrame, train: DataFrame, ks: list[int], key: str | None = None, group: str | None = None) -> DataFrame:
+    """The five metrics for every k (key of the training rows, and group); neighbours are ranked once."""
+    groups = [group] if group else []
+    keys = [*groups, *([key] if key else [])]
     grid = F.explode(F.array(*map(F.lit, sorted(ks)))).alias("k")
-    voting = neighbours(test, train, max(ks), key).select("*", grid).filter(F.col("rank") <= F.col("k"))
-    return metrics(vote(voting, "k", *keys).join(truth(test), "q"), "k", *keys)
+    voting = neighbours(test, train, max(ks), key, group).select("*", grid).filter(F.col("rank") <= F.col("k"))
+    return metrics(vote(voting, "k", *keys).join(truth(test, *groups), [*groups, "q"]), "k", *keys)
 
 
 def bootstrap_knn(test: DataFrame, train: DataFrame, k: int, reps: int, seed: int = 42, margin: int = 16) -> DataFrame:
@@ -242,20 +257,56 @@ def bootstrap_linear(test: DataFrame, train: DataFrame, reps: int, c: float = 1.
     return spark.createDataFrame(found, "rep int, " + ", ".join(f"{m} double" for m in METRICS))
 
 
+def _splits(features: DataFrame) -> list[str]:
+    return [r[0] for r in features.select("split_type").distinct().orderBy("split_type").collect()]  # a few names
+
+
 def sweep(features: DataFrame, methods: dict[str, DataFrame], ks: list[int], sizes: list[int], seed: int = 42) -> DataFrame:
     """kNN metrics for methods x split types x training sizes x k. features: the labelled splits (row_id, label,
-    split_type, role); methods: name -> (row_id, features). A method's vectors are made once; all sizes and k of a
-    method and split come from one ranking."""
+    split_type, role); methods: name -> (row_id, features). A method's vectors are made once, samples are drawn once for all
+    methods, and all methods, splits, sizes and k come from one ranking."""
+    names, splits = sorted(methods), _splits(features)
+    vectors = None
+    for m, name in enumerate(names):
+        one = methods[name].select("row_id", "features", F.lit(m).alias("method"))
+        vectors = one if vectors is None else vectors.unionByName(one)
+    vectors = written(vectors, "sweep")
+    labelled, train = features.select("row_id", "label", "split_type", "role"), None
+    for split in splits:
+        one = size_curve(labelled.filter((F.col("split_type") == split) & (F.col("role") == "train")), sizes, seed)
+        train = one if train is None else train.unionByName(one)
+    train = written(train, "sweep-train")
+    number = F.array_position(F.array(*map(F.lit, splits)), F.col("split_type")).cast("int") - 1
+    grouped = lambda rows: rows.join(vectors, "row_id").withColumn("grp_id", F.col("method") * len(splits) + number)
+    used = train.groupBy("split_type", "n_train").agg(F.count(F.lit(1)).alias("train_samples"))
+    found = evaluate_knn(grouped(labelled.filter("role = 'test'")), grouped(train), ks, "n_train", "grp_id")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    named = found.withColumn("pool", pick(names, F.expr(f"grp_id div {len(splits)}"))).withColumn("split_type", pick(splits, F.col("grp_id") % len(splits))).withColumn("n_train", F.col("n_train").cast("int"))
+    return named.join(F.broadcast(used), ["split_type", "n_train"]).select("pool", "split_type", "n_train", "k", "train_samples", *METRICS)
+
+
+def bootstrap_sweep(features: DataFrame, methods: dict[str, DataFrame], k: int, reps: int, seed: int = 42) -> DataFrame:
+    """(pool, split_type, metric, mean, std, ci_lower, ci_upper) of kNN over bootstraps of each split's training rows."""
     out = None
-    splits = [r[0] for r in features.select("split_type").distinct().orderBy("split_type").collect()]
-    labelled = features.select("row_id", "label", "split_type", "role")
-    for name, vectors in methods.items():
-        rows = written(labelled.join(vectors.select("row_id", "features"), "row_id"), "sweep")
-        for split in splits:
+    for name, vectors in sorted(methods.items()):
+        rows = written(features.select("row_id", "label", "split_type", "role").join(vectors.select("row_id", "features"), "row_id"), "sweep")
+        for split in _splits(features):
             own = rows.filter(F.col("split_type") == split)
-            train = size_curve(own.filter("role = 'train'"), sizes, seed)
-            used = train.groupBy("n_train").agg(F.count(F.lit(1)).alias("train_samples"))
-            one = evaluate_knn(own.filter("role = 'test'"), train, ks, "n_train").join(F.broadcast(used), "n_train")
-            one = one.select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), F.col("n_train").cast("int").alias("n_train"), "k", "train_samples", *METRICS)
+            one = summary(bootstrap_knn(own.filter("role = 'test'"), own.filter("role = 'train'"), k, reps, seed)).select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), "*")
             out = one if out is None else out.unionByName(one)
     return out
+
+
+def linear_sweep(features: DataFrame, methods: dict[str, DataFrame], sizes: list[int], c: float | list[float] | None = None, seed: int = 42) -> DataFrame:
+    """Linear metrics for methods x split types x training sizes; ``c`` as in ``evaluate_linear``."""
+    out = None
+    for name, vectors in sorted(methods.items()):
+        rows = written(features.select("row_id", "label", "split_type", "role").join(vectors.select("row_id", "features"), "row_id"), "sweep")
+        for split in _splits(features):
+            own = rows.filter(F.col("split_type") == split)
+            for n in sizes:
+                train = written(size_curve(own.filter("role = 'train'"), [n], seed), "sweep-train")
+                one = evaluate_linear(own.filter("role = 'test'"), train, c)
+                one = one.select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), F.lit(n).alias("n_train"), F.lit(train.count()).alias("train_samples"), "c", *METRICS)
+                out = one if out is None else out.unionByName(one)
+    return out

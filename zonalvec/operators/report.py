@@ -22,8 +22,12 @@ def shared_methods(results: DataFrame, excluded: tuple[str, ...] = EXCLUDED) ->
 
 
 def selected(results: DataFrame, probe: str, methods: DataFrame | None = None) -> DataFrame:
+    """The results of a probe, and of the given methods; having none is an error."""
     rows = results.filter(F.col("probe") == probe)
-    return rows if methods is None else rows.join(F.broadcast(methods), "pool", "left_semi")
+    rows = rows if methods is None else rows.join(F.broadcast(methods), "pool", "left_semi")
+    if rows.isEmpty():
+        raise ValueError(f"no results of {probe} for these methods")
+    return rows
 
 
 def with_average(results: DataFrame, value: str = "accuracy") -> DataFrame:
@@ -96,8 +100,10 @@ def axis_range(values: DataFrame) -> DataFrame:
 
 
 def density(rows: DataFrame, value: str, group: str, bins: int = 40) -> DataFrame:
-    """(group, bin, density): a histogram of unit area over the value's range; the last bin is closed."""
-    ends = rows.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    """(group, bin, density): a histogram of unit area over the value's range; the last bin is closed. A range of one
+    value is widened by a half on both sides."""
+    wide = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
+    ends = rows.agg((F.min(value) - wide).alias("_a"), (F.max(value) + wide).alias("_b"))
     width = (F.col("_b") - F.col("_a")) / bins
     placed = rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_a")) / width), F.lit(bins - 1)).cast("int")).withColumn("_w", width)
     totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))

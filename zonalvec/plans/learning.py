@@ -9,7 +9,7 @@ from .. import fixtures as fx
 from ..functions import codecs
 from ..operators import fitted, metrics, probe, sampling
 from ..operators.pool import features
-from .pooling import rounded
+from .pooling import SQL_BLOCKS, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +104,7 @@ scaler AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v)
 
 
 def _standard(spark, d):
-    return fx.features(spark, d).filter("split_type = 'standard'")
+    return fx.standard_split(spark, d)
 
 
 def standardise(spark, d):
@@ -113,9 +113,17 @@ def standardise(spark, d):
     return rounded(out.select("row_id", "role", F.posexplode("features").alias("pos", "value")))
 
 
-QUERIES |= {"standardise": standardise, "fit_train_apply_both": standardise}
+def fit_train_apply_both(spark, d):
+    """A scaler fitted on training rows and applied to all, while the test rows are a thousandfold: they must not move it."""
+    rows = _standard(spark, d).withColumn("features", F.transform("features", lambda x: F.when(F.col("role") == "test", x * 1000).otherwise(x)))
+    out = probe.standardise(rows, probe.standardiser(rows.filter("role = 'train'")))
+    return rounded(out.select("row_id", "role", F.posexplode("features").alias("pos", "value")), digits=3)
+
+
+QUERIES |= {"standardise": standardise, "fit_train_apply_both": fit_train_apply_both}
 ORACLES["standardise"] = f"WITH {fx.FEATURES}, {STD}, {SCALER} SELECT row_id, role, CAST(i AS INT) AS pos, round((v - m) / s, 6) + 0.0 AS value FROM lf JOIN scaler USING (i)"
-ORACLES["fit_train_apply_both"] = ORACLES["standardise"]
+ORACLES["fit_train_apply_both"] = f"""WITH {fx.FEATURES}, {STD}, {SCALER} SELECT row_id, role, CAST(i AS INT) AS pos,
+round((v * CASE WHEN role = 'test' THEN 1000 ELSE 1 END - m) / s, 3) + 0.0 AS value FROM lf JOIN scaler USING (i)"""
 
 # -- sampling ----------------------------------------------------------------------------------------------
 
@@ -207,7 +215,8 @@ QUERIES["knn_grid"] = lambda spark, d: _five(probe.evaluate_knn(_test(spark, d),
 GRID = "(SELECT * FROM ranked, (SELECT unnest([1, 3, 5, 7, 9]) AS k) WHERE rank <= k)"
 ORACLES["knn_grid"] = f"WITH {TRAIN}, {_pairs('test', 'train')}, {_voted('k', GRID)}, {_scores('k')} SELECT k, {FIVE_SQL} FROM cls GROUP BY k"
 
-REPS = 3
+#: Repetitions of kNN bootstraps, and of linear ones, whose models are fitted one after the other.
+REPS, LINEAR_REPS = 100, 10
 BOOT = f"""{TRAIN}, {_pairs('test', 'train')}, {DRAWN.format(reps=REPS)}, near AS (SELECT CAST(rep AS INT) AS rep, q, y, r.label, mult, coalesce(sum(mult) OVER (PARTITION BY rep, q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
  FROM ranked r JOIN drawn d ON d.row_id = r.train_id), took AS (SELECT rep, q, y, label, least(mult, 5 - before) AS take FROM near WHERE before < 5), {_voted('rep', 'took', 'sum(take)')}, {_scores('rep')}"""
 QUERIES["knn_bootstrap"] = lambda spark, d: _five(probe.bootstrap_knn(_test(spark, d), _train(spark, d), 5, REPS), "rep")
@@ -230,11 +239,11 @@ def linear_eval(spark, d):
 
 
 def linear_cv(spark, d):
-    return _five(probe.evaluate_linear(_test(spark, d), _train(spark, d), [0.01, 1.0]), "c")
+    return _five(probe.evaluate_linear(_test(spark, d), _train(spark, d)), "c")
 
 
 def linear_bootstrap(spark, d):
-    return _five(probe.bootstrap_linear(_test(spark, d), _train(spark, d), 2), "rep")
+    return _five(probe.bootstrap_linear(_test(spark, d), _train(spark, d), LINEAR_REPS), "rep")
 
 
 QUERIES |= {"linear_eval": linear_eval, "linear_cv": linear_cv, "linear_bootstrap": linear_bootstrap}
@@ -242,28 +251,49 @@ QUERIES["cv_folds"] = lambda spark, d: probe.folds(_train(spark, d)).select("row
 ORACLES["cv_folds"] = f"WITH {TRAIN} SELECT row_id, label, ntile(3) OVER (PARTITION BY label ORDER BY row_id) - 1 AS fold FROM train"
 
 
+def _methods(spark, d, *names):
+    """Vectors of the raw embeddings and of pooled grids, by the method's name."""
+    found = {"raw": fx.labelled(spark, d).select("row_id", "features")}
+    grids = fx.patch44(spark, d)
+    return found | {m: features(grids, m).withColumnRenamed("patch_id", "row_id") for m in names}
+
+
 def knn_sweep(spark, d):
-    """Two methods, two kinds of split, two training sizes, two k."""
-    raw = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    methods = {"raw": raw, "stats": features(fx.patch44(spark, d), "stats").withColumnRenamed("patch_id", "row_id")}
-    out = probe.sweep(fx.features(spark, d), methods, [1, 5], [N, -1])
+    """The raw vectors and all poolers of bands, two kinds of split, two training sizes, the default five k."""
+    out = probe.sweep(fx.features(spark, d), _methods(spark, d, *[m for m, _ in SQL_BLOCKS.values()]), KS, [N, -1])
     return _five(out, "pool", "split_type", "n_train", "k", "train_samples")
 
 
 def _sweep_sql() -> str:
     """The same by one sub-query a method, kind of split and size."""
-    vectors = {"raw": "SELECT row_id, features AS f FROM feats WHERE split_type = 'standard'", "stats": f"SELECT patch_id AS row_id, list(value ORDER BY ord) AS f FROM ({' UNION ALL '.join(f'SELECT patch_id, {i} * 4 + band AS ord, {b} AS value FROM patch44 GROUP BY patch_id, band' for i, b in enumerate(('min(v)', 'max(v)', 'avg(v)', 'stddev_pop(v)')))}) GROUP BY patch_id"}
+    vectors = {"raw": "SELECT row_id, features AS f FROM feats WHERE split_type = 'standard'"}
+    for method, blocks in SQL_BLOCKS.values():
+        values = " UNION ALL ".join(f"SELECT patch_id, {i} * 4 + band AS ord, {b} AS value FROM patch44 GROUP BY patch_id, band" for i, b in enumerate(blocks))
+        vectors[method] = f"SELECT patch_id AS row_id, list(value ORDER BY ord) AS f FROM ({values}) GROUP BY patch_id"
     parts = []
     for pool, sql in vectors.items():
         for split in ("spatial", "standard"):
             for n in (N, -1):
                 chosen = f"WITH {QUOTA}, {PICKED} SELECT row_id, label, features FROM picked" if n != -1 else "SELECT row_id, label, features FROM train"
-                parts.append(f"""SELECT '{pool}' AS pool, '{split}' AS split_type, {n} AS n_train, k, (SELECT count(*) FROM chosen) AS train_samples, {FIVE_SQL} FROM (
+                parts.append(f"""SELECT '{pool}' AS pool, '{split}' AS split_type, {n} AS n_train, k, used AS train_samples, {FIVE_SQL} FROM (
 WITH vec AS ({sql}), own AS (SELECT row_id, label, f AS features, role FROM feats JOIN vec USING (row_id) WHERE split_type = '{split}'),
 train AS (SELECT * FROM own WHERE role = 'train'), test AS (SELECT * FROM own WHERE role = 'test'), chosen AS ({chosen}), {_pairs('test', 'chosen')},
-{_voted('k', '(SELECT * FROM ranked, (SELECT unnest([1, 5]) AS k) WHERE rank <= k)')}, {_scores('k')} SELECT *, (SELECT count(*) FROM chosen) AS used FROM cls) GROUP BY k, used""".replace("(SELECT count(*) FROM chosen) AS train_samples", "used AS train_samples"))
+{_voted('k', f'(SELECT * FROM ranked, (SELECT unnest({KS}) AS k) WHERE rank <= k)')}, {_scores('k')} SELECT *, (SELECT count(*) FROM chosen) AS used FROM cls) GROUP BY k, used""")
     return f"WITH {fx.FEATURES}, {fx.PATCH44} " + " UNION ALL ".join(parts)
 
 
+def knn_sweep_bootstrap(spark, d):
+    """Intervals of the metrics over bootstraps, for two methods and two kinds of split."""
+    out = probe.bootstrap_sweep(fx.features(spark, d), _methods(spark, d, "stats"), 5, SWEEP_REPS)
+    return out.select("pool", "split_type", "metric", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "std", "ci_lower", "ci_upper")])
+
+
+def linear_sweep(spark, d):
+    """Two methods, two kinds of split, all training rows and a sample, at C = 1."""
+    return _five(probe.linear_sweep(fx.features(spark, d), _methods(spark, d, "stats"), [N, -1], 1.0), "pool", "split_type", "n_train", "train_samples", "c")
+
+
+KS, SWEEP_REPS = [1, 3, 5, 7, 9], 20
+QUERIES |= {"knn_sweep_bootstrap": knn_sweep_bootstrap, "linear_sweep": linear_sweep}
 QUERIES["knn_sweep"] = knn_sweep
 ORACLES["knn_sweep"] = _sweep_sql()

@@ -51,27 +51,52 @@ def pool_cov(spark, d):
 
 
 def pool_cov_moments(spark, d):
-    return rounded(pool.covariance_by_moments(fx.patch55(spark, d))).select("patch_id", "ord", "value")
+    """The zones' covariance of four bands, whose pixels are in no order: an average zone has hundreds of pixels."""
+    bands = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    pixels = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patch_id"), bands.alias("vec"))
+    return rounded(pool.covariance(pixels), digits=4).select("patch_id", "ord", "value")
+
+
+def pool_cov_pairs(spark, d):
+    """Of pixels of four bands, as exploded pairs."""
+    return rounded(pool.covariance_by_pairs(fx.pixels44(spark, d))).select("patch_id", "ord", "value")
 
 
 COV = f"""WITH {fx.PATCH55}, long AS (SELECT patch_id, y, x, i, CAST(vec[i + 1] AS DOUBLE) AS v FROM (SELECT *, unnest(range(64)) AS i FROM patch55))
 SELECT a.patch_id, CAST(a.i * 64 - a.i * (a.i - 1) // 2 + b.i - a.i AS INT) AS ord, round(coalesce(covar_samp(a.v, b.v), 'NaN'::DOUBLE), 6) + 0.0 AS value
 FROM long a JOIN long b ON a.patch_id = b.patch_id AND a.y = b.y AND a.x = b.x AND a.i <= b.i GROUP BY a.patch_id, a.i, b.i"""
-QUERIES |= {"pool_cov": pool_cov, "pool_cov_moments": pool_cov_moments}
-ORACLES |= {"pool_cov": COV, "pool_cov_moments": COV}
+ZONE_BANDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+COV_ZONES = " UNION ALL ".join(
+    f"SELECT l_suppkey AS patch_id, CAST({i * 4 - i * (i - 1) // 2 + j - i} AS INT) AS ord, round(coalesce(covar_samp(CAST({ZONE_BANDS[i]} AS DOUBLE), CAST({ZONE_BANDS[j]} AS DOUBLE)), 'NaN'::DOUBLE), 4) + 0.0 AS value FROM lineitem GROUP BY l_suppkey"
+    for i in range(4) for j in range(i, 4)
+)
+COV_PAIRS = f"""WITH {fx.PATCH44} SELECT a.patch_id, CAST(a.band * 4 - a.band * (a.band - 1) // 2 + b.band - a.band AS INT) AS ord, round(covar_samp(a.v, b.v), 6) + 0.0 AS value
+FROM patch44 a JOIN patch44 b ON a.patch_id = b.patch_id AND a.y = b.y AND a.x = b.x AND a.band <= b.band GROUP BY a.patch_id, a.band, b.band"""
+QUERIES |= {"pool_cov": pool_cov, "pool_cov_moments": pool_cov_moments, "pool_cov_pairs": pool_cov_pairs}
+ORACLES |= {"pool_cov": COV, "pool_cov_moments": COV_ZONES, "pool_cov_pairs": COV_PAIRS}
+
+
+def pool_percentiles_approx(spark, d):
+    """Zones' percentiles from sketches; an accuracy above every zone's size makes them the exact lower values."""
+    return rounded(pool.pool_long(fx.zones(spark, d), pool.percentiles(accuracy=100_000))).withColumnRenamed("patch_id", "zone_id").select("zone_id", "ord", "value")
+
+
+QUERIES["pool_percentiles_approx"] = pool_percentiles_approx
+ORACLES["pool_percentiles_approx"] = f"WITH {fx.ZONES} " + " UNION ALL ".join(
+    f"SELECT patch_id AS zone_id, CAST({i} * 4 + band AS INT) AS ord, round(quantile_disc(v, {q}), 6) + 0.0 AS value FROM zones GROUP BY patch_id, band" for i, q in enumerate((0.1, 0.25, 0.5, 0.75, 0.9))
+)
 
 
 def pool_all_onepass(spark, d):
-    """Five methods over the ragged zones from one scan."""
-    some = [pool.POOLERS[m] for m in ("mean_std", "stats", "mean_max", "gem", "percentiles")]
-    return rounded(pool.pool_many(fx.zones(spark, d), some), digits=4).select("method", F.col("patch_id").alias("zone_id"), "ord", "value")
+    """Every pooler that needs no pixel grid, over the ragged zones, from one scan."""
+    return rounded(pool.pool_many(fx.zones(spark, d), [pool.POOLERS[m] for m, _ in ONE_PASS.values()]), digits=4).select("method", F.col("patch_id").alias("zone_id"), "ord", "value")
 
 
+ONE_PASS = {k: v for k, v in SQL_BLOCKS.items() if k != "pool_center_weighted"}
 QUERIES["pool_all_onepass"] = pool_all_onepass
 ORACLES["pool_all_onepass"] = f"WITH {fx.ZONES} " + " UNION ALL ".join(
-    f"SELECT '{m}' AS method, patch_id AS zone_id, CAST({i} * 4 + band AS INT) AS ord, round({b}, 4) + 0.0 AS value FROM zones GROUP BY patch_id, band"
-    for m, key in (("mean_std", "pool_mean_std"), ("stats", "pool_stats"), ("mean_max", "pool_mean_max"), ("gem", "pool_gem"), ("percentiles", "pool_percentiles")) for i, b in enumerate(SQL_BLOCKS[key][1])
-)
+    f"SELECT '{m}' AS method, patch_id AS zone_id, CAST({i} * 4 + band AS INT) AS ord, round({b}, 4) + 0.0 AS value FROM zones GROUP BY patch_id, band" for m, blocks in ONE_PASS.values() for i, b in enumerate(blocks)
+)
 
 ALL_METHODS = [*pool.TRAINING_FREE, *pool.FITTED]
 

@@ -122,13 +122,16 @@ FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)"""
 
 
 def patch_inventory(spark, d):
-    """Files that were routed to class folders, listed recursively."""
+    """Classes in whose folders files are found, listed recursively, with the rows that were routed there."""
     path = new_folder(spark, "inventory")
     tables.write_routed(_manifest_of_patches(spark, d), path)
-    return tables.inventory(spark, path, "*.parquet").select("stem", "class_name", "length")
+    files = tables.inventory(spark, path, "*.parquet").select(F.regexp_extract("path", "class_name=([^/]+)/", 1).alias("class_name"), "length")
+    rows = spark.read.parquet(path).groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("class_name").agg(F.min(F.col("length") > 0).alias("filled")).join(rows, "class_name")
 
 
 QUERIES["patch_inventory"] = patch_inventory
+ORACLES["patch_inventory"] = f"WITH {OF_PATCHES} SELECT class_name, true AS filled, count(*) AS n FROM wanted GROUP BY class_name"
 
 
 def _pooled_table(spark, d):
@@ -221,6 +224,16 @@ def results_union(spark, d):
     return back.select("dataset", "pool", "split_type", "probe", "train_samples", F.round("accuracy", 6).alias("accuracy"))
 
 
-QUERIES |= {"results_union": results_union, "results_write": results_union}
+def results_write(spark, d):
+    """What the files of each dataset hold: their header and their lines, counted as text."""
+    out = None
+    for dataset, path in _results_files(spark, d).items():
+        if dataset != "missing":
+            lines = spark.read.text(path).select(F.lit(dataset).alias("dataset"), F.when(F.col("value").startswith("pool,"), F.col("value")).alias("header"))
+            out = lines if out is None else out.unionByName(lines)
+    return out.groupBy("dataset").agg(F.max("header").alias("header"), F.count_if(F.col("header").isNull()).alias("lines"))
+
+
+QUERIES |= {"results_union": results_union, "results_write": results_write}
 ORACLES["results_union"] = f"WITH {fx.RESULTS} SELECT dataset, pool, split_type, probe, train_samples, round(accuracy, 6) AS accuracy FROM results"
-ORACLES["results_write"] = ORACLES["results_union"]
+ORACLES["results_write"] = f"WITH {fx.RESULTS} SELECT dataset, '{','.join(f.name for f in tables.RESULTS.fields)}' AS header, count(*) AS lines FROM results GROUP BY dataset"
