@@ -8,10 +8,10 @@ from importlib import import_module
 _PUBLIC = {
     "functions.codecs": "minmax_vector percentile_stretch quantise_offset quantise_power recode_u8 sanitize scale_clip stride_sample",
     "model": "assemble patches_to_long pixels_to_long",
-    "operators.fitted": "PCA BoVW NotFitted",
+    "operators.fitted": "PCA BoVW NotFitted fit_mini_batch",
     "operators.metrics": "METRICS class_scores confusion metrics summary",
     "operators.pool": "POOLERS TRAINING_FREE Pooler average_deviation covariance covariance_by_pairs custom features gem output_dim percentiles pool_long pool_many signed_gem",
-    "operators.probe": "bootstrap_knn bootstrap_linear evaluate_knn evaluate_linear neighbours standardise standardiser sweep",
+    "operators.probe": "bootstrap_knn bootstrap_linear bootstrap_sweep distances evaluate_knn evaluate_linear linear_sweep neighbours standardise standardiser sweep",
     "operators.sampling": "bootstrap quotas size_curve subsample",
     "sources.manifest": "decode_labels encode_labels entries load load_pooled lookup quarantine read_lines split",
     "sources.tables": "inventory read_pooled read_results write_pooled write_results",

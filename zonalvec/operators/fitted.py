@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, written
+
 
 class NotFitted(RuntimeError):
     pass
@@ -190,6 +192,32 @@ class BoVW:
         return self.fit(pixels).transform(pixels)
 
 
+def in_batches(pixels: DataFrame, batch: int, seed: int, *key: str) -> tuple[DataFrame, int]:
+    """pixels with ``_batch``, and how many batches: a seeded shuffle by a hash of the key, cut into about ``batch`` pixels each."""
+    n = max(1, -(-pixels.count() // batch))
+    return pixels.withColumn("_batch", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n))), n
+
+
+def fit_mini_batch(pixels: DataFrame, k: int, batch: int = 100_000, epochs: int = 1, seed: int = 42, key: tuple[str, ...] = ("patch_id", "y", "x"), vector: str = "vec") -> BoVWModel:
+    """A codebook from bounded batches of shuffled pixels: it begins with the first k of the shuffle, and each batch moves the
+    centres by its clusters' means, weighted by counts. K x d values come to the driver for each batch."""
+    shuffled, n = in_batches(pixels, batch, seed, *key)
+    shuffled = written(shuffled.repartition("_batch").sortWithinPartitions("_batch"), "batches")
+    first = shuffled.orderBy(F.xxhash64(F.lit(seed + 1), *key), *key).limit(k).select(F.transform(vector, lambda x: x.cast("double")).alias("c")).collect()
+    centres, counts = np.array([r["c"] for r in first]), np.zeros(len(first))
+    for number in range(epochs * n):
+        book = BoVWModel(centres).codebook(pixels.sparkSession)
+        centres, counts = mini_batch_update(centres, counts, lloyd_step(assign(shuffled.filter(F.col("_batch") == number % n), book, vector), vector))
+    dropped(shuffled)
+    return BoVWModel(centres)
+
+
+def inertia(pixels: DataFrame, codebook: DataFrame, vector: str = "vec") -> DataFrame:
+    """(n, inertia): the pixels and the sum of their squared distances to their centres."""
+    near = assign(pixels, codebook, vector).join(F.broadcast(codebook), "cluster")
+    return near.agg(F.count(F.lit(1)).alias("n"), F.sum(squared_distance(F.col(vector), F.col("centre"))).alias("inertia"))
+
+
 def mini_batch_update(centres: np.ndarray, counts: np.ndarray, step: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Move centres towards a batch's cluster means by their share of all pixels seen (``step``: see lloyd_step)."""
     centres, counts = centres.copy(), counts.copy()

@@ -189,6 +189,37 @@ QUERIES["stream_window_stats"] = stream_window_stats
 ORACLES["stream_window_stats"] = f"WITH {PX} SELECT date_trunc('day', ts)::TIMESTAMP AS start, zone, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM px GROUP BY 1, 2"
 
 
+LATE = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-06'"
+
+
+def stream_late_windows(spark, d):
+    """Two-day windows that begin every day, in append mode: the first file holds the events up to the 20th day, the second the
+    later ones, the third some of the first days that come when the watermark has passed them and are left out. Windows
+    are given out once the watermark, two days behind, has passed their end."""
+    events = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = lambda df: df.select("ts", F.col("event_type").alias("zone"), F.col("value").alias("v"))
+    late, first = F.expr(LATE), F.col("ts") < F.lit("2024-01-20").cast("timestamp")
+    parts = events.filter(first & ~late), events.filter(~first & ~late), events.filter(late)
+    found = stream.window_stats(stream.arriving_parts(*map(rows, parts)), "ts", "2 days", "2 days", slide="1 day")
+    return _six(stream.run_to_table(found, "append").drop("_batch"), "mean")
+
+
+QUERIES["stream_late_windows"] = stream_late_windows
+ORACLES["stream_late_windows"] = f"""WITH kept AS (SELECT ts, event_type AS zone, value AS v FROM events WHERE NOT ({LATE})),
+ends AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS mark FROM kept),
+placed AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(back AS INT)) AS start, zone, v FROM kept, (SELECT unnest([0, 1]) AS back))
+SELECT start, zone, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM placed, ends WHERE start + INTERVAL 2 DAY <= mark GROUP BY start, zone"""
+
+
+def bovw_minibatch_fit(spark, d):
+    """A codebook fitted in batches of shuffled pixels."""
+    model = fitted.fit_mini_batch(fx.pixels44(spark, d), 8, 4000)
+    return rounded(model.codebook(spark).select("cluster", F.posexplode("centre").alias("band", "value")))
+
+
+QUERIES["bovw_minibatch_fit"] = bovw_minibatch_fit
+
+
 def stream_encode(spark, d):
     pixels = fx.patches(spark, d).select("patch_id", "pix")
     arriving = stream.arriving(pixels, 3).select("patch_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"), "pix").select("patch_id", F.slice("pix", F.col("i") * 4 + 1, F.lit(4)).alias("vec"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import exists
+
 RESULTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("pool", "split_type", "probe")] + [T.StructField("train_samples", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("accuracy", "f1_macro")]
 )
@@ -38,11 +40,9 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, paths: dict[str, str], schema: T.StructType = RESULTS) -> DataFrame:
     """The union of results by dataset; datasets whose path does not exist are left out."""
-    jvm = spark.sparkContext._jvm
     out = None
     for dataset, path in paths.items():
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not exists(spark, path):
             continue
         rows = spark.read.csv(path, header=True, schema=schema).withColumn("dataset", F.lit(dataset))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)

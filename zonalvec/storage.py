@@ -45,10 +45,20 @@ def written(df: DataFrame, what: str, instead_of: DataFrame | None = None) -> Da
     return out
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop's objects."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of tables that ``written`` made; others are left alone."""
     for df in tables:
         if path := _folders.pop(df, None):
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            store, where = _at(df.sparkSession, path)
+            store.delete(where, True)

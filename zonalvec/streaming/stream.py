@@ -6,14 +6,15 @@ group's distinct values in the state: use them for bounded groups, or the approx
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fitted import PCAModel, assign, encode, lloyd_step, merge_moments, mini_batch_update, moments, pca_from_moments
-from ..storage import new_folder
+from ..operators.fitted import BoVWModel, PCAModel, assign, encode, lloyd_step, merge_moments, mini_batch_update, moments, pca_from_moments
+from ..storage import exists, new_folder
 
 
 def folder_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1) -> DataFrame:
@@ -22,10 +23,24 @@ def folder_stream(spark: SparkSession, like: DataFrame, path: str, files: int =
 
 
 def arriving(df: DataFrame, batches: int) -> DataFrame:
-    """A table as a stream of some batches: written to the shared folder and read as it would arrive."""
+    """A table as a stream of some batches: written to the shared folder and read as it would arrive.
+
+    Each batch is as many files as the session has shuffle partitions, so a batch is read in many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = new_folder(df.sparkSession, "arriving")
-    df.repartition(batches).write.parquet(path)
-    return folder_stream(df.sparkSession, df, path)
+    df.repartition(batches * parts).write.parquet(path)
+    return folder_stream(df.sparkSession, df, path, parts)
+
+
+def arriving_parts(*parts: DataFrame) -> DataFrame:
+    """A stream of the given tables, one file and batch each, in their order."""
+    spark, path = parts[0].sparkSession, new_folder(parts[0].sparkSession, "arriving")
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(path)
+        if n + 1 < len(parts):
+            time.sleep(1.1)  # files are taken in the order of their times, of which some stores keep seconds
+    return folder_stream(spark, parts[0], path)
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
@@ -82,17 +97,37 @@ def each_batch(stream: DataFrame, do: Callable[[DataFrame, int], None]) -> None:
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(do).start().awaitTermination()
 
 
-def fit_codebook(stream: DataFrame, first: np.ndarray, vector: str = "vec") -> np.ndarray:
-    """Centres after all available batches: each batch moves them by its clusters' means, weighted by counts."""
-    held = {"centres": np.array(first, float), "counts": np.zeros(len(first))}
+BOOK = "batch int, cluster int, centre array<double>, seen double"
 
-    def learn(batch: DataFrame, _number: int) -> None:
-        spark = batch.sparkSession
-        book = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(held["centres"])], "cluster int, centre array<double>")
-        held["centres"], held["counts"] = mini_batch_update(held["centres"], held["counts"], lloyd_step(assign(batch, book, vector), vector))
 
-    each_batch(stream, learn)
-    return held["centres"]
+def fit_codebook(stream: DataFrame, first: np.ndarray, vector: str = "vec", folder: str | None = None) -> np.ndarray:
+    """Centres after all available batches: each batch moves them by its clusters' means, weighted by counts.
+
+    The centres after every batch are kept in the folder with the batch's number, beside the stream's progress. A
+    repeated batch begins from the centres before it, and a later call with the same folder goes on where the first one ended.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, "codebook")
+
+    def put(number: int, centres: np.ndarray, counts: np.ndarray) -> None:
+        rows = [(number, i, [float(x) for x in c], float(n)) for i, (c, n) in enumerate(zip(centres, counts))]
+        spark.createDataFrame(rows, BOOK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/books/b={number}")
+
+    def last(before: int | None) -> tuple[np.ndarray, np.ndarray]:
+        rows = spark.read.schema(BOOK).option("recursiveFileLookup", "true").parquet(f"{folder}/books")
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        newest = rows.agg(F.max("batch")).first()[0]
+        found = rows.filter(F.col("batch") == newest).orderBy("cluster").collect()  # K centres
+        return np.array([r["centre"] for r in found]), np.array([r["seen"] for r in found])
+
+    def learn(batch: DataFrame, number: int) -> None:
+        centres, counts = last(number)
+        put(number, *mini_batch_update(centres, counts, lloyd_step(assign(batch, BoVWModel(centres).codebook(spark), vector), vector)))
+
+    if not exists(spark, f"{folder}/books"):
+        put(-1, np.array(first, float), np.zeros(len(first)))
+    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(learn).start().awaitTermination()
+    return last(None)[0]
 
 
 def fit_pca(stream: DataFrame, k: int, shift: list[float] | None = None) -> PCAModel:
