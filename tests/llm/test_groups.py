@@ -73,7 +73,8 @@ def test_near_duplicates_of_repeats_and_nothing(spark):
     assert simhash.one_per_group(helpers.empty(spark)).count() == 0
 
 
-def test_links_are_all_pairs_within_four_bits(spark):
+@pytest.mark.parametrize(("segments", "together"), [(3, 1), (5, 2), (6, 3)])
+def test_links_are_all_pairs_within_four_bits(spark, segments, together):
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 1 << 63, 200, dtype=np.int64)}
     for f in list(fps)[:60]:
@@ -83,11 +84,11 @@ def test_links_are_all_pairs_within_four_bits(spark):
                 g ^= 1 << int(b)
             fps.add(g - (1 << 64) if g >> 63 else g)
     rows = sorted(fps)
-    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in rows], "fp long")).collect()]
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in rows], "fp long"), 4, segments, together).collect()]
     expected = {(a, b) for a in rows for b in rows if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert len(got) == len(set(got)) and set(got) == expected and expected
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([], "fp long"), 6)
+        simhash.links(spark.createDataFrame([], "fp long"), 6, segments, together)
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
@@ -136,6 +137,56 @@ def test_fingerprints_of_repeats_one_and_nothing(spark):
     assert len({tuple(r.sig) for r in rows if r.doc_id == 4}) == 1
 
 
+def brute_samples(text, samples):
+    """The least ln a of each sample, from the same draws, one term at a time; None without terms."""
+    import math
+
+    lns = [math.log((i + 0.5) / 4096) for i in range(4096)]
+    out = [math.inf] * samples
+    for word, n in weights(text).items():
+        term = xxhash64_of_spark(word.encode(), 42)
+        for k in range(samples):
+            h = xxhash64_of_spark(k, xxhash64_of_spark(term, 42))
+            u = [lns[h >> s & 4095] for s in (0, 12, 24, 36)]
+            r, ln_c, b = -u[0] - u[1], math.log(-u[2] - u[3]), (h >> 48) / 65536
+            out[k] = min(out[k], ln_c - r * (math.floor(math.log(n) / r + b) + 1 - b))
+    return out
+
+
+def xxhash64_of_spark(value, seed):
+    """Of bytes, of an unsigned 64-bit number below 2**31 as an int, or of others as a long."""
+    if isinstance(value, bytes):
+        return xxhash.xxh64_intdigest(value, seed)
+    return xxhash.xxh64_intdigest(struct.pack("<I" if value < 1 << 31 else "<Q", value), seed)
+
+
+def test_samples_are_those_of_brute_force(spark):
+    texts = ["alpha beta beta gamma", helpers.prose(80, 3), "über naïve über über", "x"]
+    words = [(i, w, n) for i, t in enumerate(texts) for w, n in weights(t).items()]
+    terms = spark.createDataFrame(words, "i int, word string, weight long").select("i", F.xxhash64("word").alias("term"), "weight")
+    got = {r.i: r.mins for r in fingerprint.signatures(terms, ["i"]).collect()}
+    for i, t in enumerate(texts):
+        np.testing.assert_allclose(got[i], brute_samples(t, fingerprint.SAMPLES), rtol=1e-9, atol=1e-9)
+
+
+def test_an_outlier_and_repeated_ids_are_spread(spark):
+    ids = [*range(300), 1 << 60, *[7] * 300, *[None] * 200]
+    texts = [helpers.prose(5, i) if i < 500 else "same text" for i in range(len(ids))]
+    rows, order = fingerprint.with_successors(helpers.documents(spark, texts, ids).repartition(4))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == len(ids) and max(sizes) < 2 * len(ids) / 4
+    after = {r.key: (r.doc_id, r.next_key) for r in order.collect()}
+    assert len(after) == len({n for _, n in after.values()}) == len(ids)
+    at, seen = next(iter(after)), []
+    for _ in ids:  # one ring in id order, nulls first
+        seen.append(after[at][0])
+        at = after[at][1]
+    first = max(range(len(seen)), key=lambda i: (seen[i - 1] == 1 << 60, i))
+    assert seen[first:] + seen[:first] == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 def test_successor_over_gaps(spark):
     ids = [0, 1, 10**12, 10**12 + 5, -(10**15), 7 * 10**15]
     texts = [f"word{i} " * 8 for i in range(6)]

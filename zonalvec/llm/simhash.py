@@ -5,6 +5,10 @@ that differs in one bit at most (4 / 3 < 2), so both produce the same variant of
 bit position left out. Variants are joined on equality and the whole fingerprints are then compared.
 Equal fingerprints are collapsed first, so copies never meet each other in the join.
 
+Keys of 20 bits bring n fingerprints together about n / 2**20 at a time. For very many fingerprints ``links`` takes two of
+five segments together (256 variants, keys of 24 bits or more), or three of six (640 variants, keys of 30 bits or more): of
+four differences at most one lies in the two, or three, segments that have the fewest.
+
 ``one_per_group`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts
 differ in about ten of the 64 bits, more than few segments with one difference can reach, and many short segments would
 bring nearly all texts together. So a text's component under the links above is one of its buckets, and ``BANDS`` buckets
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,8 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: First bit of each segment, and the end.
-CUTS = (0, 21, 42, 64)
+#: Segments, and how many of them make a key together.
+SEGMENTS, TOGETHER = 3, 1
 
 #: What one_per_group links: five-word shingles, similarity of LIKE[0] / LIKE[1] or more.
 NEAR_SHINGLE = 5
@@ -94,40 +99,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _mask(k: int) -> int:
-    bits = ((1 << (CUTS[k + 1] - CUTS[k])) - 1) << CUTS[k]
-    return bits - (1 << 64) if bits >> 63 else bits
+def _masks(segments: int, together: int) -> list[int]:
+    """The bits of every choice of segments, as signed longs."""
+    cuts = [64 * k // segments for k in range(segments + 1)]
+    bits = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(segments)]
+    chosen = [sum(c) for c in combinations(bits, together)]
+    return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """64 rows a fingerprint: key = the position left out, and the rest of its segment."""
-    by_segment = lambda values: F.when(F.col("w") < CUTS[1], values[0]).when(F.col("w") < CUTS[2], values[1]).otherwise(values[2])
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
-    rows = rows.withColumn("mask", by_segment([F.lit(_mask(k)) for k in range(3)])).withColumn("low", by_segment([F.lit(c) for c in CUTS[:3]]))
-    return rows.select("fp", "w", F.expr("cast(shiftrightunsigned(fp & mask & ~shiftleft(1L, w), low) | shiftleft(w, 22) as int)").alias("key"))
+def variants(fps: DataFrame, segments: int = SEGMENTS, together: int = TOGETHER) -> DataFrame:
+    """For each choice of segments (c) and each of its bits (w) a row of a fingerprint: key is the choice without that bit."""
+    parts = [F.struct(F.lit(c).cast("short").alias("c"), F.lit(w).cast("short").alias("w"), F.lit((m & ~(1 << w) & (1 << 64) - 1) - ((m & ~(1 << w) & (1 << 64) - 1) >> 63 << 64)).alias("m"))
+             for c, m in enumerate(_masks(segments, together)) for w in range(64) if m >> w & 1]
+    return fps.select("fp", F.explode(F.array(*parts)).alias("v")).select("fp", "v.c", "v.w", F.col("fp").bitwiseAND(F.col("v.m")).alias("key"))
 
 
-def _first_shared(x: Column) -> Column:
-    """The one variant under which a pair is reported: of the first segment with at most one difference."""
+def _first_shared(x: Column, masks: list[int]) -> Column:
+    """The one variant (c * 64 + w) under which a pair is reported: of the first choice with at most one difference."""
     out = F.lit(-1)
-    for k in (2, 1, 0):
-        part = x.bitwiseAND(F.lit(_mask(k)))
-        out = F.when(F.bit_count(part) == 0, CUTS[k]).when(F.bit_count(part) == 1, F.bit_count(part - F.lit(1))).otherwise(out)
+    for c, m in reversed(list(enumerate(masks))):
+        part, least = x.bitwiseAND(F.lit(m)), (m & -m).bit_length() - 1
+        out = F.when(F.bit_count(part) == 0, 64 * c + least).when(F.bit_count(part) == 1, 64 * c + F.bit_count(part - F.lit(1))).otherwise(out)
     return out
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, together: int = TOGETHER) -> DataFrame:
     """(a, b): pairs of different fingerprints at max_bits or fewer; each once."""
-    if max_bits > 5:
-        raise ValueError("three segments and one wildcard find differences of five bits at most")
+    if together * (max_bits // segments) + max(0, together - (segments - max_bits % segments)) > 1:
+        raise ValueError(f"{together} of {segments} segments can have more than one of {max_bits} differences")
     # Spark takes a table of variants for as small as the fingerprints it comes from, so it is told not to broadcast it;
     # both sides keep the same columns, and so they share one exchange.
-    v = variants(fps).hint("merge")
+    v = variants(fps, segments, together).hint("merge")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    return (
-        v.alias("a").join(v.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= max_bits) & (F.col("a.w") == _first_shared(x)))
-        .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    )
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.c") == F.col("b.c"))
+    once = F.col("a.c").cast("int") * 64 + F.col("a.w") == _first_shared(x, _masks(segments, together))
+    return v.alias("a").join(v.alias("b"), same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= max_bits) & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
