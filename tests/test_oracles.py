@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, data, con, name):
     assert got
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"linear_cv", "linear_bootstrap"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_has_rows(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
 
