@@ -25,9 +25,13 @@ def _mean_pooled(spark, d):
     return _role(features(fx.patch44(spark, d), "mean"))
 
 
+def _frame(spark, model):
+    return rounded(rounded(model.frame(spark), "loading"), "variance", 9)
+
+
 def pca_fit(spark, d):
     model = fitted.PCA(4).fit(_mean_pooled(spark, d).filter("role = 'train'"))
-    return rounded(model.frame(spark), "loading").withColumn("total_variance", F.lit(model.total_variance))
+    return _frame(spark, model).withColumn("total_variance", F.round(F.lit(model.total_variance), 9))
 
 
 def pca_transform(spark, d):
@@ -46,7 +50,7 @@ def pca_incremental(spark, d):
     """Moments of four batches, merged: the same basis as from one pass."""
     rows = _mean_pooled(spark, d).filter("role = 'train'")
     parts = [fitted.moments(rows.filter(F.col("patch_id") % 4 == k)) for k in range(4)]
-    return rounded(fitted.pca_from_moments(fitted.merge_moments(*parts), 4).frame(spark), "loading")
+    return _frame(spark, fitted.pca_from_moments(fitted.merge_moments(*parts), 4))
 
 
 def pca_pixel_rgb(spark, d):
@@ -82,6 +86,49 @@ QUERIES |= {
 }
 ORACLES["pca_skip"] = f"WITH {fx.PATCH44}, w AS (SELECT max(band) + 1 AS d FROM patch44) SELECT CAST(k AS INT) AS components, k > d AS skipped FROM w, (SELECT unnest([2, 4, 8, 64]) AS k)"
 
+
+
+def principal_sql(d: int, k: int, squarings: int = 26) -> str:
+    """CTEs over tr(f), the training vectors of d values: mu(m), cov(c), pc(component, v, variance).
+
+    A covariance matrix that is squared again and again, scaled to trace 1, becomes the projector on its first axis; that axis is
+    read off, taken out of the matrix, and the next one is found in the same way.
+    """
+    square = f"list_transform(range({d * d}), lambda t: list_sum(list_transform(range({d}), lambda q: m[(t // {d}) * {d} + q + 1] * m[q * {d} + t % {d} + 1])))"
+    parts = [f"""dims AS (SELECT unnest(range({d})) AS i), mu AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(f[i + 1]) AS m FROM tr, dims GROUP BY i)),
+cov AS (SELECT list(c ORDER BY i, j) AS c FROM (SELECT a.i, b.i AS j, covar_samp(f[a.i + 1], f[b.i + 1]) AS c FROM tr, dims a, dims b GROUP BY a.i, b.i))"""]
+    for n in range(k):
+        base = f"rest{n}" if n else "cov"
+        parts.append(f"""power{n} AS (SELECT 0 AS n, c AS m FROM {base} UNION ALL SELECT n + 1, list_transform(s, lambda x: x / trace) FROM (
+ SELECT n, s, list_sum(list_transform(range({d}), lambda i: s[i * {d + 1} + 1])) AS trace FROM (SELECT n, {square} AS s FROM power{n} WHERE n < {squarings}))),
+limit{n} AS (SELECT m, list_transform(range({d}), lambda i: m[i * {d + 1} + 1]) AS diagonal FROM power{n} WHERE n = {squarings}),
+largest{n} AS (SELECT m, list_position(diagonal, list_max(diagonal)) - 1 AS j FROM limit{n}),
+axis{n} AS (SELECT list_transform(range({d}), lambda i: m[j * {d} + i + 1] / sqrt(m[j * {d + 1} + 1])) AS v FROM largest{n}),
+pc{n} AS (SELECT CAST({n} AS INT) AS component, v, list_sum(list_transform(range({d * d}), lambda t: v[t // {d} + 1] * c[t + 1] * v[t % {d} + 1])) AS variance FROM axis{n}, cov),
+rest{n + 1} AS (SELECT list_transform(range({d * d}), lambda t: c[t + 1] - variance * v[t // {d} + 1] * v[t % {d} + 1]) AS c FROM {base}, pc{n})""")
+    return ", ".join([*parts, "pc AS (" + " UNION ALL ".join(f"SELECT * FROM pc{n}" for n in range(k)) + ")"])
+
+
+def _projected(vector: str, d: int) -> str:
+    return f"list_sum(list_transform(range({d}), lambda i: ({vector}[i + 1] - m[i + 1]) * v[i + 1]))"
+
+
+BASIS = "SELECT component, CAST(i AS INT) AS pos, round(v[i + 1], 6) + 0.0 AS loading, round(variance, 9) + 0.0 AS variance{more} FROM pc, dims, cov"
+MEANS = f"{fx.PATCH44}, pooled AS (SELECT patch_id, list(v ORDER BY band) AS f FROM (SELECT patch_id, band, avg(v) AS v FROM patch44 GROUP BY ALL) GROUP BY patch_id), tr AS (SELECT f FROM pooled WHERE patch_id % 5 <> 0)"
+FLAT = "flat AS (SELECT vec_id AS patch_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings)"
+PIXELS = "px AS (SELECT vec_id AS patch_id, i, list_transform(embedding[i * 4 + 1 : i * 4 + 4], lambda x: CAST(x AS DOUBLE)) AS f, label FROM (SELECT *, unnest(range(16)) AS i FROM embeddings))"
+AT = "CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x"
+ROLE = "CASE WHEN patch_id % 5 = 0 THEN 'test' ELSE 'train' END AS role"
+TRACE = ", round(list_sum(list_transform(range(4), lambda t: c[t * 5 + 1])), 9) AS total_variance"
+ORACLES["pca_fit"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 4)} {BASIS.format(more=TRACE)}"
+ORACLES["pca_incremental"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 4)} {BASIS.format(more='')}"
+ORACLES["pca_transform"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 3)} SELECT patch_id, {ROLE}, component, round({_projected('f', 4)}, 6) + 0.0 AS value FROM pooled, pc, mu"
+ORACLES["pca_flat"] = f"WITH RECURSIVE {FLAT}, tr AS (SELECT f FROM flat WHERE patch_id % 5 <> 0), {principal_sql(64, 8)} SELECT patch_id, {ROLE}, component, round({_projected('f', 64)}, 6) + 0.0 AS value FROM flat, pc, mu"
+ORACLES["pca_pixel_union"] = f"WITH RECURSIVE {PIXELS}, tr AS (SELECT f FROM px WHERE label IN (0, 1) AND i % 4 = 0), {principal_sql(4, 3)} SELECT patch_id, {AT}, component, round({_projected('f', 4)}, 6) + 0.0 AS value FROM px, pc, mu"
+ORACLES["pca_pixel_rgb"] = f"""WITH RECURSIVE {PIXELS}, tr AS (SELECT f FROM px), {principal_sql(4, 3)}, shown AS (SELECT patch_id, i, component AS band, {_projected('f', 4)} AS v FROM px, pc, mu),
+ends AS (SELECT patch_id, band, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM shown GROUP BY ALL)
+SELECT patch_id, {AT}, band, round(CASE WHEN b > a THEN greatest(0, least(1, (v - a) / (b - a))) ELSE 0 END, 6) + 0.0 AS v FROM shown JOIN ends USING (patch_id, band)"""
+
 NEAREST = f"""{fx.CODEBOOK}, dist AS (SELECT patch_id, y, x, vec, cluster, round(list_sum(list_transform(list_zip(vec, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS dd FROM px, codebook),
 near AS (SELECT patch_id, y, x, vec, cluster FROM (SELECT *, row_number() OVER (PARTITION BY patch_id, y, x ORDER BY dd, cluster) AS n FROM dist) WHERE n = 1)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import fitted, report
 from ..streaming import stream
-from .learning import NEAREST
+from .learning import BASIS, FLAT, NEAREST, principal_sql
 from .pooling import _DIMS, rounded
 
 QUERIES: dict = {}
@@ -239,7 +239,8 @@ def stream_bovw_fit(spark, d):
 
 def stream_pca(spark, d):
     rows = fx.patches(spark, d).select(F.transform("pix", lambda x: x.cast("double")).alias("features"))
-    return rounded(stream.fit_pca(stream.arriving(rows, 3), 4).frame(spark), "loading")
+    return rounded(rounded(stream.fit_pca(stream.arriving(rows, 3), 4).frame(spark), "loading"), "variance", 9)
 
 
 QUERIES |= {"stream_bovw_fit": stream_bovw_fit, "stream_pca": stream_pca}
+ORACLES["stream_pca"] = f"WITH RECURSIVE {FLAT}, tr AS (SELECT f FROM flat), {principal_sql(64, 4)} {BASIS.format(more='')}"
