@@ -172,7 +172,7 @@ def test_samples_are_those_of_brute_force(spark):
 def test_an_outlier_and_repeated_ids_are_spread(spark):
     ids = [*range(300), 1 << 60, *[7] * 300, *[None] * 200]
     texts = [helpers.prose(5, i) if i < 500 else "same text" for i in range(len(ids))]
-    rows, order = fingerprint.with_successors(helpers.documents(spark, texts, ids).repartition(4))
+    rows, order, _ = fingerprint.with_successors(helpers.documents(spark, texts, ids).repartition(4))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
