@@ -191,7 +191,7 @@ def fit_linear(train: DataFrame, c: float, weight: str | None = None, max_iter:
 
     total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     model = LogisticRegression(
-        family="multinomial", regParam=1.0 / (c * float(total)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8, labelCol="label", featuresCol="vector",
+        family="multinomial", regParam=1.0 / (c * float(total)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6, labelCol="label", featuresCol="vector",
     )
     if weight:
         model = model.setWeightCol(weight)
