@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
-from .common import materialise, table
+from .common import dropped, materialise, table
 
 SAMPLES = 64
 #: Runs of these separate words; other ASCII and all non-ASCII characters belong to words.
@@ -105,7 +105,7 @@ def with_successors(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, sig, edited_sig, next_sig): signatures as arrays of 16-bit samples."""
-    rows, order, _ = with_successors(docs)
+    rows, order, texts = with_successors(docs)
     rows = rows.withColumn("edited", edited("n_chars", F.col("text"), F.col("following")))
     about = rows.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     sides = rows.select("key", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("text").alias("t")), F.struct(F.lit(2).alias("side"), F.col("edited").alias("t")))).alias("s"))
@@ -124,6 +124,7 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sigs = by_side.select("key", folded(least(F.col("m1"), F.col("m3"))).alias("sig"), folded(least(F.col("m2"), F.col("m3"))).alias("edited_sig"))
     both = about.join(sigs, "key", "left").withColumn("sig", F.coalesce("sig", none)).withColumn("edited_sig", F.coalesce("edited_sig", none))
     found = materialise(both.hint("merge").join(order.select("key", "doc_id", "next_key"), "key"), "signatures")
+    dropped(texts, order)
     following = found.select(F.col("key").alias("next_key"), F.col("sig").alias("next_sig"))
     return found.join(following, "next_key").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "sig", "edited_sig", "next_sig")
 
