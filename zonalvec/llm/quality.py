@@ -8,7 +8,7 @@ labelled sample's matrix gives the latent space. The space is fitted once, on th
 
 The sample holds about ``SAMPLE_TEXTS`` labelled training documents at most, chosen by a hash of their ids;
 training rows are those with crc32(id) modulo 5 other than 0. Only text is looked at. Terms are counted in the tasks, so
-what comes to the driver is ``CLASSES`` squared and five numbers a sampled id, however long its text is.
+what comes to the driver is the pairs that occur, ``CLASSES`` squared at most, and five numbers a sampled id, however long its text is.
 
 Defined cases: a text without any term or similarity gets the sample's share of label 1; so does every row when
 nothing is labelled (0.5 then); equal texts get equal scores; ties of cosine at six decimals go to the
@@ -88,7 +88,8 @@ class Space:
         order = np.argsort(ids, kind="stable")
         self.labels = np.array(labels, float)[order]
         self.prior = float(self.labels.mean()) if len(order) else 0.5
-        counts, shape = counts[order], shape[order]
+        if (np.diff(order) != 1).any():  # else they are in order, and are not copied
+            counts, shape = counts[order], shape[order]
         self.idf = (np.log((len(order) + 1) / ((counts > 0).sum(0) + 1)) + 1).astype(np.float32)
         matrix = self._weighted(counts, shape)
         # Left singular vectors from the small Gram matrix of the sample; then the right ones.
@@ -131,11 +132,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) ->
             for i in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(i, BLOCK)
                 counts, shape = counted(some.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array([c.tobytes() for c in counts]), pa.array([x.tobytes() for x in shape])], ["doc_id", "quality", "sum", "counts", "shape"])
-
-    found = texts.select("doc_id", "text", "quality", F.xxhash64("text").alias("sum")).mapInArrow(count, "doc_id long, quality int, sum long, counts binary, shape binary")
-    sample = found.groupBy("doc_id").agg(F.min(F.struct("sum", "quality", "counts", "shape")).alias("s")).select("doc_id", "s.*").toArrow()
-    counts = np.frombuffer(b"".join(sample["counts"].to_pylist()), np.float32).reshape(-1, CLASSES * CLASSES)
+                there = [np.flatnonzero(c) for c in counts]
+                made = [[p.astype(np.int16).tobytes() for p in there], [c[p].tobytes() for c, p in zip(counts, there)], [x.tobytes() for x in shape]]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), *map(pa.array, made)], ["doc_id", "quality", "sum", "pairs", "counts", "shape"])
+
+    found = texts.select("doc_id", "text", "quality", F.xxhash64("text").alias("sum")).mapInArrow(count, "doc_id long, quality int, sum long, pairs binary, counts binary, shape binary")
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("sum", "quality", "pairs", "counts", "shape")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").toArrow()
+    counts = np.zeros((len(sample), CLASSES * CLASSES), np.float32)
+    for row, pairs, n in zip(counts, sample["pairs"], sample["counts"]):
+        row[np.frombuffer(pairs.as_py(), np.int16)] = np.frombuffer(n.as_py(), np.float32)
     shape = np.frombuffer(b"".join(sample["shape"].to_pylist())).reshape(-1, SHAPE)
     return Space(sample["doc_id"].to_pylist(), counts, shape, sample["quality"].to_pylist())
 
