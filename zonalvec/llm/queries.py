@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .archives import op5_warc_archives
 from .chat import op8_chat_formatting
+from .clustering import op13_centroid_clustering
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
+from .jaccard import op11_jaccard_join
 from .language import op9_language_id
+from .lexical import op12_ranked_search
 from .licenses import op3_license_scan
 from .oracles import ORACLE_SQL
 from .packing import op7_packing
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
