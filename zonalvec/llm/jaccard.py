@@ -83,22 +83,26 @@ def read(docs: DataFrame, shingle: int, part: int = PART) -> DataFrame:
 
 
 def not_lonely(rows: DataFrame, like: tuple[int, int], part: int = PART) -> DataFrame:
-    """(node, n, text_key): one row a different set that has too few lonely shingles to be without links for certain."""
-    nodes = rows.filter("n > 0").groupBy("same").agg(F.min(F.struct("row", "n", "text_key", "some")).alias("f")).select(F.col("f.row").alias("node"), "f.n", "f.text_key", "f.some")
+    """(node, text_key, doc_id): one row a different set that has too few lonely shingles to be without links for certain."""
+    nodes = rows.filter("n > 0").groupBy("same").agg(F.min(F.struct("row", "n", "text_key", "doc_id", "some")).alias("f")).select(F.col("f.row").alias("node"), "f.n", "f.text_key", "f.doc_id", "f.some")
     nodes = materialise(nodes, "jaccard-nodes")
     # A shingle counts as lonely only where every set that could be linked with its set shows it too.
     counted = (F.col("n") * like[1] < FULL * like[0]) | F.col("s").between(0, (1 << 64) // part - 1)
     seen = nodes.select("node", "n", F.explode("some").alias("s")).select("s", F.when(counted, F.col("node")).alias("node"))
     once = seen.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1 and node is not null")
     lonely = once.groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
-    kept = nodes.select("node", "n", "text_key").join(lonely, "node", "left").filter(F.coalesce("lonely", F.lit(0)) <= F.col("n") - least_shared(F.col("n"), like))
-    out = materialise(kept.select("node", "n", "text_key"), "jaccard-live")
+    kept = nodes.select("node", "n", "text_key", "doc_id").join(lonely, "node", "left").filter(F.coalesce("lonely", F.lit(0)) <= F.col("n") - least_shared(F.col("n"), like))
+    out = materialise(kept.select("node", "text_key", "doc_id"), "jaccard-live")
     dropped(nodes)
     return out
 
 
 def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, s): the sets of the nodes, as bytes of ascending hashes; one row a node."""
+    """(node, n, s): the sets of the nodes, as bytes of ascending hashes; one row a node.
+
+    Texts are found by their digest and the id of one of their rows, so that many copies of a text don't meet. The texts of all
+    documents are exchanged once for it, whatever the size: how many nodes are left has no bound that would allow to send them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +110,13 @@ def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 8 for x in own], pa.int64()), pa.array(own, pa.binary())], ["node", "n", "s"])
 
     text = F.col("text").cast("string")
-    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text")).join(live.select("text_key", "node"), "text_key")
+    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.col("doc_id").cast("long").alias("id"), text.alias("text")).filter("text is not null")
+    texts = texts.join(live.hint("merge"), (texts.text_key == live.text_key) & texts.id.eqNullSafe(live.doc_id))
     return materialise(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, n long, s binary"), "jaccard-sets")
 
 
 def _hashes_of(sets: DataFrame) -> DataFrame:
-    """(node, n, s): a row for each shingle."""
+    """(node, s): a row for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +124,15 @@ def _hashes_of(sets: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, LEAF):
                 here = slice(i, i + LEAF)
                 own = np.frombuffer(b"".join(batch.column(2).slice(i, LEAF).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[here], n[here])), pa.array(np.repeat(n[here], n[here])), pa.array(own)], ["node", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[here], n[here])), pa.array(own)], ["node", "s"])
 
-    return sets.mapInArrow(run, "node long, n long, s long")
+    return sets.mapInArrow(run, "node long, s long")
 
 
 def root_regions(sets: DataFrame, like: tuple[int, int]) -> DataFrame:
     """(region, node): each set in the regions of the pivots of its rarest shingles' cells."""
     shared = materialise(_hashes_of(sets).groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-df")
-    own = _hashes_of(sets).join(shared, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
+    own = _hashes_of(sets).join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own")).join(sets.select("node", "n"), "node")
     # Shingles of no other set are the rarest, and make no cell.
     room = (F.size("own") - least_shared(F.col("n"), like) + 1).cast("int")
     rare = materialise(own.filter(room > 0).select("node", F.explode(F.slice("own", F.lit(1), room)).alias("o")).select("node", "o.s"), "jaccard-rare")
@@ -168,7 +173,7 @@ class _Union:
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
+    """Sizes of the intersections of different sets; the diagonal is not used."""
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[len(sets[0]), both], [both, len(sets[1])]], float)
