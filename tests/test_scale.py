@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from zonalvec import storage
 from zonalvec.functions import codecs
-from zonalvec.operators import fitted, order, pool, probe, report, sampling
+from zonalvec.operators import fitted, linear, metrics, order, pool, probe, report, sampling
+from zonalvec.storage import written
 from zonalvec.streaming import stream
 
 RNG = np.random.default_rng(11)
@@ -172,3 +173,80 @@ def test_sweeps(spark):
     assert len(linear) == 2 and all(r.accuracy == 1.0 for r in linear)
     boot = probe.bootstrap_sweep(feats, {"raw": methods["raw"]}, 3, 5).collect()
     assert len(boot) == 10 and all(r.ci_lower <= r["mean"] <= r.ci_upper for r in boot)
+
+
+def test_pixel_moments_of_sparse_and_dense_patches():
+    rng = np.random.default_rng(5)
+    patches = np.r_[np.repeat(7, pool.DENSE + 40), rng.integers(0, 30, 300)]
+    x = rng.normal(size=(len(patches), 4)) + 50
+    found, n, mean, products = pool._merged([pool._pixel_moments(patches[k::3], x[k::3]) for k in range(3)])
+    assert found.tolist() == sorted(set(patches.tolist())) and n.sum() == len(x)
+    for k, p in enumerate(found):
+        own = x[patches == p]
+        np.testing.assert_allclose(mean[k], own.mean(0))
+        np.testing.assert_allclose(products[k].reshape(4, 4), (own - own.mean(0)).T @ (own - own.mean(0)), atol=1e-9)
+
+
+def separable(spark, n=240, classes=3, seed=0, noise=1.0):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, classes, n)
+    x = np.eye(classes, 5)[y] * 2 + rng.normal(0, noise, (n, 5)) * [1, 3, 0.2, 1, 1] + [0, 9, 0, -4, 100]
+    return spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(y, x))], "row_id long, label int, features array<double>"), x, y
+
+
+def slope(x, y, w, mean, scale, a, b, c):
+    """Gradient of the mean objective over standardised features, at coefficients over unscaled ones."""
+    z = x @ a.T + b
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p *= w[:, None] / w.sum()
+    return np.abs(np.c_[p.T @ ((x - mean) / scale) + a * scale / (c * w.sum()), p.sum(0)]).max()
+
+
+def test_many_linear_models_at_their_minimum(spark):
+    """Weights as repeats, scalers of their own, penalties and parts: the gradient vanishes for each, and Spark's own fit agrees."""
+    rows, x, y = separable(spark)
+    rng = np.random.default_rng(1)
+    w = np.stack([rng.integers(0, 4, len(y)), np.ones(len(y)), (np.arange(len(y)) % 3 > 0)]).astype(float)
+    weights = spark.createDataFrame([(i, w[:, i].tolist()) for i in range(len(y))], "row_id long, w array<double>")
+    known = rows.join(weights, "row_id")
+    parts = known.withColumn("part", F.lit(0)).unionByName(known.withColumn("part", F.lit(1)).withColumn("features", F.slice("features", 1, 2)))
+    models = [linear.Model(p, g, s, c) for p in (0, 1) for g, s in ((0, 0), (1, 1), (2, 1)) for c in (1e-3, 1.0, 100.0)]
+    found = linear.fit_many(linear.packed(parts), models)
+    for m, a, b in zip(models, found.coefficients, found.intercepts):
+        own = x[:, :2] if m.part else x
+        mean = np.average(own, axis=0, weights=w[m.scaler])
+        scale = np.sqrt(np.average((own - mean) ** 2, axis=0, weights=w[m.scaler]))
+        assert slope(own, y, w[m.weight], mean, scale, a, b, m.c) < 2e-4
+    assert found.passes < 300
+    single = probe.predict_linear(probe.fit_linear(probe.standardise(rows, probe.standardiser(rows)), 1.0), probe.standardise(rows, probe.standardiser(rows)))
+    many = linear.predict_many(rows.withColumn("part", F.lit(0)), found).filter(F.col("model") == models.index(linear.Model(0, 1, 1, 1.0)))
+    assert single.join(many.select("q", F.col("p").alias("p2")), "q").filter("p <> p2").count() == 0
+
+
+def test_a_class_without_weight_is_not_predicted(spark):
+    rows, x, y = separable(spark, 90)
+    known = rows.withColumn("part", F.lit(0)).withColumn("w", F.array((F.col("label") != 2).cast("double")))
+    found = linear.fit_many(linear.packed(known), [linear.Model(0, 0, 0, 1.0)])
+    assert {r.p for r in linear.predict_many(known, found).collect()} <= {0, 1}
+    held = linear.predict_many(known, found, held_out=True)
+    assert held.count() == int((y == 2).sum())
+
+
+def test_search_for_c_equals_single_fits(spark):
+    rows, _, _ = separable(spark, 150, noise=2.5)
+    scaled = written(probe.standardise(rows, probe.standardiser(rows)), "scaled")
+    best, found = probe.choose_c(rows, (1e-3, 1.0))
+    parts = probe.folds(scaled)
+    for c, mean in found:
+        right = [metrics.metrics(probe.predict_linear(probe.fit_linear(parts.filter(F.col("fold") != f), c), parts.filter(F.col("fold") == f))).first()["accuracy"] for f in range(3)]
+        assert abs(mean - np.mean(right)) < 0.015
+    assert best in (1e-3, 1.0)
+
+
+def test_linear_bootstraps_of_all_parts(spark):
+    rows, _, _ = separable(spark, 120, noise=0.3)
+    test, train = rows.filter("row_id % 5 = 0"), rows.filter("row_id % 5 <> 0")
+    got = probe.bootstrap_linear(test, train, 30).collect()
+    assert sorted(r.rep for r in got) == list(range(30)) and min(r.accuracy for r in got) > 0.8

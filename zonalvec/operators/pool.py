@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,8 @@ from ..model import assemble
 V = "v"
 #: Values of moments that a task holds before it sends them on, and parts of a patch that are merged first.
 HELD_VALUES, SALTS = 4_000_000, 32
+#: Pixels of a patch in a batch from which on they have a matrix product of their own; products held at a time.
+DENSE, PRODUCTS = 64, 4_000_000
 PERCENTILES = (10, 25, 50, 75, 90)
 QUARTILES = (0.25, 0.5, 0.75)
 P, EPS = 3.0, 1e-6
@@ -162,45 +163,105 @@ def covariance(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
     One pixel gives NaN, or 0 with denom_floor (the divisor is then at least 1); a NaN or null value makes its bands' entries NaN.
     Each task sums up its own pixels of a patch as (n, mean, products of the deviations from that mean); the parts of a
     patch are merged in two steps by the rule for shifted means, so that no one task gets all parts of a large patch, no pixel
-    is exploded or read twice, and large means cancel nothing.
+    is exploded or read twice, and large means cancel nothing. Batches are sorted by patch, and all their patches are summed up
+    at once as segments; only patches of many pixels in a batch have a matrix product of their own.
     """
 
     def moments(batches):
-        held: dict[int, tuple] = {}
+        held: list[tuple] = []
         for batch in batches:
-            for patch, own in batch.groupby("patch_id"):
-                x = np.stack(own["vec"].to_numpy()).astype(float)
-                mean = x.mean(0)
-                part = len(x), mean, (x - mean).T @ (x - mean)
-                held[patch] = _merged(held[patch], part) if patch in held else part
-            if len(held) * len(mean) ** 2 > HELD_VALUES:
-                yield _parts(held)
-                held = {}
+            if len(batch):
+                held.append(_pixel_moments(batch["patch_id"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(float)))
+                held = _settled(held, HELD_VALUES)
+                if len(held) == 1 and held[0][3].size > HELD_VALUES:
+                    yield _frame(held[0])
+                    held = []
         if held:
-            yield _parts(held)
+            yield _frame(_merged(held))
 
-    def merge(_key, frame):
-        parts = [(n, np.array(m), np.array(xx).reshape(len(m), len(m))) for n, m, xx in zip(frame["n"], frame["mean"], frame["xx"])]
-        return _parts({frame["patch_id"].iloc[0]: reduce(_merged, parts)})
+    def merge(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            if len(batch):
+                held = _settled([*held, tuple(np.stack(batch[c].to_numpy()) if c in ("mean", "xx") else batch[c].to_numpy() for c in ("patch_id", "n", "mean", "xx"))], HELD_VALUES)
+                if len(held) == 1 and held[0][3].size > HELD_VALUES:  # patches come in order: all but the last are whole
+                    yield _frame(tuple(x[:-1] for x in held[0]))
+                    held = [tuple(x[-1:] for x in held[0])]
+        if held:
+            yield _frame(_merged(held))
 
     kind = "patch_id long, n long, mean array<double>, xx array<double>"
     parts = pixels.select(F.col("patch_id").cast("long").alias("patch_id"), "vec").mapInPandas(moments, kind)
-    few = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("patch_id", "salt").applyInPandas(merge, kind)
-    whole = few.groupBy("patch_id").applyInPandas(merge, kind)
+    # In two steps, so that no one task gets all parts of a large patch.
+    for keys in (("patch_id", F.pmod(F.spark_partition_id(), F.lit(SALTS))), ("patch_id",)):
+        salted = parts.select("*", *[k.alias("_salt") for k in keys[1:]])
+        names = ["patch_id", "_salt"][: len(keys)]
+        parts = salted.repartition(*names).sortWithinPartitions(*reversed(names)).select("patch_id", "n", "mean", "xx").mapInPandas(merge, kind)
+    whole = parts
     alone = F.lit(0.0 if denom_floor else float("nan"))
     d = F.size("mean")
     cells = F.expr("flatten(transform(sequence(0, size(mean) - 1), i -> slice(xx, i * size(mean) + i + 1, size(mean) - i)))")
     return whole.select("patch_id", "n", F.posexplode(F.when(d > 0, cells)).alias("ord", "s")).select("patch_id", "ord", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(alone).alias("value"))
 
 
-def _merged(a: tuple, b: tuple) -> tuple:
-    """Moments (n, mean, products) of two sets of pixels together."""
-    n, apart = a[0] + b[0], b[1] - a[1]
-    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
-
-
-def _parts(held: dict[int, tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"patch_id": list(held), "n": [p[0] for p in held.values()], "mean": [p[1] for p in held.values()], "xx": [p[2].ravel() for p in held.values()]})
+def _segments(patches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal patches together, the patches, and where each begins."""
+    order = np.argsort(patches, kind="stable")
+    found, first = np.unique(patches[order], return_index=True)
+    return order, found, first
+
+
+def _outer(x: np.ndarray) -> np.ndarray:
+    return (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+
+
+def _pixel_moments(patches: np.ndarray, x: np.ndarray) -> tuple:
+    """(patches, n, mean, products of the deviations) of a batch's pixels."""
+    order, found, first = _segments(patches)
+    x, d = x[order], x.shape[1]
+    n = np.diff(np.r_[first, len(x)])
+    mean = np.add.reduceat(x, first, axis=0) / n[:, None]
+    x = x - np.repeat(mean, n, axis=0)
+    products = np.empty((len(found), d * d))
+    large = n >= DENSE
+    for k in np.flatnonzero(large):
+        own = x[first[k] : first[k] + n[k]]
+        products[k] = (own.T @ own).ravel()
+    rest = np.flatnonzero(~large)
+    step = max(1, PRODUCTS // (d * d * DENSE))
+    for at in range(0, len(rest), step):
+        some = rest[at : at + step]
+        rows = np.repeat(first[some] - np.r_[0, np.cumsum(n[some])[:-1]], n[some]) + np.arange(n[some].sum())
+        products[some] = np.add.reduceat(_outer(x[rows]), np.r_[0, np.cumsum(n[some])[:-1]], axis=0)
+    return found, n, mean, products
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """Moments (patches, n, mean, products) of several parts, one row a patch in ascending order: the rule for shifted means, for all patches at once."""
+    patches, n, mean, products = (np.concatenate(x) for x in zip(*parts))
+    order, found, first = _segments(patches)
+    n, mean, products = n[order], mean[order], products[order]
+    count = np.add.reduceat(n, first)
+    middle = np.add.reduceat(mean * n[:, None], first, axis=0) / count[:, None]
+    apart = (mean - np.repeat(middle, np.diff(np.r_[first, len(n)]), axis=0)) * np.sqrt(n)[:, None]
+    out = np.add.reduceat(products, first, axis=0)
+    step = max(1, PRODUCTS // mean.shape[1] ** 2)
+    owner = np.repeat(np.arange(len(found)), np.diff(np.r_[first, len(n)]))
+    for at in range(0, len(n), step):
+        some = owner[at : at + step]
+        heads = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+        out[some[heads]] += np.add.reduceat(_outer(apart[at : at + step]), heads, axis=0)
+    return found, count, middle, out
+
+
+def _settled(held: list[tuple], most: int) -> list[tuple]:
+    """The parts, merged where together they hold more than ``most`` values."""
+    return [_merged(held)] if sum(h[3].size for h in held) > most else held
+
+
+def _frame(part: tuple) -> pd.DataFrame:
+    found, n, mean, products = part
+    return pd.DataFrame({"patch_id": found, "n": n, "mean": list(mean), "xx": list(products)})
 
 
 def covariance_by_pairs(pixels: DataFrame, denom_floor: bool = False, keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import sanitize
 from ..storage import dropped, written
+from . import linear
 from .metrics import METRICS, metrics, summary
 from .order import numbered_within
 from .sampling import bootstrap, size_curve
@@ -208,9 +209,9 @@ def predict_linear(model, test: DataFrame) -> DataFrame:
 C_GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 
 
-def folds(train: DataFrame, n: int = 3) -> DataFrame:
+def folds(train: DataFrame, n: int = 3, label: str = "label") -> DataFrame:
     """train with ``fold``: contiguous parts of each class in id order, the first ones larger by one where sizes differ."""
-    placed = numbered_within(train, "label", "row_id", name="_at", size="_n")
+    placed = numbered_within(train, label, "row_id", name="_at", size="_n")
     least = F.expr(f"_n div {n}")
     large = F.col("_n") % n  # so many parts have one row more
     later = F.when(least > 0, F.expr(f"(_at - (_n % {n}) * (_n div {n} + 1)) div greatest(_n div {n}, 1)")).otherwise(0)
@@ -220,41 +221,71 @@ def folds(train: DataFrame, n: int = 3) -> DataFrame:
 
 def choose_c(train: DataFrame, grid=C_GRID, n: int = 3) -> tuple[float, list[tuple[float, float]]]:
     """The C with the best mean accuracy over folds (the first of equals), and every C's mean."""
-    parts = folds(train, n)  # numbered rows are written, so every fold reads the same table
-    found = []
-    for c in grid:
-        right = [
-            metrics(predict_linear(fit_linear(parts.filter(F.col("fold") != f), c), parts.filter(F.col("fold") == f))).first()["accuracy"] for f in range(n)
-        ]
-        found.append((c, float(np.mean(right))))
-    return max(found, key=lambda x: x[1])[0], found
+    chosen, found = choose_many(train.withColumn("part", F.lit(0)), grid, n)
+    return chosen[0], found[0]
+
+
+def choose_many(train: DataFrame, grid=C_GRID, n: int = 3) -> tuple[dict[int, float], dict[int, list[tuple[float, float]]]]:
+    """The same for every ``part`` of the rows: all C, folds and parts are fitted together."""
+    parts = [r[0] for r in train.select("part").distinct().collect()]  # one row a part
+    placed = written(_fold_weights(train, n), "folds")
+    blocks = linear.packed(placed)
+    models = [linear.Model(p, f, n, float(c)) for p in parts for c in grid for f in range(n)]
+    predicted = linear.predict_many(placed, linear.fit_many(blocks, models), held_out=True)
+    right = {r["model"]: r["accuracy"] for r in predicted.groupBy("model").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy")).collect()}  # one row a model
+    dropped(placed, blocks)
+    found = {p: [(float(c), float(np.mean([right[i] for i, m in enumerate(models) if (m.part, m.c) == (p, float(c)) and i in right] or [0.0]))) for c in grid] for p in parts}
+    return {p: max(own, key=lambda x: x[1])[0] for p, own in found.items()}, found
+
+
+def _fold_weights(train: DataFrame, n: int) -> DataFrame:
+    """train with ``w``: for each fold 0 where the row is held out and 1 elsewhere, and 1 for all of them."""
+    keyed = train.withColumn("_class", F.struct("part", "label"))
+    return folds(keyed, n, "_class").withColumn("w", F.array(*[(F.col("fold") != f).cast("double") for f in range(n)], F.lit(1.0))).drop("_class", "fold")
 
 
 def evaluate_linear(test: DataFrame, train: DataFrame, c: float | list[float] | None = None) -> DataFrame:
     """The five metrics and ``c``. A list (or None: the default grid) is searched by cross-validation first."""
-    scaler = written(standardiser(clean(train)), "scaler")
-    known, asked = written(standardise(clean(train), scaler), "standardised"), standardise(clean(test), scaler)
-    best = c if isinstance(c, (int, float)) else choose_c(known, tuple(c) if c else C_GRID)[0]
-    return metrics(predict_linear(fit_linear(known, best), asked)).withColumn("c", F.lit(float(best)))
+    one = F.lit(0).alias("part")
+    return evaluate_linear_many(test.select("*", one), train.select("*", one), c).drop("part")
 
 
-def bootstrap_linear(test: DataFrame, train: DataFrame, reps: int, c: float = 1.0, seed: int = 42) -> DataFrame:
-    """(rep, the five metrics): the scaler and the model are refitted with the drawn multiplicities as weights.
+def evaluate_linear_many(test: DataFrame, train: DataFrame, c: float | list[float] | None = None) -> DataFrame:
+    """(part, the five metrics, c) for every ``part`` of the training and test rows; all parts are fitted together."""
+    columns = ("part", "row_id", "label", "features")
+    known = written(clean(train).select(*columns), "linear-rows")
+    parts = [r[0] for r in known.select("part").distinct().collect()]  # one row a part
+    best = {p: float(c) for p in parts} if isinstance(c, (int, float)) else choose_many(known, tuple(c) if c else C_GRID)[0]
+    blocks = linear.packed(known.withColumn("w", F.array(F.lit(1.0))))
+    fitted = linear.fit_many(blocks, [linear.Model(p, 0, 0, best[p]) for p in parts])
+    dropped(blocks, known)
+    chosen = test.sparkSession.createDataFrame([(i, p, best[p]) for i, p in enumerate(parts)], "model int, part int, c double")
+    return metrics(linear.predict_many(clean(test).select(*columns), fitted), "model").join(F.broadcast(chosen), "model").drop("model")
 
-    One row a repetition is written as soon as it is known, so the plan does not grow with the repetitions.
-    """
-    spark = train.sparkSession
-    drawn = written(bootstrap(train, reps, seed).select("rep", "row_id", "mult"), "drawn")
-    found = []
-    for rep in range(reps):
-        own = written(clean(train).join(drawn.filter(F.col("rep") == rep).select("row_id", "mult"), "row_id"), "drawn-rows")
-        scaler = written(standardiser(own, "mult"), "scaler")
-        model = fit_linear(standardise(own, scaler), c, weight="mult")
-        one = metrics(predict_linear(model, standardise(clean(test), scaler))).first()
-        found.append((rep, *[float(one[m]) for m in METRICS]))
-        dropped(own, scaler)
-    dropped(drawn)
-    return spark.createDataFrame(found, "rep int, " + ", ".join(f"{m} double" for m in METRICS))
+
+def bootstrap_linear(test: DataFrame, train: DataFrame, reps: int, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(rep, the five metrics): for each repetition the scaler and the model are fitted with the drawn multiplicities as weights, all together."""
+    one = F.lit(0).alias("part")
+    return bootstrap_linear_many(test.select("*", one), train.select("*", one), reps, c, seed).drop("part")
+
+
+def bootstrap_linear_many(test: DataFrame, train: DataFrame, reps: int, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(part, rep, the five metrics) for every ``part``; a part's rows are drawn within its classes."""
+    columns = ("part", "row_id", "label", "features")
+    known = written(clean(train).select(*columns), "linear-rows")
+    parts = [r[0] for r in known.select("part").distinct().collect()]  # one row a part
+    drawn = None
+    for p in parts:
+        own = bootstrap(known.filter(F.col("part") == p), reps, seed).select(F.lit(p).alias("part"), "row_id", "rep", "mult")
+        drawn = own if drawn is None else drawn.unionByName(own)
+    counts = drawn.groupBy("part", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("_m"))
+    w = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("double"))
+    blocks = linear.packed(known.join(counts, ["part", "row_id"]).withColumn("w", w))
+    named = [(p, r) for p in parts for r in range(reps)]
+    fitted = linear.fit_many(blocks, [linear.Model(p, r, r, c) for p, r in named])
+    dropped(blocks, known)
+    models = test.sparkSession.createDataFrame([(i, p, r) for i, (p, r) in enumerate(named)], "model int, part int, rep int")
+    return metrics(linear.predict_many(clean(test).select(*columns), fitted), "model").join(F.broadcast(models), "model").drop("model")
 
 
 def _splits(features: DataFrame) -> list[str]:
@@ -297,16 +328,41 @@ def bootstrap_sweep(features: DataFrame, methods: dict[str, DataFrame], k: int,
     return out
 
 
+def _linear_parts(features: DataFrame, methods: dict[str, DataFrame], sizes: list[int], seed: int) -> tuple[list[tuple[str, str, int]], DataFrame, DataFrame]:
+    """Methods x split types x training sizes as parts: their names, test rows and training rows. Samples are drawn once for all methods."""
+    names, splits = sorted(methods), _splits(features)
+    parts = [(m, s, n) for m in names for s in splits for n in sizes]
+    labelled, test, train = features.select("row_id", "label", "split_type", "role"), None, None
+    for s in splits:
+        own = labelled.filter(F.col("split_type") == s)
+        sampled = written(size_curve(own.filter("role = 'train'").select("row_id", "label"), sizes, seed), "sweep-train")
+        for p, (m, split, n) in enumerate(parts):
+            if split == s:
+                vectors = methods[m].select("row_id", F.col("features").cast("array<double>").alias("features"))
+                asked = own.filter("role = 'test'").select("row_id", "label").join(vectors, "row_id").withColumn("part", F.lit(p))
+                known = sampled.filter(F.col("n_train") == n).select("row_id", "label").join(vectors, "row_id").withColumn("part", F.lit(p))
+                test, train = (known if x is None else x.unionByName(known) for x, known in ((test, asked), (train, known)))
+    return parts, written(test, "sweep-test"), written(train, "sweep-train")
+
+
 def linear_sweep(features: DataFrame, methods: dict[str, DataFrame], sizes: list[int], c: float | list[float] | None = None, seed: int = 42) -> DataFrame:
-    """Linear metrics for methods x split types x training sizes; ``c`` as in ``evaluate_linear``."""
+    """Linear metrics for methods x split types x training sizes; ``c`` as in ``evaluate_linear``. All models, those of the search for C
+    included, are fitted together."""
+    methods = {m: written(v.select("row_id", "features"), "sweep") for m, v in methods.items()}
+    parts, test, train = _linear_parts(features, methods, sizes, seed)
+    names = features.sparkSession.createDataFrame([(p, *x) for p, x in enumerate(parts)], "part int, pool string, split_type string, n_train int")
+    used = train.groupBy("part").agg(F.count(F.lit(1)).alias("train_samples"))
+    found = evaluate_linear_many(test, train, c).join(F.broadcast(names), "part").join(F.broadcast(used), "part")
+    return found.select("pool", "split_type", "n_train", "train_samples", "c", *METRICS)
+
+
+def linear_bootstrap_sweep(features: DataFrame, methods: dict[str, DataFrame], reps: int, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(pool, split_type, metric, mean, std, ci_lower, ci_upper) of linear probes over bootstraps of each split's training rows; fitted together."""
+    methods = {m: written(v.select("row_id", "features"), "sweep") for m, v in methods.items()}
+    parts, test, train = _linear_parts(features, methods, [-1], seed)
+    found = written(bootstrap_linear_many(test, train, reps, c, seed), "sweep-reps")
     out = None
-    for name, vectors in sorted(methods.items()):
-        rows = written(features.select("row_id", "label", "split_type", "role").join(vectors.select("row_id", "features"), "row_id"), "sweep")
-        for split in _splits(features):
-            own = rows.filter(F.col("split_type") == split)
-            for n in sizes:
-                train = written(size_curve(own.filter("role = 'train'"), [n], seed), "sweep-train")
-                one = evaluate_linear(own.filter("role = 'test'"), train, c)
-                one = one.select(F.lit(name).alias("pool"), F.lit(split).alias("split_type"), F.lit(n).alias("n_train"), F.lit(train.count()).alias("train_samples"), "c", *METRICS)
-                out = one if out is None else out.unionByName(one)
+    for p, (pool, split, _) in enumerate(parts):
+        one = summary(found.filter(F.col("part") == p)).select(F.lit(pool).alias("pool"), F.lit(split).alias("split_type"), "*")
+        out = one if out is None else out.unionByName(one)
     return out

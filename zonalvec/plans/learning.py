@@ -262,8 +262,8 @@ QUERIES["knn_grid"] = lambda spark, d: _five(probe.evaluate_knn(_test(spark, d),
 GRID = "(SELECT * FROM ranked, (SELECT unnest([1, 3, 5, 7, 9]) AS k) WHERE rank <= k)"
 ORACLES["knn_grid"] = f"WITH {TRAIN}, {_pairs('test', 'train')}, {_voted('k', GRID)}, {_scores('k')} SELECT k, {FIVE_SQL} FROM cls GROUP BY k"
 
-#: Repetitions of kNN bootstraps, and of linear ones, whose models are fitted one after the other.
-REPS, LINEAR_REPS = 100, 10
+#: Repetitions of bootstraps.
+REPS = 100
 BOOT = f"""{TRAIN}, {_pairs('test', 'train')}, {DRAWN.format(reps=REPS)}, near AS (SELECT CAST(rep AS INT) AS rep, q, y, r.label, mult, coalesce(sum(mult) OVER (PARTITION BY rep, q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
  FROM ranked r JOIN drawn d ON d.row_id = r.train_id), took AS (SELECT rep, q, y, label, least(mult, 5 - before) AS take FROM near WHERE before < 5), {_voted('rep', 'took', 'sum(take)')}, {_scores('rep')}"""
 QUERIES["knn_bootstrap"] = lambda spark, d: _five(probe.bootstrap_knn(_test(spark, d), _train(spark, d), 5, REPS), "rep")
@@ -290,7 +290,7 @@ def linear_cv(spark, d):
 
 
 def linear_bootstrap(spark, d):
-    return _five(probe.bootstrap_linear(_test(spark, d), _train(spark, d), LINEAR_REPS), "rep")
+    return _five(probe.bootstrap_linear(_test(spark, d), _train(spark, d), REPS), "rep")
 
 
 QUERIES |= {"linear_eval": linear_eval, "linear_cv": linear_cv, "linear_bootstrap": linear_bootstrap}
@@ -336,11 +336,18 @@ def knn_sweep_bootstrap(spark, d):
 
 
 def linear_sweep(spark, d):
-    """Two methods, two kinds of split, all training rows and a sample, at C = 1."""
-    return _five(probe.linear_sweep(fx.features(spark, d), _methods(spark, d, "stats"), [N, -1], 1.0), "pool", "split_type", "n_train", "train_samples", "c")
+    """The raw vectors and all poolers of bands, two kinds of split, all training rows and a sample, the best of all six C."""
+    out = probe.linear_sweep(fx.features(spark, d), _methods(spark, d, *[m for m, _ in SQL_BLOCKS.values()]), [N, -1])
+    return _five(out, "pool", "split_type", "n_train", "train_samples", "c")
+
+
+def linear_sweep_bootstrap(spark, d):
+    """Intervals of the metrics of linear probes over all resamples, for two methods and two kinds of split."""
+    out = probe.linear_bootstrap_sweep(fx.features(spark, d), _methods(spark, d, "stats"), REPS)
+    return out.select("pool", "split_type", "metric", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "std", "ci_lower", "ci_upper")])
 
 
 KS, SWEEP_REPS = [1, 3, 5, 7, 9], 20
-QUERIES |= {"knn_sweep_bootstrap": knn_sweep_bootstrap, "linear_sweep": linear_sweep}
+QUERIES |= {"knn_sweep_bootstrap": knn_sweep_bootstrap, "linear_sweep": linear_sweep, "linear_sweep_bootstrap": linear_sweep_bootstrap}
 QUERIES["knn_sweep"] = knn_sweep
 ORACLES["knn_sweep"] = _sweep_sql()
