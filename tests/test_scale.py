@@ -250,3 +250,46 @@ def test_linear_bootstraps_of_all_parts(spark):
     test, train = rows.filter("row_id % 5 = 0"), rows.filter("row_id % 5 <> 0")
     got = probe.bootstrap_linear(test, train, 30).collect()
     assert sorted(r.rep for r in got) == list(range(30)) and min(r.accuracy for r in got) > 0.8
+
+
+def test_wide_components(spark):
+    """Vectors of 5,000 values: the subspace is that of a full decomposition, and no d x d matrix is made."""
+    rng, d, n, k = np.random.default_rng(8), 5000, 300, 4
+    x = rng.normal(size=(n, 6)) * [40, 30, 22, 15, 4, 3] @ np.linalg.qr(rng.normal(size=(d, 6)))[0].T + rng.normal(size=(n, d)) * 0.02 + rng.normal(size=d)
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(5)
+    model = fitted.fit_wide(rows, k)
+    values, vectors = np.linalg.svd(x - x.mean(0), full_matrices=False)[1:]
+    np.testing.assert_allclose(model.variance, values[:k] ** 2 / (n - 1), rtol=1e-6)
+    assert np.linalg.norm(model.components @ vectors[:k].T @ vectors[:k] - model.components) < 1e-4
+    np.testing.assert_allclose(model.total_variance, (values**2).sum() / (n - 1), rtol=1e-9)
+    got = np.array([r.features for r in model.transform(rows.limit(3)).collect()])
+    assert got.shape == (3, k)
+    few = fitted.fit_wide(spark.createDataFrame([(r.tolist(),) for r in x[:6]], "features array<double>"), 3)
+    np.testing.assert_allclose(few.variance, np.linalg.svd(x[:6] - x[:6].mean(0))[1][:3] ** 2 / 5, rtol=1e-6)
+    with pytest.raises(ValueError):
+        fitted.fit_wide(rows.limit(0), 2)
+    with pytest.raises(ValueError):
+        fitted.fit_wide(rows.select(F.slice("features", 1, 3).alias("features")), 4)
+
+
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_samples_sort_only_what_they_need(spark, monkeypatch, few):
+    monkeypatch.setattr(sampling, "FEW", few)
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") % 3).cast("int")).alias("label"))
+    hashed = rows.withColumn("h", sampling.seeded_hash(42, "row_id")).toPandas()
+    expected = set()
+    for label, own in hashed.groupby("label", dropna=False):
+        quota = next(r.quota for r in sampling.quotas(rows, 100).collect() if r.label == label or (r.label is None and label != label))
+        expected |= set(own.sort_values(["h", "row_id"]).row_id[:quota])
+    ranked = sampling._ranked(rows, [100], 42, "label", "row_id")
+    assert ranked.count() < 500
+    assert {r.row_id for r in sampling.subsample(rows, 100).collect()} == expected
+    assert sampling.subsample(rows.limit(40), 100).count() == 40
+
+
+def test_a_bound_that_is_too_low_is_noticed(spark, monkeypatch):
+    """Hashes that are not uniform: all rows are ranked then."""
+    rows = spark.range(500).select(F.col("id").alias("row_id"), F.lit(1).alias("label"))
+    monkeypatch.setattr(sampling, "seeded_hash", lambda seed, *parts: F.col("row_id") + F.lit((1 << 32) - 600))
+    assert sampling._bounds(rows, [10], 42, "label", "row_id") is None
+    assert {r.row_id for r in sampling.subsample(rows, 10).collect()} == set(range(10))

@@ -44,6 +44,14 @@ def patch55(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def patch88(spark: SparkSession, d: str) -> DataFrame:
+    """64 embeddings as one 8x8 grid of 64 bands, in patch rows; pixels that are not there are 0."""
+    grids = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("patch_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("_p"))
+    pix = F.flatten(F.transform("_p", lambda p: F.transform(p["embedding"], lambda x: x.cast("double"))))
+    full = F.concat(pix, F.array_repeat(F.lit(0.0), F.lit(4096) - F.size(pix)))
+    return grids.select("patch_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(64).alias("d"), full.alias("pix"))
+
+
 PATCH55 = """patch55 AS (SELECT vec_id // 25 AS patch_id, CAST(vec_id % 25 // 5 AS INT) AS y, CAST(vec_id % 5 AS INT) AS x, embedding AS vec, label FROM embeddings)"""
 
 

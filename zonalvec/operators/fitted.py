@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..storage import dropped, written
 
 
+#: Of wide vectors: rows that a task multiplies at a time, and values of a sum that travel together.
+WIDE_ROWS, STRIPE = 64, 4096
+
+
 class NotFitted(RuntimeError):
     pass
 
@@ -106,6 +110,79 @@ def means(rows: DataFrame) -> list[float]:
     return [r["m"] for r in got]
 
 
+# -- principal components of wide vectors -------------------------------------------------------------------
+
+
+def _added(rows: DataFrame, what, width: int) -> np.ndarray:
+    """Sums of what(x) over blocks of rows: an array a task, cut into stripes that are added up in tasks; one sum a stripe comes to the driver."""
+    import pyarrow as pa
+
+    def each(batches):
+        held = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, WIDE_ROWS):
+                some = batch.column(0).slice(i, WIDE_ROWS)
+                found = what(some.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1))
+                held = found if held is None else held + found
+        if held is not None:
+            for at in range(0, len(held), STRIPE):
+                yield pa.RecordBatch.from_arrays([pa.array([at // STRIPE]), pa.array([held[at : at + STRIPE].tobytes()])], ["stripe", "v"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[k] = held[k] + np.frombuffer(v) if k in held else np.frombuffer(v)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()])], ["stripe", "v"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stripes = rows.select("features").mapInArrow(each, "stripe long, v binary").repartition(parts, "stripe").mapInArrow(merge, "stripe long, v binary").collect()
+    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(stripes, key=lambda r: r["stripe"])]).reshape(-1, width)
+
+
+def fit_wide(rows: DataFrame, k: int, oversample: int = 8, passes: int = 30, tolerance: float = 1e-10, seed: int = 42) -> PCAModel:
+    """Principal components of vectors that are too wide for a d x d matrix (flattened patches): block power iteration on a seeded sketch.
+
+    A pass multiplies each task's rows by the sketch (d x (k + oversample)) and back, adds up the products by stripes and makes the
+    sketch orthonormal again, so tasks and driver hold O(d k) values whatever the number of rows. It ends when the variances of the k leading
+    directions change by no more than ``tolerance`` of their sum. With no more rows than the sketch is wide one pass is exact.
+    """
+    first = rows.select(F.size("features").alias("d")).first()
+    if first is None or not first["d"]:
+        raise ValueError("no vectors")
+    d = first["d"]
+    if k > d:
+        raise ValueError(f"{k} components of {d} dimensions")
+    spark, kept = rows.sparkSession, rows.filter("features is not null").select("features")
+    sums = _added(kept, lambda x: np.r_[[len(x)], x.sum(0)][:, None], 1)[:, 0]
+    n, mean = sums[0], sums[1:] / sums[0]
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(d, k + oversample))))[0]
+    before, variance, total = None, None, 0.0
+    for _ in range(passes):
+        sent = spark.sparkContext.broadcast((mean, basis))
+
+        def product(x, sent=sent):
+            mean, basis = sent.value
+            x = x - mean
+            return np.vstack([x.T @ (x @ basis), np.full((1, basis.shape[1]), (x * x).sum())])
+
+        found = _added(kept, product, basis.shape[1])
+        sent.unpersist()
+        total, found = found[-1, 0] / max(n - 1, 1), found[:-1] / max(n - 1, 1)
+        # Rayleigh quotients on the old basis, then the new one.
+        small = basis.T @ found
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values, kind="stable")
+        ritz, variance = basis @ turn[:, order], values[order]
+        if before is not None and np.abs(variance[:k] - before[:k]).max() <= tolerance * max(variance.sum(), 1e-300):
+            break
+        before, basis = variance, np.linalg.qr(found)[0]
+    components = ritz[:, :k].T
+    components = components * np.where(components[np.arange(k), np.abs(components).argmax(1)] < 0, -1, 1)[:, None]
+    return PCAModel(mean, components, np.maximum(variance[:k], 0), float(total))
+
+
 class PCA:
     """Estimator over ``features`` (float or double arrays)."""
 

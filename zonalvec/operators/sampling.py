@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .order import numbered, numbered_within
 
+#: Rows of a sample up to which a class's candidates are ranked by a window; larger samples are numbered by ranges.
+FEW = 100_000
+
 
 def seeded_hash(seed: int, *parts: str | Column) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
@@ -31,9 +34,31 @@ def quotas(rows: DataFrame, n: int, label: str = "label") -> DataFrame:
     return base.withColumn("quota", quota).select(label, "size", F.when(F.col("total") <= n, F.col("size")).otherwise(F.col("quota")).alias("quota"))
 
 
-def _ranked(rows: DataFrame, seed: int, label: str, key: str) -> DataFrame:
-    """rows with ``_at``: their place from 0 in their class in the order of a seeded hash of the key."""
-    return numbered_within(rows.withColumn("_hash", seeded_hash(seed, key)), label, "_hash", key, name="_at", size="_size").drop("_hash", "_size")
+def _bounds(rows: DataFrame, sizes: list[int], seed: int, label: str, key: str) -> DataFrame | None:
+    """(label, bound): in every class at least as many hashes are below the bound as the largest quota asks for.
+
+    Hashes are uniform, so the bound that a quota needs is known but for chance; a margin of eight deviations covers it, and a
+    count says whether it does. None: it does not, and every row may be needed. One row a class comes to the driver.
+    """
+    quota = quotas(rows, max(sizes), label)
+    margin = F.col("quota") + 8 * F.sqrt("quota") + 16
+    bounds = quota.select(F.col(label).alias("_label"), "quota", F.ceil(F.least(margin / F.col("size"), F.lit(1.0)) * (1 << 32)).cast("long").alias("_bound"))
+    found = rows.select(label, seeded_hash(seed, key).alias("_hash")).join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("_label")))
+    short = found.groupBy("_label").agg(F.sum((F.col("_hash") < F.col("_bound")).cast("long")).alias("n"), F.max("quota").alias("quota")).filter("n < quota")
+    return bounds.select("_label", "_bound") if short.isEmpty() else None
+
+
+def _ranked(rows: DataFrame, sizes: list[int], seed: int, label: str, key: str) -> DataFrame:
+    """rows with ``_at``: their place from 0 in their class in the order of a seeded hash of the key; at least those that samples of
+    the given sizes take. Only rows below a bound of the hash, little more than are wanted, are sorted."""
+    hashed, bounds = rows.withColumn("_hash", seeded_hash(seed, key)), _bounds(rows, sizes, seed, label, key)
+    if bounds is not None:
+        hashed = hashed.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("_label"))).filter("_hash < _bound").drop("_label", "_bound")
+    if bounds is not None and max(sizes) <= FEW:
+        # No task gets more than the wanted rows and their margin.
+        placed = hashed.withColumn("_at", F.row_number().over(Window.partitionBy(label).orderBy("_hash", key)) - 1)
+        return placed.drop("_hash")
+    return numbered_within(hashed, label, "_hash", key, name="_at", size="_size").drop("_hash", "_size")
 
 
 def _cut(ranked: DataFrame, rows: DataFrame, n: int, label: str) -> DataFrame:
@@ -43,8 +68,8 @@ def _cut(ranked: DataFrame, rows: DataFrame, n: int, label: str) -> DataFrame:
 
 
 def subsample(rows: DataFrame, n: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
-    """Exactly the quotas of each class, without replacement. A large class is ranked in many tasks."""
-    return _cut(_ranked(rows, seed, label, key), rows, n, label)
+    """Exactly the quotas of each class, without replacement. Classes are one row each; their rows are never sorted as a whole."""
+    return _cut(_ranked(rows, [n], seed, label, key), rows, n, label)
 
 
 def bootstrap(rows: DataFrame, reps: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
@@ -66,7 +91,7 @@ def in_seeded_order(rows: DataFrame, seed: int = 42, key: str = "row_id") -> Dat
 
 def size_curve(rows: DataFrame, sizes: list[int], seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
     """Subsamples of several sizes with their ``n_train``; -1 keeps all. Rows are ranked once for all sizes."""
-    ranked = _ranked(rows, seed, label, key) if any(n != -1 for n in sizes) else rows
+    ranked = _ranked(rows, [n for n in sizes if n != -1], seed, label, key) if any(n != -1 for n in sizes) else rows
     parts = [(rows if n == -1 else _cut(ranked, rows, n, label)).withColumn("n_train", F.lit(n)) for n in sizes]
     out = parts[0]
     for p in parts[1:]:

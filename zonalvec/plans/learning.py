@@ -46,6 +46,13 @@ def pca_flat(spark, d):
     return rounded(model.transform(rows).select("patch_id", "role", F.posexplode("features").alias("component", "value")))
 
 
+def pca_flat_wide(spark, d):
+    """Patches of 8 x 8 pixels and 64 bands, flattened to 4,096 values: the variances of two components, found by passes over a sketch."""
+    model = fitted.fit_wide(fx.patch88(spark, d).select(F.col("pix").alias("features")), 2, passes=60, tolerance=1e-9)
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.variance)], "component int, variance double")
+    return rounded(rounded(rows.withColumn("total_variance", F.lit(model.total_variance)), "variance", 4), "total_variance", 4)
+
+
 def pca_incremental(spark, d):
     """Moments of four batches, merged: the same basis as from one pass."""
     rows = _mean_pooled(spark, d).filter("role = 'train'")
@@ -81,7 +88,7 @@ def bovw_fit(spark, d):
 
 
 QUERIES |= {
-    "pca_fit": pca_fit, "pca_transform": pca_transform, "pca_flat": pca_flat, "pca_incremental": pca_incremental, "pca_pixel_rgb": pca_pixel_rgb, "pca_pixel_union": pca_pixel_union,
+    "pca_fit": pca_fit, "pca_transform": pca_transform, "pca_flat": pca_flat, "pca_flat_wide": pca_flat_wide, "pca_incremental": pca_incremental, "pca_pixel_rgb": pca_pixel_rgb, "pca_pixel_union": pca_pixel_union,
     "pca_skip": pca_skip, "bovw_fit": bovw_fit,
 }
 ORACLES["pca_skip"] = f"WITH {fx.PATCH44}, w AS (SELECT max(band) + 1 AS d FROM patch44) SELECT CAST(k AS INT) AS components, k > d AS skipped FROM w, (SELECT unnest([2, 4, 8, 64]) AS k)"
@@ -124,6 +131,23 @@ ORACLES["pca_fit"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 4)} {BASIS.form
 ORACLES["pca_incremental"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 4)} {BASIS.format(more='')}"
 ORACLES["pca_transform"] = f"WITH RECURSIVE {MEANS}, {principal_sql(4, 3)} SELECT patch_id, {ROLE}, component, round({_projected('f', 4)}, 6) + 0.0 AS value FROM pooled, pc, mu"
 ORACLES["pca_flat"] = f"WITH RECURSIVE {FLAT}, tr AS (SELECT f FROM flat WHERE patch_id % 5 <> 0), {principal_sql(64, 8)} SELECT patch_id, {ROLE}, component, round({_projected('f', 64)}, 6) + 0.0 AS value FROM flat, pc, mu"
+#: The same variances are those of the patches' scalar products, a matrix of one row a patch, squared until only its first axis is left.
+SQUARE = "list_transform(range(n * n), lambda t: list_sum(list_transform(range(n), lambda q: m[(t // n) * n + q + 1] * m[q * n + t % n + 1])))"
+TRACED = "list_sum(list_transform(range(n), lambda i: {}[i * (n + 1) + 1]))"
+
+
+def _first_axis(k: int) -> str:
+    return f"""power{k} AS (SELECT 0 AS s, n, c AS m FROM rest{k} UNION ALL SELECT s + 1, n, list_transform(q, lambda x: x / trace) FROM (SELECT s, n, q, {TRACED.format("q")} AS trace FROM (SELECT s, n, {SQUARE} AS q FROM power{k} WHERE s < 40))),
+pc{k} AS (SELECT n, m AS p, c, list_sum(list_transform(range(n * n), lambda t: m[t + 1] * c[t + 1])) AS variance FROM power{k} JOIN rest{k} USING (n) WHERE s = 40),
+rest{k + 1} AS (SELECT n, list_transform(range(n * n), lambda t: c[t + 1] - variance * p[t + 1]) AS c FROM pc{k})"""
+
+
+ORACLES["pca_flat_wide"] = f"""WITH RECURSIVE wide AS (SELECT vec_id // 64 AS patch, list_resize(flatten(list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)), 4096, 0) AS f FROM embeddings GROUP BY patch),
+mu AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(f[i + 1]) AS m FROM wide, (SELECT unnest(range(4096)) AS i) GROUP BY i)),
+centred AS (SELECT patch, list_transform(list_zip(f, m), lambda z: z[1] - z[2]) AS f FROM wide, mu), many AS (SELECT count(*) AS n FROM wide),
+rest0 AS (SELECT n, list(g ORDER BY a, b) AS c FROM (SELECT n, x.patch AS a, y.patch AS b, list_dot_product(x.f, y.f) / (n - 1) AS g FROM centred x, centred y, many) GROUP BY n),
+{_first_axis(0)}, {_first_axis(1)}, total AS (SELECT {TRACED.format("c")} AS total FROM rest0)
+SELECT component, round(variance, 4) + 0.0 AS variance, round(total, 4) + 0.0 AS total_variance FROM (SELECT 0 AS component, variance FROM pc0 UNION ALL SELECT 1, variance FROM pc1), total"""
 ORACLES["pca_pixel_union"] = f"WITH RECURSIVE {PIXELS}, tr AS (SELECT f FROM px WHERE label IN (0, 1) AND i % 4 = 0), {principal_sql(4, 3)} SELECT patch_id, {AT}, component, round({_projected('f', 4)}, 6) + 0.0 AS value FROM px, pc, mu"
 ORACLES["pca_pixel_rgb"] = f"""WITH RECURSIVE {PIXELS}, tr AS (SELECT f FROM px), {principal_sql(4, 3)}, shown AS (SELECT patch_id, i, component AS band, {_projected('f', 4)} AS v FROM px, pc, mu),
 ends AS (SELECT patch_id, band, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM shown GROUP BY ALL)
