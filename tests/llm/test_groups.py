@@ -11,7 +11,8 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from zonalvec.llm import archives, components, fingerprint, simhash
+from zonalvec.llm import archives, components, fingerprint, neardup, simhash
+from zonalvec.llm import jaccard as joins
 from zonalvec.llm.common import new_folder
 
 from . import helpers
@@ -59,7 +60,7 @@ def test_near_duplicates(spark):
     fps = [brute_fingerprint(t) for t in texts]
     for i, f, c in zip(ids, fps, brute_components(ids, fps)):
         assert got[i].fingerprint == f"{f:016x}" and got[i].component_id == c, i
-    kept = simhash.one_per_group(helpers.documents(spark, texts, ids))
+    kept = neardup.one_per_group(helpers.documents(spark, texts, ids))
     assert {r.doc_id for r in kept.collect()} == set(brute_components(ids, fps))
     assert kept.columns == helpers.documents(spark).columns
 
@@ -69,8 +70,8 @@ def test_near_duplicates_of_repeats_and_nothing(spark):
     assert simhash.near_duplicates(helpers.repeated(spark)).count() == 6
     # An id with two different texts keeps both.
     given = helpers.repeated(spark)
-    assert Counter((r.doc_id, r.text) for r in simhash.one_per_group(given).collect()) == brute_kept([(r.doc_id, r.text) for r in given.collect()])
-    assert simhash.one_per_group(helpers.empty(spark)).count() == 0
+    assert Counter((r.doc_id, r.text) for r in neardup.one_per_group(given).collect()) == brute_kept([(r.doc_id, r.text) for r in given.collect()])
+    assert neardup.one_per_group(helpers.empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize(("segments", "together"), [(3, 1), (5, 2), (6, 3)])
@@ -254,8 +255,13 @@ def test_archives_of_nothing(spark):
     assert files.count() == 0 and archives.read(files, folder).count() == 0
 
 
+def shingles(text, n=5):
+    w = simhash.words_of(text)
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def likeness(a, b):
-    a, b = (set(simhash.shingles(simhash.words_of(t))) for t in (a, b))
+    a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b)
 
 
@@ -268,7 +274,7 @@ def brute_kept(rows):
             a = root[a]
         return a
 
-    sets = [set(simhash.shingles(simhash.words_of(t))) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
@@ -280,9 +286,9 @@ def brute_kept(rows):
     return Counter(min(own, key=lambda r: (r[0] is None, r[0] or 0)) for own in groups.values())
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_one_per_group_keeps_the_rows_of_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL", small)
+@pytest.mark.parametrize("leaf", [256, 4])
+def test_one_per_group_keeps_the_rows_of_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(joins, "LEAF", leaf)
     rng = np.random.default_rng(8)
     rows, base = [], [f"w{x}" for x in rng.integers(0, 3000, 150)]
     for k in range(60):  # variants of one text, some closer to it than to each other; null and repeated ids, repeated rows
@@ -295,7 +301,7 @@ def test_one_per_group_keeps_the_rows_of_brute_force(spark, monkeypatch, small):
     for parts in (1, 5):
         order = rng.permutation(len(rows))
         docs = helpers.documents(spark, [rows[i][1] for i in order], [rows[i][0] for i in order]).withColumn("_key", F.lit(1)).withColumn("bucket_", F.lit("x")).repartition(parts)
-        kept = simhash.one_per_group(docs)
+        kept = neardup.one_per_group(docs)
         got = kept.collect()
         assert kept.columns == docs.columns and len(got) == sum(expected.values())
         # Of rows with the same words and id any one may stay.
@@ -316,14 +322,46 @@ def test_one_per_group_links_five_word_likeness(spark):
             to.append(" ".join(w))
     assert all(likeness(a, b) >= 0.8 for a, b in zip(base, near)) and all(likeness(a, b) < 0.7 for a, b in zip(base, far))
     assert max((brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in zip(base, near)) > 5
-    kept = {r.doc_id for r in simhash.one_per_group(helpers.documents(spark, base + near + far)).collect()}
+    kept = {r.doc_id for r in neardup.one_per_group(helpers.documents(spark, base + near + far)).collect()}
     assert kept == set(range(20)) | set(range(40, 60))
 
 
+def template_family(rng, n=400, pairs=60):
+    """Texts that share 300 of 400 words with all others, and near copies of some at 0.8 to 0.85."""
+    core = [f"c{x}" for x in rng.integers(0, 900, 300)]
+    texts = [core[:150] + [f"o{k}x{i}" for i in range(50)] + core[150:] + [f"e{k}x{i}" for i in range(50)] for k in range(n)]
+    for k in range(pairs):
+        w = list(texts[k])
+        for at in range(7):
+            w[20 + 55 * at] = f"new{k}x{at}"
+        texts.append(w)
+    return [" ".join(t) for t in texts]
+
+
+def test_templates_lose_no_link_and_order_does_not_matter(spark):
+    rng = np.random.default_rng(12)
+    texts = template_family(rng)
+    planted = [likeness(texts[k], texts[400 + k]) for k in range(60)]
+    assert min(planted) >= 0.8 and max(planted) < 0.86 and 0.4 < likeness(texts[0], texts[1]) < 0.8
+    kept = []
+    for order in (np.arange(len(texts)), rng.permutation(len(texts))):
+        docs = helpers.documents(spark, [texts[i] for i in order], [int(i) for i in order]).repartition(6)
+        kept.append({r.doc_id for r in neardup.one_per_group(docs).collect()})
+    assert kept == [set(range(400))] * 2
+
+
+def test_of_rows_with_one_id_the_same_stays_in_any_order(spark):
+    w = helpers.prose(60, 1).split()
+    a, b = " ".join(w), " ".join([*w[:-1], "other"])
+    assert likeness(a, b) >= 0.8
+    kept = [[r.text for r in neardup.one_per_group(helpers.documents(spark, t, [5, 5])).collect()] for t in ([a, b], [b, a])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_one_row_of_each_group_whatever_its_id(spark):
     a, b, c, d, e = (helpers.prose(60, k) for k in range(50, 55))
     rows = [(None, a), (None, b), (None, c), (3, c), (8, d), (8, e), (8, d)]
-    kept = simhash.one_per_group(helpers.documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    kept = neardup.one_per_group(helpers.documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == {(None, a): 1, (None, b): 1, (3, c): 1, (8, d): 1, (8, e): 1}
 
 

@@ -58,8 +58,8 @@ def least_shared(n: Column, like: tuple[int, int]) -> Column:
     return F.ceil(n * like[0] / like[1]).cast("long")
 
 
-def read(docs: DataFrame, shingle: int, part: int = PART) -> DataFrame:
-    """(row, doc_id, n, same, text_key, some): a number for each row, the set's size and digest, a digest of the text, and the hashes that are looked at."""
+def read(docs: DataFrame, shingle: int, part: int = PART, key: str | None = None) -> DataFrame:
+    """(row, doc_id, n, same, text_key, some): a number for each row (or its key), the set's size and digest, a digest of the text, and the hashes that are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,12 +74,13 @@ def read(docs: DataFrame, shingle: int, part: int = PART) -> DataFrame:
                 some.append((own if len(own) < FULL else own[: np.searchsorted(own, most, "right")]).view(np.int64))
             offsets = np.r_[0, np.cumsum([len(x) for x in some])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(some) if some else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists], ["doc_id", "text_key", "n", "same", "some"])
+            made = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists, *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "text_key", "n", "same", "some", *["row"] * (len(made) - 5)])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, text_key binary, n long, same binary, some array<long>")
-    return materialise(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text"), *([F.col(key).alias("row")] if key else []))
+    made = rows.mapInArrow(run, "doc_id long, text_key binary, n long, same binary, some array<long>" + ", row long" * bool(key))
+    return materialise(made if key else made.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
 
 
 def not_lonely(rows: DataFrame, like: tuple[int, int], part: int = PART) -> DataFrame:
@@ -226,23 +227,28 @@ def compared(leaves: DataFrame, sets: DataFrame, like: tuple[int, int]) -> DataF
 
 
 def measured(members: DataFrame, sets: DataFrame, like: tuple[int, int], level: int) -> DataFrame:
-    """(region, size, node, comp, links, homes) of large regions: a document's local component (-1: none), the pivots it is linked to, and
-    the Voronoi regions it belongs to, windows included. members: (region, size, node)."""
+    """(region, size, node, comp, links, homes) of large regions: a component the document is known to belong to (-1: none), the pivots it is linked
+    to, and the Voronoi regions it belongs to, windows included. members: (region, size, node, comp)."""
     reach = 2 * (like[1] - like[0]) / like[1] + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _dealt(batches):
-            pivots = [(node, np.frombuffer(s, np.uint64)) for kind, _, node, s in rows if kind == 0]
-            sizes = np.array([len(s) for _, s in pivots])
-            both = common([s for _, s in pivots]) if len(pivots) > 1 else np.diag(sizes)
+        for (region, _), rows in _runs(batches, 2):
+            pivots = [(node, comp, np.frombuffer(s, np.uint64)) for kind, _, node, comp, s in rows if kind == 0]
+            sizes = np.array([len(s) for _, _, s in pivots])
+            both = common([s for _, _, s in pivots]) if len(pivots) > 1 else np.diag(sizes)
             groups = _Union(len(pivots))
             for i, j in np.argwhere(np.triu(both * like[1] >= like[0] * (sizes[:, None] + sizes - both), 1)):
                 groups.join(int(i), int(j))
-            values = np.concatenate([s for _, s in pivots])
+            # A group of pivots is named after a component that one of them belongs to, or else after a pivot.
+            names: dict[int, int] = {}
+            for i, (node, comp, _) in enumerate(pivots):
+                if comp >= 0 or groups.root(i) not in names:
+                    names[groups.root(i)] = comp if comp >= 0 else node
+            values = np.concatenate([s for _, _, s in pivots])
             order = np.argsort(values, kind="stable")
             values, owner = values[order], np.repeat(np.arange(len(pivots)), sizes)[order]
             out = []
-            for kind, size, node, s in rows:
+            for kind, size, node, comp, s in rows:
                 if kind == 0:
                     continue
                 own = np.frombuffer(s, np.uint64)
@@ -250,50 +256,43 @@ def measured(members: DataFrame, sets: DataFrame, like: tuple[int, int], level:
                 both = np.bincount(owner[own[np.minimum(at, len(own) - 1)] == values], minlength=len(pivots))
                 union = len(own) + sizes - both
                 linked, far = np.flatnonzero(both * like[1] >= like[0] * union), 1 - both / union
-                out.append((size, node, min((groups.root(int(j)) for j in linked), default=-1), [pivots[j][0] for j in linked if pivots[j][0] != node], np.flatnonzero(far <= far.min() + reach).tolist()))
+                known = comp if comp >= 0 or not len(linked) else names[groups.root(int(linked[0]))]
+                out.append((region, size, node, known, [pivots[j][0] for j in linked if pivots[j][0] != node], np.flatnonzero(far <= far.min() + reach).tolist()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(rows.region, *o) for o in out]), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["region", "size", "node", "comp", "links", "homes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["region", "size", "node", "comp", "links", "homes"])
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))).filter(F.col("place") <= PIVOTS)
     deals = (F.expr(f"size div {DEALT}") + 1).cast("int")
-    pivots = ranked.select("region", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.lit(0).alias("kind"), "size", "node")
-    dealt = members.select("region", F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), F.lit(1).alias("kind"), "size", "node").unionByName(pivots)
-    rows = dealt.join(sets.select("node", "s"), "node").select("region", "deal", "kind", "size", "node", "s").repartition(parts, "region", "deal").sortWithinPartitions("region", "deal", "kind", "node")
-    return materialise(rows.mapInArrow(run, "region long, size long, node long, comp int, links array<long>, homes array<int>"), "jaccard-measured")
-
-
-class _Rows(list):
-    region = 0
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
-    for (region, _), rows in _runs(batches, 2):
-        out = _Rows(rows)
-        out.region = region
-        yield out
+    pivots = ranked.select("region", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.lit(0).alias("kind"), "size", "node", "comp")
+    dealt = members.select("region", F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), F.lit(1).alias("kind"), "size", "node", "comp").unionByName(pivots)
+    rows = dealt.join(sets.select("node", "s"), "node").select("region", "deal", "kind", "size", "node", "comp", "s").repartition(parts, "region", "deal").sortWithinPartitions("region", "deal", "kind", "node")
+    return materialise(rows.mapInArrow(run, "region long, size long, node long, comp long, links array<long>, homes array<int>"), "jaccard-measured")
 
 
 def _sized(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members with their region's rows (size) and shingles (held)."""
-    sizes = members.join(sets.select("node", "n"), "node").groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
-    return members.hint("merge").join(sizes, "region")
+    """members with their region's rows (size) and shingles (held), without regions that are known to hang together."""
+    sizes = members.join(sets.select("node", "n"), "node").groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return members.hint("merge").join(sizes.filter("lo < 0 or lo < hi").select("region", "size", "held"), "region")
 
 
 def _small() -> str:
     return f"size <= 2 or size <= {LEAF} and held <= {LEAF_SHINGLES}"
 
 
-def set_links(sets: DataFrame, like: tuple[int, int]) -> DataFrame:
-    """(u, v): links between nodes whose components are those of all links."""
+def set_links(sets: DataFrame, like: tuple[int, int], known: DataFrame | None = None) -> DataFrame:
+    """(u, v): links between nodes whose components are those of all links. known: (node, comp), components that links found before make;
+    those links are not found again."""
     found, leaves, level = [], [], 0
-    members = materialise(_sized(root_regions(sets, like).withColumn("comp", F.lit(-1)), sets), "jaccard-members")
+    members = root_regions(sets, like)
+    members = members.withColumn("comp", F.lit(-1).cast("long")) if known is None else members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", F.lit(-1)))
+    members = materialise(_sized(members.select("region", "node", "comp"), sets), "jaccard-members")
     while True:
         leaves.append(members.filter(_small()).select("region", "node", "comp"))
         large = members.filter(f"not ({_small()})")
         if large.isEmpty():
             break
-        seen = measured(large.select("region", "size", "node"), sets, like, level)
+        seen = measured(large.select("region", "size", "node", "comp"), sets, like, level)
         found.append(seen.select(F.col("node").alias("u"), F.explode("links").alias("v")))
         # Children that are one local component are done.
         homes = seen.select("region", "size", "node", "comp", F.explode("homes").alias("home"))

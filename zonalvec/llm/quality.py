@@ -124,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) ->
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     training = known.filter(row_id_fold("doc_id", FOLDS) != HELD_OUT)
     rate = min(1.0, sample_texts / max(1, training.count()))
-    chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(rate * 1_000_000))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    # A part of all 64-bit hashes, so that the sample's size holds for any number of labels.
+    most = min((1 << 63) - 1, int(rate * (1 << 64)) - (1 << 63))
+    chosen = training.filter(F.xxhash64("doc_id") <= F.lit(most)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
