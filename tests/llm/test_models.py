@@ -1,6 +1,7 @@
 """Quality classifier, language identification, chat repair and the pipeline."""
 
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -48,7 +49,7 @@ def test_quality_cases(spark):
 
 def test_neighbours_are_those_of_brute_force():
     texts = [helpers.prose(20 + i, i) for i in range(50)]
-    space = quality.Space(list(range(50)), *quality.counted(texts), [i % 2 for i in range(50)], 16)
+    space = quality.Space(list(range(50)), quality.counted(texts), [i % 2 for i in range(50)], 16)
     cosine = np.round((space.vectors @ space.vectors.T).astype(float), 6)
     for i, score in enumerate(space.scores(texts)):
         near = sorted(range(50), key=lambda j: (-cosine[i, j], j))[: quality.NEIGHBOURS]
@@ -56,30 +57,53 @@ def test_neighbours_are_those_of_brute_force():
         assert score == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-4)
 
 
+def brute_terms(texts):
+    """Counts of pairs of neighbouring words' patterns, a column a pair in the order in which they come."""
+    columns, rows = {}, []
+    for text in texts:
+        own, before, word = {}, "", None
+        for w in re.findall(r"[^ \t-\r]+", text):
+            kinds = ["a" if "a" <= c <= "z" or ord(c) > 127 else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c for c in w]
+            pattern = "=" if w == word else "".join(k for k, _ in itertools.groupby(kinds))[: quality.RUNS]
+            at = columns.setdefault((before, pattern), len(columns))
+            own[at] = own.get(at, 0) + 1
+            before, word = pattern, w
+        rows.append(own)
+    out = np.zeros((len(texts), len(columns)))
+    for i, own in enumerate(rows):
+        out[i, list(own)] = list(own.values())
+    return out
+
+
+def test_terms_are_pairs_of_word_patterns(monkeypatch):
+    texts = [helpers.prose(200, 1), "Aa aA AA!! AA!! AA!! b--c 12:30 12:30 x\x1cy", "É" * 50, "a " * 30, "##$$%% Kappa, iota.\nBLEEN,!! OF.", " ", "one", "x" * 500 + " 1a2b3c4d 1a2b3c9Z"]
+    brute = brute_terms(texts)
+    for piece in (1 << 20, 16):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        counts = quality.counted(texts)
+        assert (counts.sum(1) == brute.sum(1)).all()
+        for i in range(len(texts)):
+            assert sorted(counts[i][counts[i] > 0]) == sorted(brute[i][brute[i] > 0])
+
+
 def test_space_is_that_of_a_full_decomposition():
     texts = [helpers.prose(20 + i, i) for i in range(40)] + ["ABC 123 ;;\n" * (i + 1) for i in range(10)]
-    space = quality.Space(list(range(50)), *quality.counted(texts), [i % 2 for i in range(50)], 12)
-    counts = np.zeros((50, 64, 64))
-    shape = []
-    for i, t in enumerate(texts):
-        raw = t.encode()
-        for a, b in zip(raw, raw[1:]):
-            counts[i, quality._CLASS[a], quality._CLASS[b]] += 1
-        capitals, digits, lines = (sum(f(chr(b)) for b in raw) for f in (lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c == "\n"))
-        letters, own = sum("a" <= chr(b) <= "z" or b > 127 or b == 32 for b in raw), t.split()
-        shape.append([sum(a == b for a, b in zip(own, own[1:])) / len(own), capitals / len(raw), digits / len(raw), (len(raw) - capitals - digits - lines - letters) / len(raw), lines / len(raw)])
-    tf = counts.reshape(50, -1)
+    space = quality.Space(list(range(50)), quality.counted(texts), [i % 2 for i in range(50)], 12)
+    tf = brute_terms(texts)
     idf = np.log(51 / ((tf > 0).sum(0) + 1)) + 1
     weighted = np.log1p(tf) * idf
-    matrix = np.hstack([weighted / np.linalg.norm(weighted, axis=1, keepdims=True), quality.SHAPE_WEIGHT * np.sqrt(shape)])
+    matrix = weighted / np.linalg.norm(weighted, axis=1, keepdims=True)
     u, s, vt = np.linalg.svd(matrix, full_matrices=False)
     latent = u[:, :12] * s[:12]
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
     np.testing.assert_allclose(space.vectors @ space.vectors.T, latent @ latent.T, atol=1e-3)
     # A text that was not in the sample is projected on the same right singular vectors.
-    other = (space._weighted(*quality.counted(["the of and 42 zeta"])) @ space.basis)[0]
-    one = space._weighted(*quality.counted(["the of and 42 zeta"]))[0]
-    np.testing.assert_allclose(np.abs(other), np.abs(vt[:12] @ one), atol=1e-3)
+    other = (space._weighted(quality.counted(["the of and 42 zeta"])) @ space.basis)[0]
+    one = space._weighted(quality.counted(["the of and 42 zeta"]))[0]
+    known = brute_terms([*texts, "the of and 42 zeta"])[-1, : tf.shape[1]]
+    assert np.count_nonzero(one) >= np.count_nonzero(known)
+    right = np.log1p(known) * idf
+    np.testing.assert_allclose(np.abs(other) * np.linalg.norm(one), np.abs(vt[:12] @ right) / max(np.linalg.norm(np.log1p(quality.counted(["the of and 42 zeta"]))[0] * space.idf), 1e-9), atol=1e-3)
 
 
 def test_a_repeated_id_is_learned_once(spark):
