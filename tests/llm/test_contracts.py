@@ -23,6 +23,7 @@ COLUMNS = {
     "op7_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -58,6 +59,13 @@ def test_fingerprints(spark, given):
         assert fingerprints.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_ranked_search(spark, given):
+    from .test_joins import brute_search
+
+    items = {r.item_id: r.text for r in table(spark, DATA, "benchmark").collect()}
+    assert sorted(tuple(r) for r in result(spark, "op12_ranked_search")) == brute_search(given, items)
+
+
 def test_shards(spark, given):
     rows = {r.doc_id: r for r in result(spark, "op2_sharding")}
     slots = {}
