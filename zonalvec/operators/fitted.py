@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import dropped, written
+from ..storage import children, new_folder, removed
 
 
 #: Of wide vectors: rows that a task multiplies at a time, and values of a sum that travel together.
@@ -275,17 +275,83 @@ def in_batches(pixels: DataFrame, batch: int, seed: int, *key: str) -> tuple[Dat
     return pixels.withColumn("_batch", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n))), n
 
 
-def fit_mini_batch(pixels: DataFrame, k: int, batch: int = 100_000, epochs: int = 1, seed: int = 42, key: tuple[str, ...] = ("patch_id", "y", "x"), vector: str = "vec") -> BoVWModel:
-    """A codebook from bounded batches of shuffled pixels: it begins with the first k of the shuffle, and each batch moves the
-    centres by its clusters' means, weighted by counts. K x d values come to the driver for each batch."""
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
+
+
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 10) -> np.ndarray:
+    """k centres of few weighted points: each next one drawn by weight and squared distance to those before it, then some steps to the means."""
+    draw = np.random.default_rng(seed)
+    centres = points[[draw.choice(len(points), p=weights / weights.sum())]]
+    while len(centres) < min(k, len(points)):
+        share = weights * _distances(points, centres).min(1)
+        if share.sum() <= 0:
+            break  # fewer different points than centres
+        centres = np.vstack([centres, points[draw.choice(len(points), p=share / share.sum())]])
+    for _ in range(steps):
+        near = _distances(points, centres).argmin(1)
+        for c in np.unique(near):
+            centres[c] = np.average(points[near == c], axis=0, weights=weights[near == c])
+    return centres
+
+
+def seeded_centres(pixels: DataFrame, k: int, seed: int = 42, key: tuple[str, ...] = ("patch_id", "y", "x"), vector: str = "vec", rounds: int = 4) -> np.ndarray:
+    """First centres by parallel seeding (k-means||): in each of some rounds a pixel becomes a candidate with a probability in proportion
+    to its squared distance to the candidates before, 2 k of them expected; candidates are weighted by the pixels that are nearest to them
+    and k are chosen from these by k-means++.
+
+    Chances come from hashes of the key, so they don't depend on partitions. What comes to the driver are candidates, some 2 k a round whatever
+    the number of pixels, and one sum. Null vectors are left out; no pixels: an error; fewer different pixels than k: as many centres.
+    """
+    rows = pixels.filter(F.col(vector).isNotNull()).select(*key, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    first = rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(1).collect()
+    if not first:
+        raise ValueError("no pixels")
+    found = np.array([first[0][vector]])
+    for n in range(rounds):
+        book = BoVWModel(found).codebook(pixels.sparkSession).agg(F.collect_list("centre").alias("_book"))
+        far = rows.crossJoin(F.broadcast(book)).withColumn("_d", F.array_min(F.transform("_book", lambda c: squared_distance(F.col(vector), c)))).drop("_book")
+        total = far.agg(F.sum("_d")).first()[0]
+        if not total:
+            break
+        chance = F.pmod(F.xxhash64(F.lit(seed + 1 + n), *key), F.lit(1 << 52)) / float(1 << 52)
+        more = far.filter(chance < F.col("_d") * (2.0 * k / total)).select(vector).distinct().collect()
+        found = np.vstack([found, *[[r[vector]] for r in more]]) if more else found
+    near = assign(rows, BoVWModel(found).codebook(pixels.sparkSession), vector).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
+    near = sorted((r["cluster"], r["n"]) for r in near)
+    return _plus_plus(found[[c for c, _ in near]], np.array([n for _, n in near], float), k, seed)
+
+
+def fit_mini_batch(pixels: DataFrame, k: int, batch: int = 100_000, epochs: int = 1, seed: int = 42, key: tuple[str, ...] = ("patch_id", "y", "x"), vector: str = "vec", starved: float = 0.01) -> BoVWModel:
+    """A codebook from bounded batches of shuffled pixels. Centres are seeded from the first batch (``seeded_centres``), and each batch moves
+    them by its clusters' means, weighted by counts. After a batch centres with less than ``starved`` of the pixels that the fullest one has begin
+    again at pixels of that batch that lie farthest from theirs, with the least count of the others.
+
+    Batches are folders of the written table, so each is read alone. K x d values come to the driver for each batch.
+    """
+    spark = pixels.sparkSession
     shuffled, n = in_batches(pixels, batch, seed, *key)
-    shuffled = written(shuffled.repartition("_batch").sortWithinPartitions("_batch"), "batches")
-    first = shuffled.orderBy(F.xxhash64(F.lit(seed + 1), *key), *key).limit(k).select(F.transform(vector, lambda x: x.cast("double")).alias("c")).collect()
-    centres, counts = np.array([r["c"] for r in first]), np.zeros(len(first))
-    for number in range(epochs * n):
-        book = BoVWModel(centres).codebook(pixels.sparkSession)
-        centres, counts = mini_batch_update(centres, counts, lloyd_step(assign(shuffled.filter(F.col("_batch") == number % n), book, vector), vector))
-    dropped(shuffled)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = new_folder(spark, "batches")
+    shuffled.repartition(parts, "_batch", F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(parts))).write.partitionBy("_batch").parquet(folder)
+    have = {int(name.partition("=")[2]) for name in children(spark, folder) if name.startswith("_batch=")}
+    batches = [spark.read.schema(pixels.schema).parquet(f"{folder}/_batch={number}") for number in range(n) if number in have]
+    if not batches:
+        raise ValueError("no pixels")
+    centres = seeded_centres(batches[0], k, seed, key, vector)
+    counts = np.zeros(len(centres))
+    for number in range(epochs * len(batches)):
+        near = assign(batches[number % len(batches)], BoVWModel(centres).codebook(spark), vector)
+        centres, counts = mini_batch_update(centres, counts, lloyd_step(near, vector))
+        poor = np.flatnonzero(counts < starved * counts.max())
+        if len(poor) and number + 1 < epochs * len(batches):
+            book = BoVWModel(centres).codebook(spark)
+            apart = assign(batches[number % len(batches)], book, vector).join(F.broadcast(book), "cluster").select(*key, vector, squared_distance(F.col(vector), F.col("centre")).alias("_d"))
+            taken = apart.orderBy(F.col("_d").desc(), *key).limit(len(poor)).collect()
+            for c, r in zip(poor, taken):
+                centres[c] = np.array(r[vector], float)
+                counts[c] = np.delete(counts, poor).min()
+    removed(spark, folder)
     return BoVWModel(centres)
 
 

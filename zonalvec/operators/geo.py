@@ -52,24 +52,48 @@ def gather(points: DataFrame, tile: DataFrame) -> DataFrame:
     return points.join(tile.select("row", "col", "v"), ["row", "col"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def first_scene(boxes: DataFrame, scenes: DataFrame, year: int, cell: float) -> DataFrame:
-    """(patch_id, scene_id): each box's first scene (by time, then id) of a year whose box overlaps it.
+def overlapping(boxes: DataFrame, scenes: DataFrame, cell: float) -> DataFrame:
+    """All columns of both, as structs ``p`` and ``s``, of every pair whose boxes overlap (touching edges do not), once each.
 
-    Both sides are keyed by the tiles they touch, so that the overlap is tested within tiles; a pair that shares
-    several tiles is tested in each and counts once.
+    A box is keyed at the level of its own size: cells of level l are cell * 2**l wide, and no box is wider than its level's cells, so
+    it touches four of them at most, be it a field or a continent. Pairs meet at the coarser box's level: the finer one
+    is also keyed at those coarser levels that occur on the other side (a list of some tens of numbers). Of the cells that both touch
+    only the one with the lower corner of the common area gives the pair. A box with a null or non-finite corner overlaps nothing.
     """
-    def touched(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    corners = ("xmin", "ymin", "xmax", "ymax")
+
+    def levelled(df: DataFrame, name: str) -> DataFrame:
+        size = F.greatest(F.abs(F.col("xmax") - F.col("xmin")), F.abs(F.col("ymax") - F.col("ymin")))
+        finite = df.filter(" and ".join(f"abs({c}) < double('infinity')" for c in corners))
+        level = F.when(size > cell, F.ceil(F.log2(size / cell))).otherwise(F.lit(0)).cast("int")
+        return finite.select(F.struct("*").alias(name), *corners, level.alias("_level"))
+
+    def keyed(df: DataFrame, name: str, level: Column) -> DataFrame:
+        at = df.select(name, *corners, level.alias("_at")).withColumn("_side", cell * F.pow(F.lit(2.0), F.col("_at")))
+        touched = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_side")), F.floor(F.col(hi) / F.col("_side"))))
+        kept = [F.col(c).alias(f"_{name}_{c}") for c in corners]
+        return at.select("*", touched("xmin", "xmax").alias("_tx")).select(name, *kept, "_at", "_side", "_tx", touched("ymin", "ymax").alias("_ty"))
+
+    def coarser(df: DataFrame, name: str, other: DataFrame, equal: bool) -> DataFrame:
+        levels = other.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
+        chosen = F.filter("_levels", lambda at: (at >= F.col("_level")) if equal else (at > F.col("_level")))
+        return keyed(df.crossJoin(F.broadcast(levels)), name, F.explode(chosen))
+
+    p, s = levelled(boxes, "p"), levelled(scenes, "s")
+    key = ["_at", "_side", "_tx", "_ty"]
+    pairs = coarser(p, "p", s, True).join(keyed(s, "s", F.col("_level")), key).unionByName(keyed(p, "p", F.col("_level")).join(coarser(s, "s", p, False), key))
+    own = {(side, c): F.col(f"_{side}_{c}") for side in "ps" for c in corners}
+    overlap = (own["p", "xmin"] < own["s", "xmax"]) & (own["s", "xmin"] < own["p", "xmax"]) & (own["p", "ymin"] < own["s", "ymax"]) & (own["s", "ymin"] < own["p", "ymax"])
+    corner = [F.floor(F.greatest(own["p", c], own["s", c]) / F.col("_side")) == F.col(t) for c, t in (("xmin", "_tx"), ("ymin", "_ty"))]
+    return pairs.filter(overlap & corner[0] & corner[1]).select("p", "s")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("*", touched("xmin", "xmax").alias("tx")).select("*", touched("ymin", "ymax").alias("ty"))
 
+def first_scene(boxes: DataFrame, scenes: DataFrame, year: int, cell: float) -> DataFrame:
+    """(patch_id, scene_id): each box's first scene (by time, then id) of a year whose box overlaps it. ``cell``: see ``overlapping``."""
     inside = scenes.filter((F.col("ts") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("ts") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
-    p, s = keyed(boxes).alias("p"), keyed(inside).alias("s")
-    overlap = (F.col("p.xmin") < F.col("s.xmax")) & (F.col("s.xmin") < F.col("p.xmax")) & (F.col("p.ymin") < F.col("s.ymax")) & (F.col("s.ymin") < F.col("p.ymax"))
-    pairs = p.join(s, (F.col("p.tx") == F.col("s.tx")) & (F.col("p.ty") == F.col("s.ty")) & overlap)
     first = F.min(F.struct(F.col("s.ts"), F.col("s.scene_id").alias("scene_id"))).alias("m")
-    return pairs.groupBy("p.patch_id").agg(first).select("patch_id", F.col("m.scene_id").alias("scene_id"))
+    pairs = overlapping(boxes.select("patch_id", "xmin", "ymin", "xmax", "ymax"), inside.select("scene_id", "ts", "xmin", "ymin", "xmax", "ymax"), cell)
+    return pairs.groupBy(F.col("p.patch_id").alias("patch_id")).agg(first).select("patch_id", F.col("m.scene_id").alias("scene_id"))
 
 
 def resample_nearest(rows: DataFrame, size: int, half_pixel: bool = True) -> DataFrame:

@@ -34,8 +34,8 @@ def numbered_within(rows: DataFrame, group: str, *order: str, name: str = "at",
     """rows with their number from 0 within their group, and the group's size.
 
     Rows are numbered over (group, order) and a group's first number is taken off, so a large group is sorted in
-    many tasks. Groups are classes: one row a group is sent to all tasks.
+    many tasks. Whether the firsts, one row a group, are sent to all tasks is left to Spark's size check.
     """
     found, _ = numbered(rows, group, *order, name=name)
     groups = found.groupBy(F.col(group).alias("_group")).agg(F.min(name).alias("_first"), F.count(F.lit(1)).alias(size))
-    return found.join(F.broadcast(groups), F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first")).drop("_first", "_group")
+    return found.join(groups, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first")).drop("_first", "_group")

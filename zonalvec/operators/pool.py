@@ -20,6 +20,8 @@ from ..model import assemble
 V = "v"
 #: Values of moments that a task holds before it sends them on, and parts of a patch that are merged first.
 HELD_VALUES, SALTS = 4_000_000, 32
+#: States of a caller's pooler that are stacked for one merge.
+MERGED_AT_ONCE = 256
 #: Pixels of a patch in a batch from which on they have a matrix product of their own; products held at a time.
 DENSE, PRODUCTS = 64, 4_000_000
 PERCENTILES = (10, 25, 50, 75, 90)
@@ -167,6 +169,15 @@ def covariance(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
     at once as segments; only patches of many pixels in a batch have a matrix product of their own.
     """
 
+    return covariance_cells(merged_moments(pixel_moments(pixels)), denom_floor)
+
+
+MOMENTS = "patch_id long, n long, mean array<double>, xx array<double>"
+
+
+def pixel_moments(pixels: DataFrame) -> DataFrame:
+    """(patch_id, n, mean, products of the deviations) of each task's own pixels of a patch, before any exchange."""
+
     def moments(batches):
         held: list[tuple] = []
         for batch in batches:
@@ -179,6 +190,12 @@ def covariance(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
         if held:
             yield _frame(_merged(held))
 
+    return pixels.select(F.col("patch_id").cast("long").alias("patch_id"), "vec").mapInPandas(moments, MOMENTS)
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """One row a patch from any number of parts: merged moments can be kept, and merged with later ones."""
+
     def merge(batches):
         held: list[tuple] = []
         for batch in batches:
@@ -190,14 +207,21 @@ def covariance(pixels: DataFrame, denom_floor: bool = False) -> DataFrame:
         if held:
             yield _frame(_merged(held))
 
-    kind = "patch_id long, n long, mean array<double>, xx array<double>"
-    parts = pixels.select(F.col("patch_id").cast("long").alias("patch_id"), "vec").mapInPandas(moments, kind)
-    # In two steps, so that no one task gets all parts of a large patch.
+    return in_two_steps(parts, lambda rows, _: rows.select("patch_id", "n", "mean", "xx").mapInPandas(merge, MOMENTS))
+
+
+def in_two_steps(parts: DataFrame, merge: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """parts (patch_id, ...) merged by (patch, salt) and then by patch, each time in the order of patches, so that no one task gets all
+    parts of a large patch. ``merge`` is told whether the step is the last."""
     for keys in (("patch_id", F.pmod(F.spark_partition_id(), F.lit(SALTS))), ("patch_id",)):
         salted = parts.select("*", *[k.alias("_salt") for k in keys[1:]])
         names = ["patch_id", "_salt"][: len(keys)]
-        parts = salted.repartition(*names).sortWithinPartitions(*reversed(names)).select("patch_id", "n", "mean", "xx").mapInPandas(merge, kind)
-    whole = parts
+        parts = merge(salted.repartition(*names).sortWithinPartitions(*reversed(names)), len(keys) == 1)
+    return parts
+
+
+def covariance_cells(whole: DataFrame, denom_floor: bool = False) -> DataFrame:
+    """(patch_id, ord, value) of merged moments: see ``covariance``."""
     alone = F.lit(0.0 if denom_floor else float("nan"))
     d = F.size("mean")
     cells = F.expr("flatten(transform(sequence(0, size(mean) - 1), i -> slice(xx, i * size(mean) + i + 1, size(mean) - i)))")
@@ -291,6 +315,82 @@ def custom(pixels: DataFrame, function: Callable, d_out: int) -> DataFrame:
     return pixels.groupBy("patch_id").applyInPandas(run, "patch_id long, features array<double>")
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """A caller's pooler whose states merge. update: pixels (n, bands) -> the state of these alone, a vector; merge: states (m, width) -> one
+    state; finish: state -> d_out values. The pixels of a patch come in any order and in any parts."""
+
+    update: Callable[[np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], np.ndarray]
+    d_out: int
+
+
+def custom_mergeable(pixels: DataFrame, pooler: Mergeable) -> DataFrame:
+    """A caller's mergeable pooler: (patch_id, features). Every task makes states of its own pixels, and states are merged in two steps,
+    so that a patch of any size is spread over tasks and none holds its pixels. A state that isn't a vector, or a result that
+    hasn't d_out values, is an error; a patch whose vectors are all null has no row."""
+    state = "patch_id long, state array<double>"
+
+    def one(values) -> np.ndarray:
+        out = np.asarray(values, float)
+        if out.ndim != 1:
+            raise ValueError(f"a state of shape {out.shape}, not a vector")
+        return out
+
+    def frame(states: dict[int, list[np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({"patch_id": list(states), "state": [one(s[0] if len(s) == 1 else pooler.merge(np.stack(s))) for s in states.values()]})
+
+    def updated(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            batch = batch[batch["vec"].notna()]
+            if len(batch):
+                order, found, first = _segments(batch["patch_id"].to_numpy())
+                x = np.stack(batch["vec"].to_numpy()).astype(float)[order]
+                for patch, own in zip(found, np.split(x, first[1:])):
+                    held.setdefault(int(patch), []).append(one(pooler.update(own)))
+                    size += held[int(patch)][-1].size
+            if size > HELD_VALUES:
+                yield frame(held)
+                held, size = {}, 0
+        if held:
+            yield frame(held)
+
+    def merged(batches):
+        patch, states = None, []
+        for batch in batches:
+            done: dict[int, list[np.ndarray]] = {}
+            for p, s in zip(batch["patch_id"].to_numpy(), batch["state"]):
+                if p != patch and states:
+                    done.setdefault(int(patch), []).extend(states)
+                    states = []
+                patch = p
+                states.append(np.asarray(s, float))
+                if len(states) == MERGED_AT_ONCE:
+                    states = [one(pooler.merge(np.stack(states)))]
+            if done:
+                yield frame(done)
+        if states:
+            yield frame({int(patch): states})
+
+    def finished(batches):
+        for batch in batches:
+            found = [np.asarray(pooler.finish(np.asarray(s, float)), float) for s in batch["state"]]
+            for out in found:
+                if out.shape != (pooler.d_out,):
+                    raise ValueError(f"the pool function gave shape {out.shape}, not ({pooler.d_out},)")
+            yield pd.DataFrame({"patch_id": batch["patch_id"], "features": found})
+
+    def step(rows: DataFrame, _: bool) -> DataFrame:
+        # Sorted by (salt, patch): equal patches of two salts may meet, which is as good.
+        return rows.select("patch_id", "state").mapInPandas(merged, state)
+
+    parts = pixels.select(F.col("patch_id").cast("long").alias("patch_id"), "vec").mapInPandas(updated, state)
+    return in_two_steps(parts, step).mapInPandas(finished, "patch_id long, features array<double>")
+
+
 def features(rows: DataFrame, method: str) -> DataFrame:
     """(patch_id, features) of a training-free method from long rows."""
     return assemble(pool_long(rows, POOLERS[method]), "patch_id")

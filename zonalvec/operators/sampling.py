@@ -5,13 +5,18 @@ Draws come from the first 32 bits of an md5 of the seed and the keys, so that an
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .order import numbered, numbered_within
 
 #: Rows of a sample up to which a class's candidates are ranked by a window; larger samples are numbered by ranges.
 FEW = 100_000
+#: A segment's rows (as a power of two) and repetitions whose draws a task holds at a time.
+SEGMENT_BITS, REPS_AT_ONCE = 16, 32
 
 
 def seeded_hash(seed: int, *parts: str | Column) -> Column:
@@ -83,6 +88,60 @@ def bootstrap(rows: DataFrame, reps: int, seed: int = 42, label: str = "label",
     return picked.join(placed.select(label, key, "_at"), [label, "_at"]).select("rep", key, label, "mult")
 
 
+def shared_draws(sizes: np.ndarray, draws: int, at: int, *seed: int) -> int:
+    """How many of a class's draws fall to one of its segments: seeded binomials on the way down a binary tree of segments.
+
+    Every node of the tree has a seed of its own, so that each segment finds its share alone, and all shares together are one multinomial draw.
+    """
+    before = np.r_[0, np.cumsum(sizes)]
+    low, high = 0, len(sizes)
+    while high - low > 1 and draws:
+        middle = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(draws, (before[middle] - before[low]) / (before[high] - before[low]))
+        low, high, draws = (low, middle, left) if at < middle else (middle, high, draws - left)
+    return int(draws)
+
+
+def bootstrap_in_place(rows: DataFrame, reps: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
+    """(rep, key, label, mult): every class redrawn to its own size with replacement, drawn where the rows are.
+
+    Rows are written once, each partition sorted by class, and cut into segments of 65,536. Only the segments' sizes by class come to
+    the driver and go to the tasks (one number a segment and class); a segment's share of each repetition's draws follows from the seed
+    (``shared_draws``), and its rows are drawn within it. Nothing is exchanged, and a task that is run again draws the same. The
+    draws depend on the seed and on how rows are dealt to partitions; ``bootstrap`` gives the same draws for any partitions. A row of a
+    null class is one of a class of its own; rows that are never drawn have no row in a repetition.
+    """
+    spark = rows.sparkSession
+    placed = rows.select(F.col(label).alias("label"), F.col(key).alias("key")).sortWithinPartitions("label", "key").withColumn("at", F.monotonically_increasing_id())
+    kept = written(placed.withColumn("segment", F.shiftright("at", SEGMENT_BITS)), "drawn-from")
+    found: dict = {}
+    for r in kept.groupBy("label", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect():
+        found.setdefault(r["label"], []).append((r["segment"], r["n"], r["first"]))
+    names = sorted(found, key=lambda c: (c is not None, c))
+    classes = {c: (i, *map(np.array, zip(*sorted(found[c])))) for i, c in enumerate(names)}
+    sent = spark.sparkContext.broadcast(classes)
+
+    def draw(batches):
+        for batch in batches:
+            own = batch["label"].astype(object).where(batch["label"].notna(), None)
+            for (name, segment), some in batch.assign(label=own).groupby(["label", "segment"], sort=False, dropna=False):
+                number, segments, sizes, firsts = sent.value[None if pd.isna(name) else name]
+                at = int(np.searchsorted(segments, segment))
+                places, n = (some["at"] - firsts[at]).to_numpy(), int(sizes[at])
+                for low in range(0, reps, REPS_AT_ONCE):
+                    some_reps = range(low, min(reps, low + REPS_AT_ONCE))
+                    mult = np.empty((len(some_reps), len(some)), np.int64)
+                    for i, rep in enumerate(some_reps):
+                        drawn = shared_draws(sizes, int(sizes.sum()), at, seed, rep, number)
+                        mult[i] = np.bincount(np.random.default_rng([seed, rep, number, at]).integers(0, n, drawn), minlength=n)[places]
+                    which, row = np.nonzero(mult)
+                    yield pd.DataFrame({"rep": which + low, "key": some["key"].to_numpy()[row], "label": some["label"].to_numpy()[row], "mult": mult[which, row]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+    out = kept.mapInPandas(draw, f"rep int, key {kinds['key']}, label {kinds['label']}, mult long")
+    return out.withColumnsRenamed({"key": key, "label": label})
+
+
 def in_seeded_order(rows: DataFrame, seed: int = 42, key: str = "row_id") -> DataFrame:
     """rows with ``ord``: their place in a seeded shuffle."""
     hashed = rows.withColumn("_hash", seeded_hash(seed, key))

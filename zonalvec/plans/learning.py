@@ -225,6 +225,7 @@ draws AS (SELECT label, n, rep, unnest(range(n)) AS draw FROM per, (SELECT unnes
 drawn AS (SELECT rep, row_id, label, count(*) AS mult FROM (SELECT rep, label, {HASH.format("'42|' || rep || '|' || label || '|' || draw")} % n AS slot FROM draws) JOIN numbered USING (label, slot) GROUP BY ALL)"""
 QUERIES["bootstrap_draws"] = lambda spark, d: sampling.bootstrap(_train(spark, d), 3).select("rep", "row_id", "label", "mult")
 ORACLES["bootstrap_draws"] = f"WITH {TRAIN}, {DRAWN.format(reps=3)} SELECT CAST(rep AS INT) AS rep, row_id, label, mult FROM drawn"
+QUERIES["bootstrap_in_place"] = lambda spark, d: sampling.bootstrap_in_place(_train(spark, d), 100)
 QUERIES["seeded_order"] = lambda spark, d: sampling.in_seeded_order(_train(spark, d)).select("row_id", F.col("ord").cast("long").alias("ord"))
 ORACLES["seeded_order"] = f"WITH {TRAIN} SELECT row_id, row_number() OVER (ORDER BY {HASH.format(chr(39) + '42|' + chr(39) + ' || row_id')}, row_id) AS ord FROM train"
 QUERIES["train_size_curve"] = lambda spark, d: sampling.size_curve(_train(spark, d), [N, -1]).select("n_train", "row_id", "label")

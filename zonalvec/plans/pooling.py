@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -50,11 +51,15 @@ def pool_cov(spark, d):
     return rounded(pool.covariance(fx.patch55(spark, d))).select("patch_id", "ord", "value")
 
 
+def zone_pixels(spark, d):
+    """Line items as pixels of four bands in their supplier's zone."""
+    bands = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    return fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patch_id"), bands.alias("vec"))
+
+
 def pool_cov_moments(spark, d):
     """The zones' covariance of four bands, whose pixels are in no order: an average zone has hundreds of pixels."""
-    bands = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    pixels = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patch_id"), bands.alias("vec"))
-    return rounded(pool.covariance(pixels), digits=4).select("patch_id", "ord", "value")
+    return rounded(pool.covariance(zone_pixels(spark, d)), digits=4).select("patch_id", "ord", "value")
 
 
 def pool_cov_pairs(spark, d):
@@ -146,6 +151,19 @@ def custom_pooler(spark, d):
 QUERIES["custom_pooler"] = custom_pooler
 ORACLES["custom_pooler"] = _blocks("max(v) - min(v)")
 
+
+def custom_mergeable(spark, d):
+    """A caller's own function with states that merge: range of each band, from the least and greatest of any parts."""
+    extremes = pool.Mergeable(
+        lambda x: np.r_[x.min(0), x.max(0)], lambda s: np.r_[s[:, : s.shape[1] // 2].min(0), s[:, s.shape[1] // 2 :].max(0)], lambda s: s[len(s) // 2 :] - s[: len(s) // 2], 4
+    )
+    out = pool.custom_mergeable(zone_pixels(spark, d), extremes)
+    return rounded(out.select("patch_id", F.posexplode("features").alias("ord", "value")))
+
+
+QUERIES["custom_mergeable"] = custom_mergeable
+ORACLES["custom_mergeable"] = f"WITH {fx.ZONES} SELECT patch_id, band AS ord, round(max(v) - min(v), 6) + 0.0 AS value FROM zones GROUP BY patch_id, band"
+
 # -- codecs -----------------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import fitted, report
+from ..operators import fitted, pool, report, sketches
+from ..storage import written
 from ..streaming import stream
 from .learning import BASIS, FLAT, NEAREST, principal_sql
-from .pooling import _DIMS, rounded
+from .pooling import _DIMS, COV_ZONES, rounded, zone_pixels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -244,3 +245,33 @@ def stream_pca(spark, d):
 
 QUERIES |= {"stream_bovw_fit": stream_bovw_fit, "stream_pca": stream_pca}
 ORACLES["stream_pca"] = f"WITH RECURSIVE {FLAT}, tr AS (SELECT f FROM flat), {principal_sql(64, 4)} {BASIS.format(more='')}"
+
+
+def stream_pool_cov(spark, d):
+    """The zones' covariance of four bands from pixels that arrive in batches: moments merged batch by batch."""
+    whole = stream.folded(stream.arriving(zone_pixels(spark, d), 3), pool.pixel_moments, pool.merged_moments)
+    return rounded(pool.covariance_cells(whole), digits=4)
+
+
+def stream_percentiles_approx(spark, d):
+    """The zones' percentiles of four bands from arriving batches: sketches merged batch by batch."""
+    rows = stream.arriving(fx.zones(spark, d), 3)
+    return sketches.percentiles(stream.folded(rows, sketches.sketched, sketches.merged))
+
+
+def pool_percentiles_rollup(spark, d):
+    """Percentiles of nations from the stored sketches of their zones."""
+    stored = written(sketches.sketched(fx.zones(spark, d), k=ROLLED_K), "sketches")
+    nations = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("patch_id"), F.col("s_nationkey").alias("nation"))
+    return sketches.percentiles(sketches.merged(stored.join(nations, "patch_id"), ("nation",), k=ROLLED_K), ("nation",))
+
+
+def _least_values(key: str, source: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, CAST({i} * 4 + band AS INT) AS ord, quantile_disc(v, {q}) AS value FROM {source} GROUP BY {key}, band" for i, q in enumerate((0.1, 0.25, 0.5, 0.75, 0.9)))
+
+
+ROLLED_K = 16_384
+QUERIES |= {"stream_pool_cov": stream_pool_cov, "stream_percentiles_approx": stream_percentiles_approx, "pool_percentiles_rollup": pool_percentiles_rollup}
+ORACLES["stream_pool_cov"] = COV_ZONES
+ORACLES["stream_percentiles_approx"] = f"WITH {fx.ZONES} {_least_values('patch_id', 'zones')}"
+ORACLES["pool_percentiles_rollup"] = f"WITH {fx.ZONES}, named AS (SELECT s_nationkey AS nation, band, v FROM zones JOIN supplier ON s_suppkey = patch_id) {_least_values('nation', 'named')}"

@@ -57,7 +57,7 @@ ORACLES["label_encode"] = f"WITH {PARSED}, {fx.CLASSES} SELECT ord, class_name,
 
 def label_decode(spark, d):
     rows = fx.table(spark, d, "embeddings").select("vec_id", "label")
-    return mf.decode_labels(rows, fx.classes(spark, d)).select("vec_id", "class_name")
+    return mf.decode_labels(rows, fx.classes(spark, d), strict=False).filter("class_name is not null").select("vec_id", "class_name")
 
 
 QUERIES["label_decode"] = label_decode

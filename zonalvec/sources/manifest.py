@@ -60,8 +60,13 @@ def encode_labels(rows: DataFrame, classes: DataFrame, strict: bool = True) -> D
     return known.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("unknown class: "), F.col("class_name")))).otherwise(F.col("label")))
 
 
-def decode_labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes.select("class_name", F.col("idx").alias("label")), "label")
+def decode_labels(rows: DataFrame, classes: DataFrame, strict: bool = True) -> DataFrame:
+    """rows with ``class_name``; a number that the dictionary lacks fails when its row is read. Not strict: its name is null."""
+    named = rows.join(classes.select("class_name", F.col("idx").alias("label")), "label", "left")
+    if not strict:
+        return named
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col("label").cast("string"), F.lit("null"))))
+    return named.withColumn("class_name", F.when(F.col("class_name").isNull(), unknown).otherwise(F.col("class_name")))
 
 
 def unknown_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -56,6 +56,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    store, where = _at(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, where = _at(spark, path)
+    store.delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of tables that ``written`` made; others are left alone."""
     for df in tables:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fitted import BoVWModel, PCAModel, assign, encode, lloyd_step, merge_moments, mini_batch_update, moments, pca_from_moments
-from ..storage import exists, new_folder
+from ..storage import children, exists, new_folder, removed
 
 
 def folder_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1) -> DataFrame:
@@ -97,6 +97,33 @@ def each_batch(stream: DataFrame, do: Callable[[DataFrame, int], None]) -> None:
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(do).start().awaitTermination()
 
 
+def folded(stream: DataFrame, part: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """A table that all available batches are merged into: ``part`` makes mergeable rows of a batch, ``merge`` makes one row a key of
+    such rows and those so far. For aggregates that the stream's own state can't keep, such as vectors of moments and sketches.
+
+    The table after each batch lies beside the stream's progress under the batch's number. A repeated batch begins from the table
+    before it, a later call with the same folder goes on where the first one ended, and older tables are removed, so what
+    is kept grows with the keys and not with the batches. Nothing has arrived: no rows.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, "folded")
+    at = lambda number: f"{folder}/tables/b={number}"
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = part(batch)
+        if number:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(at(number - 1)))
+        merge(rows).write.mode("overwrite").parquet(at(number))
+        if number > 1:
+            removed(spark, at(number - 2))
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    numbers = [int(name.partition("=")[2]) for name in children(spark, f"{folder}/tables")]
+    if not numbers:
+        return merge(part(spark.createDataFrame([], stream.schema)))
+    return spark.read.parquet(at(max(numbers)))
+
+
 BOOK = "batch int, cluster int, centre array<double>, seen double"
 
 
