@@ -74,14 +74,19 @@ def overlapping(boxes: DataFrame, scenes: DataFrame, cell: float) -> DataFrame:
         kept = [F.col(c).alias(f"_{name}_{c}") for c in corners]
         return at.select("*", touched("xmin", "xmax").alias("_tx")).select(name, *kept, "_at", "_side", "_tx", touched("ymin", "ymax").alias("_ty"))
 
-    def coarser(df: DataFrame, name: str, other: DataFrame, equal: bool) -> DataFrame:
-        levels = other.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
-        chosen = F.filter("_levels", lambda at: (at >= F.col("_level")) if equal else (at > F.col("_level")))
-        return keyed(df.crossJoin(F.broadcast(levels)), name, F.explode(chosen))
+    def levels(df: DataFrame) -> list[int]:
+        return sorted(r["_level"] for r in df.select("_level").distinct().collect())  # some tens: a level is a power of two
+
+    def met(df: DataFrame, name: str, at: list[int], equal: bool) -> DataFrame:
+        chosen = F.filter(F.array(*map(F.lit, at)), lambda x: (x >= F.col("_level")) if equal else (x > F.col("_level")))
+        return keyed(df, name, F.explode(chosen))
 
     p, s = levelled(boxes, "p"), levelled(scenes, "s")
+    of_p, of_s = levels(p), levels(s)
     key = ["_at", "_side", "_tx", "_ty"]
-    pairs = coarser(p, "p", s, True).join(keyed(s, "s", F.col("_level")), key).unionByName(keyed(p, "p", F.col("_level")).join(coarser(s, "s", p, False), key))
+    pairs = met(p, "p", of_s or [0], True).join(keyed(s, "s", F.col("_level")), key)
+    if of_p and of_s and of_p[-1] > of_s[0]:  # some box is coarser than some scene
+        pairs = pairs.unionByName(keyed(p, "p", F.col("_level")).join(met(s, "s", of_p, False), key))
     own = {(side, c): F.col(f"_{side}_{c}") for side in "ps" for c in corners}
     overlap = (own["p", "xmin"] < own["s", "xmax"]) & (own["s", "xmin"] < own["p", "xmax"]) & (own["p", "ymin"] < own["s", "ymax"]) & (own["s", "ymin"] < own["p", "ymax"])
     corner = [F.floor(F.greatest(own["p", c], own["s", c]) / F.col("_side")) == F.col(t) for c, t in (("xmin", "_tx"), ("ymin", "_ty"))]
