@@ -81,6 +81,42 @@ def test_neighbours_by_blocks_are_those_of_brute_force(spark, monkeypatch, tile)
         own = [j for j in range(60) if j % 2 == i % 2]
         assert [got[i, n + 1] for n in range(4)] == [own[j] for j in _brute(a[i : i + 1], b[own], 4)[0]]
 
+def test_tiles_that_cannot_hold_a_neighbour_are_not_compared(spark, monkeypatch):
+    for name, value in (("QUERY_TILE", 64), ("TRAIN_TILE", 64), ("CELL_ROWS", 64), ("LEAST_CELLS", 2), ("HELD", 2), ("PACK", 16), ("PACKS", 2), ("QUERY_TILES", 3), ("TRAIN_TILES", 4)):
+        monkeypatch.setattr(probe, name, value)
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(40, 16))
+    near = lambda n: middles[rng.integers(0, 40, n)] + 0.02 * rng.normal(size=(n, 16))
+    a, b = near(300), near(3000)
+    b[1000:2000] = b[0]  # a third of the rows are copies of one vector
+    a[:40], a[40], b[2500] = b[0], 0.0, 0.0  # queries among the copies, and vectors without a direction
+    frame = lambda x, first: spark.createDataFrame([(first + i, i % 3, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>")
+    test, train = frame(a, 10_000), frame(b, 0)
+    for k in (1, 7):
+        out = probe.searched(test, train, k, counted=True)
+        got = {(r.q - 10_000, r["rank"]): r.train_id for r in out.found.collect()}
+        assert [[got[i, n + 1] for n in range(k)] for i in range(300)] == _brute(a, b, k)
+    # The query without a direction is as far from all, and so its tile is compared with all; most others are not.
+    assert out.compared < 0.3 * out.pairs
+    copies = probe.searched(test.filter("row_id < 10040"), train, 7, counted=True)
+    assert {r.train_id for r in copies.found.collect()} == {0, *range(1000, 1006)}
+    # A third of all tiles hold copies only, at distance 0: those with the least ids are enough.
+    assert copies.compared < 0.05 * copies.pairs
+
+
+def test_neighbours_of_random_vectors_by_key_and_in_small_tables(spark, monkeypatch):
+    for name, value in (("QUERY_TILE", 8), ("TRAIN_TILE", 8), ("CELL_ROWS", 6), ("LEAST_CELLS", 2), ("PACK", 2), ("PACKS", 1)):
+        monkeypatch.setattr(probe, name, value)
+    test, a = _vectors(spark, 25, 4, 1000)
+    train, b = _vectors(spark, 90, 4)
+    both = train.withColumn("n", F.lit(90)).unionByName(train.filter("row_id < 30").withColumn("n", F.lit(30)))
+    got = {(r.n, r.q - 1000, r["rank"]): r.train_id for r in probe.neighbours(test, both, 5, key="n").collect()}
+    for n in (30, 90):
+        assert [[got[n, i, m + 1] for m in range(5)] for i in range(25)] == _brute(a, b[:n], 5)
+    # More neighbours than there are rows: all of them.
+    assert probe.neighbours(test, train.filter("row_id < 3"), 5).count() == 75
+    assert probe.neighbours(test.limit(0), train, 5).count() == probe.neighbours(test, train.limit(0), 5).count() == 0
+
 
 def test_folds_are_contiguous_parts(spark):
     rows = spark.createDataFrame([(i, 0 if i < 8 else 1 if i < 10 else 2) for i in range(11)], "row_id long, label int").repartition(3)

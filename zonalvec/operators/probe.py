@@ -1,14 +1,17 @@
 """Probes of feature vectors: cosine nearest neighbours and multinomial logistic regression.
 
-The test rows are a stated query set; both sides are packed into tiles of a bounded number of rows and written to the
-shared folder. Tiles are dealt to blocks: a part of the query tiles with a part of the training tiles, so the work of a task is
-bounded whatever the size of either side, and each tile of queries is multiplied with each tile of training rows of its block. A
-task keeps the k nearest of its own queries while it goes through a block, and one grouped top-k merges what the tasks kept. No query
-or training row comes to the driver.
+Nearest neighbours are exact and pruned. Both sides are packed into tiles of near vectors: rows are placed in the cell of the nearest
+of a bounded number of centres, sorted by (cell, id) over ranges, and cut into tiles with a mean and a radius. Of unit vectors half the squared
+chord is the cosine distance, and chords obey the triangle inequality. A first pass compares each tile of queries with the nearest training tiles that
+hold k rows, which bounds every query's k-th distance; a second one compares only those pairs of tiles in which some query is
+nearer to the tile's mean than its bound and the tile's radius allow. The search for these pairs multiplies queries with means, in blocks. No
+query or training row comes to the driver but the centres, and every task's work is bounded.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +27,28 @@ from .sampling import bootstrap, size_curve
 #: Rows of a tile of queries and of training rows, and tiles of either in a block.
 QUERY_TILE, TRAIN_TILE = 512, 2048
 QUERY_TILES, TRAIN_TILES = 8, 64
+#: Means of tiles that are multiplied with a tile of queries at a time, and such packs in a block.
+PACK, PACKS = 1024, 16
+#: Rows for which there is one centre, and centres of all groups together (each group has one at least). Where no group has LEAST_CELLS
+#: there is nothing to prune: all pairs of tiles are open and one pass compares them.
+CELL_ROWS, CENTRES, LEAST_CELLS = 2048, 1024, 8
+#: Tiles of queries whose nearest rows a task holds.
+HELD = 64
 DIGITS = 9
+#: What rounding to DIGITS and floating point may add to a distance.
+SLACK = 2.0 * 10**-DIGITS
+
+
+FOUND = "grp long, key long, q long, train_id long, label int, dist double"
+
+
+@dataclass(frozen=True)
+class Searched:
+    """Neighbours; where counted, the pairs of tiles of one group and how many of them were compared."""
+
+    found: DataFrame
+    pairs: int | None = None
+    compared: int | None = None
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -37,34 +61,71 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_norm", norm).withColumn("features", F.transform("features", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_norm")
 
 
-def _tiles(rows: DataFrame, per: int) -> DataFrame:
-    """(grp, key, ids, labels, vectors, tile): rows (grp, row_id, label, key, features) packed in tiles of one group and key, at most ``per`` each, in id order."""
+def _rows(df: DataFrame, key, group: str | None) -> DataFrame:
+    """(grp, row_id, label, key, features): unit vectors of one side."""
+    grp = F.col(group) if group else F.lit(0)
+    return unit(clean(df)).select(grp.cast("long").alias("grp"), "row_id", F.coalesce("label", F.lit(0)).alias("label"), key.cast("long").alias("key"), "features")
+
+
+def _centres(rows: DataFrame, seed: int = 42) -> dict[int, np.ndarray]:
+    """Of each group some of its distinct vectors, those with the least hashes of their ids: one for about CELL_ROWS rows."""
+    sizes = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().collect()}  # one row a group
+    wanted = {g: max(1, min(CENTRES // len(sizes), n // CELL_ROWS)) for g, n in sizes.items()}
+    if max(wanted.values(), default=1) < LEAST_CELLS:
+        return {}
+    bounds = F.create_map(*[F.lit(x).cast("long") for g, n in sizes.items() for x in (g, int(2**62 * min(1.0, 4.0 * wanted[g] / n)))])
+    hashed = rows.select("grp", "row_id", "features", F.shiftrightunsigned(F.xxhash64("row_id", F.lit(seed)), 2).alias("h"))
+    drawn = hashed.filter(F.col("h") < bounds[F.col("grp")]).dropDuplicates(["grp", "row_id"]).toPandas()  # about four a centre
+    out = {}
+    for g, own in drawn.sort_values(["h", "row_id"]).groupby("grp"):
+        vectors = np.stack(own["features"].to_numpy()).astype(float)
+        out[g] = vectors[np.sort(np.unique(vectors, axis=0, return_index=True)[1])][: wanted[g]]
+    return out
+
+
+def _tiles(rows: DataFrame, per: int, centres: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(grp, key, ids, labels, vectors, mean, radius, n, least, tile): rows packed in tiles of at most ``per`` of one group and key, and,
+    where centres are given, of one cell, in id order; the tiles' means and radii."""
+    placed = rows.withColumn("cell", F.lit(0))
+    if centres:
+        sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+        @F.pandas_udf("int")
+        def cell(grp: pd.Series, v: pd.Series) -> pd.Series:
+            out = np.zeros(len(v), np.int32)
+            for g in grp.unique():
+                if (c := sent.value.get(g)) is not None:
+                    own = np.flatnonzero(grp == g)
+                    out[own] = ((c * c).sum(1) - 2 * np.stack(v.iloc[own].to_numpy()).astype(float) @ c.T).argmin(1)
+            return pd.Series(out)
+
+        # Ranges of (cell, id): a cell with very many rows is cut by ids, so its tiles' ids do not overlap.
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = ("grp", "key", "cell", "row_id")
+        placed = rows.withColumn("cell", cell("grp", "features")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
         for batch in batches:
-            for (grp, key), own in batch.sort_values("row_id", kind="stable").groupby(["grp", "key"]):
+            for (grp, key, _), own in batch.sort_values("row_id", kind="stable").groupby(["grp", "key", "cell"]):
                 for i in range(0, len(own), per):
                     some = own.iloc[i : i + per]
-                    yield pd.DataFrame({"grp": [grp], "key": [key], "ids": [some["row_id"].to_numpy(np.int64).tobytes()], "labels": [some["label"].to_numpy(np.int64).tobytes()],
-                                        "vectors": [np.stack(some["features"].to_numpy()).astype(float).tobytes()]})
+                    x = np.stack(some["features"].to_numpy()).astype(float)
+                    mean = x.mean(0)
+                    ids = some["row_id"].to_numpy(np.int64)
+                    yield pd.DataFrame({"grp": [grp], "key": [key], "ids": [ids.tobytes()], "labels": [some["label"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()],
+                                        "mean": [mean.tobytes()], "radius": [np.sqrt(((x - mean) ** 2).sum(1).max())], "n": [len(x)], "least": [ids[0]]})
 
-    made = rows.mapInPandas(run, "grp long, key long, ids binary, labels binary, vectors binary")
+    made = placed.mapInPandas(run, "grp long, key long, ids binary, labels binary, vectors binary, mean binary, radius double, n long, least long")
     return written(made.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
 
-def _tile_pairs(test: DataFrame, train: DataFrame, key: str | None, group: str | None) -> DataFrame:
-    """(grp, block, q_ids, q_vectors, key, ids, labels, vectors): every tile of queries beside every tile of training rows of its group."""
-    def rows(df, column):
-        grp = F.col(group) if group else F.lit(0)
-        return unit(clean(df)).select(grp.cast("long").alias("grp"), "row_id", F.coalesce("label", F.lit(0)).alias("label"), column.cast("long").alias("key"), "features")
-
-    queries, known = _tiles(rows(test, F.lit(0)), QUERY_TILE), _tiles(rows(train, F.col(key) if key else F.lit(0)), TRAIN_TILE)
-    down, across = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_TILES), (known, TRAIN_TILES)))
-    part = lambda n: F.pmod(F.col("tile"), F.lit(n)).cast("int")
+def _dealt(left: DataFrame, right: DataFrame, down: int, across: int, on: tuple[str, ...]) -> DataFrame:
+    """Every row of left beside every row of right with the same ``on``, dealt by their ``at`` to down x across blocks."""
+    part = lambda n: F.pmod(F.col("at"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("grp", part(down).alias("q_part"), every(across).alias("part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    right = known.select("grp", every(down).alias("q_part"), part(across).alias("part"), "key", "ids", "labels", "vectors")
-    return left.join(right, ["grp", "q_part", "part"]).withColumn("block", F.concat_ws("/", "grp", "q_part", "part"))
+    a = left.withColumn("_down", part(down)).withColumn("_across", every(across)).drop("at")
+    b = right.withColumn("_across", part(across)).withColumn("_down", every(down)).drop("at")
+    return a.join(b, [*on, "_down", "_across"]).drop("_down", "_across")
 
 
 def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,36 +135,187 @@ def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return own, ids, labels, np.rint((1.0 - vectors @ known.T) * 10**DIGITS).astype(np.int64)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None, group: str | None = None) -> DataFrame:
-    """(q, train_id, label, dist, rank): the k nearest training rows of every test row by cosine distance, rounded to
-    nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key;
-    with ``group``, an integer column of both sides, among the rows of the own group."""
+def _best(k: int, ids: np.ndarray, labels: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dist, ids, labels) of the k nearest columns of each row, nearest first; the columns are in id order."""
+    # Distance and place in one number: the k least are the nearest, and of equal ones those with the least ids.
+    ranked = near * len(ids) + np.arange(len(ids))
+    some = np.sort(np.partition(ranked, k - 1, axis=1)[:, :k] if k < len(ids) else ranked, axis=1)
+    return some // len(ids), ids[some % len(ids)], labels[some % len(ids)]
+
+
+def _merged(k: int, *found):
+    both = [np.concatenate(x, axis=1) for x in zip(*found)]
+    order = np.lexsort((both[1], both[0]))[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in both)
 
-    def kept(best):
-        for (grp, own_key, _), (own, (dist, ids, labels)) in best.items():
-            yield pd.DataFrame({"grp": grp, "key": own_key, "q": np.repeat(own, dist.shape[1]), "train_id": ids.ravel(), "label": labels.ravel(), "dist": dist.ravel() / 10**DIGITS})
 
-    def nearest(batches):
-        block, best = None, {}
+def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0))
+
+
+def _packs(tiles: DataFrame) -> DataFrame:
+    """(grp, key, tiles, means, radii, sizes, leasts, at): what is known of tiles without their rows, PACK tiles a row."""
+
+    def run(batches):
+        for batch in batches:
+            for (grp, key), own in batch.groupby(["grp", "key"]):
+                for i in range(0, len(own), PACK):
+                    some = own.iloc[i : i + PACK]
+                    yield pd.DataFrame({"grp": [grp], "key": [key], "tiles": [some["tile"].to_numpy(np.int64).tobytes()], "means": [b"".join(some["mean"])],
+                                        "radii": [some["radius"].to_numpy(float).tobytes()], "sizes": [some["n"].to_numpy(np.int64).tobytes()], "leasts": [some["least"].to_numpy(np.int64).tobytes()]})
+
+    made = tiles.select("grp", "key", "tile", "mean", "radius", "n", "least").mapInPandas(run, "grp long, key long, tiles binary, means binary, radii binary, sizes binary, leasts binary")
+    return made.withColumn("at", F.abs(F.xxhash64("tiles")))
+
+
+def _first_tiles(queries: DataFrame, packs: DataFrame, k: int, down: int, across: int) -> DataFrame:
+    """(q_tile, key, tile): for each tile of queries and key the nearest training tiles that hold k rows together."""
+
+    def run(batches):
         for batch in batches:
             for pair in batch.itertuples(index=False):
-                if pair.block != block:
-                    yield from kept(best)
-                    block, best = pair.block, {}
-                own, ids, labels, near = _matrices(pair)
-                # Distance and place in one number: the k least are the nearest, and of equal ones those with the least ids.
-                ranked = near * len(ids) + np.arange(len(ids))
-                some = np.sort(np.partition(ranked, k - 1, axis=1)[:, :k] if k < len(ids) else ranked, axis=1)
-                dist, at = some // len(ids), some % len(ids)
-                found = (dist, ids[at], labels[at])
-                if (held := best.get(name := (pair.grp, pair.key, pair.q_ids))) is not None:
-                    both = [np.concatenate(x, axis=1) for x in zip(held[1], found)]
-                    order = np.lexsort((both[1], both[0]))[:, :k]
-                    found = tuple(np.take_along_axis(x, order, 1) for x in both)
-                best[name] = own, found
-        yield from kept(best)
-
-    found = _tile_pairs(test, train, key, group).mapInPandas(nearest, "grp long, key long, q long, train_id long, label int, dist double")
+                tiles, sizes, leasts = (np.frombuffer(x, np.int64) for x in (pair.tiles, pair.sizes, pair.leasts))
+                mean = np.frombuffer(pair.mean)[None]
+                far = np.round(_chords(mean, np.frombuffer(pair.means).reshape(len(tiles), -1))[0], 6)
+                order = np.lexsort((leasts, far))
+                order = order[: np.searchsorted(np.cumsum(sizes[order]), k) + 1]
+                yield pd.DataFrame({"q_tile": pair.q_tile, "key": pair.key, "tile": tiles[order], "far": far[order], "least": leasts[order], "n": sizes[order]})
+
+    means = queries.select("grp", "mean", F.col("tile").alias("q_tile"), F.col("tile").alias("at"))
+    asked = _dealt(means, packs, down, across, ("grp",)).mapInPandas(run, "q_tile long, key long, tile long, far double, least long, n long")
+    before = F.sum("n").over(Window.partitionBy("q_tile", "key").orderBy("far", "least", "tile").rowsBetween(Window.unboundedPreceding, -1))
+    return written(asked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < k).select("q_tile", "key", "tile"), "first-tiles")
+
+
+def _first(queries: DataFrame, known: DataFrame, picks: DataFrame, k: int) -> DataFrame:
+    """(grp, key, q_tile, q_ids, q_vectors, f_dist, f_ids, f_labels, width): for each tile of queries and key the nearest rows of its first
+    tiles; a group is a tile of queries and tiles of little more than k rows."""
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        best = None
+        for pair in pairs.itertuples(index=False):
+            _, ids, labels, near = _matrices(pair)
+            found = _best(k, ids, labels, near)
+            best = found if best is None else _merged(k, best, found)
+        one = pairs.iloc[0]
+        return pd.DataFrame({"grp": [one.grp], "key": [one.key], "q_tile": [one.q_tile], "q_ids": [one.q_ids], "q_vectors": [one.q_vectors],
+                             "f_dist": [best[0].tobytes()], "f_ids": [best[1].tobytes()], "f_labels": [best[2].tobytes()], "width": [best[0].shape[1]]})
+
+    own = queries.select("grp", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    rows = picks.join(known.select("tile", "ids", "labels", "vectors"), "tile").join(own, "q_tile")
+    made = rows.groupBy("q_tile", "key").applyInPandas(run, "grp long, key long, q_tile long, q_ids binary, q_vectors binary, f_dist binary, f_ids binary, f_labels binary, width int")
+    return written(made, "first")
+
+
+def _bounds(row, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query of a tile the k-th distance of the first pass and its id; infinite where it found fewer."""
+    n = len(row.q_ids) // 8
+    if row.width < k:
+        return np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
+    dist, ids = (np.frombuffer(x, np.int64).reshape(n, -1)[:, -1] for x in (row.f_dist, row.f_ids))
+    return dist.astype(float), ids
+
+
+def _open_pairs(first: DataFrame, packs: DataFrame, picks: DataFrame, k: int, down: int, across: int) -> DataFrame:
+    """(q_tile, key, tile): pairs of tiles, not compared yet, in which a query may have one of its k nearest rows.
+
+    A tile whose ids are all larger than that of a query's k-th row has nothing for it where that row is at distance 0, so copies of one
+    vector, however many, are not compared with each other tile by tile.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                tiles, leasts = (np.frombuffer(x, np.int64) for x in (pair.tiles, pair.leasts))
+                bound, last = _bounds(pair, k)
+                vectors, means = (np.frombuffer(x).reshape(n, -1) for x, n in ((pair.q_vectors, len(bound)), (pair.means, len(tiles))))
+                least = np.maximum(_chords(vectors, means) - np.frombuffer(pair.radii), 0.0)
+                may = least * least / 2 <= (bound / 10**DIGITS + SLACK)[:, None]
+                may &= ~((bound <= 0)[:, None] & (leasts > last[:, None]))
+                if len(some := tiles[may.any(0)]):
+                    yield pd.DataFrame({"q_tile": pair.q_tile, "key": pair.key, "tile": some})
+
+    asked = first.select("grp", "key", "q_tile", "q_ids", "q_vectors", "f_dist", "f_ids", "width", F.col("q_tile").alias("at"))
+    found = _dealt(asked, packs.drop("sizes"), down, across, ("grp", "key")).mapInPandas(run, "q_tile long, key long, tile long")
+    return written(found.join(picks, ["q_tile", "key", "tile"], "left_anti"), "open-pairs")
+
+
+def _compared(rows: DataFrame, k: int) -> DataFrame:
+    """(grp, key, q, train_id, label, dist): of pairs of tiles the rows that may be among a query's k nearest; a task merges what it finds."""
+
+    def kept(held):
+        for pair, (dist, ids, labels) in held.values():
+            bound, _ = _bounds(pair, k)
+            q, at = np.nonzero(dist <= bound[:, None])
+            yield pd.DataFrame({"grp": pair.grp, "key": pair.key, "q": np.frombuffer(pair.q_ids, np.int64)[q], "train_id": ids[q, at], "label": labels[q, at], "dist": dist[q, at] / 10**DIGITS})
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                _, ids, labels, near = _matrices(pair)
+                found, name = _best(k, ids, labels, near), (pair.q_tile, pair.key)
+                if name in held:
+                    held[name] = held[name][0], _merged(k, held[name][1], found)
+                    continue
+                if len(held) >= HELD:
+                    yield from kept(held)
+                    held = {}
+                held[name] = pair._replace(vectors=None, q_vectors=None), found
+        yield from kept(held)
+
+    return rows.mapInPandas(run, FOUND)
+
+
+def _rest(first: DataFrame, known: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """Open pairs of tiles with their rows; a tile of queries' pairs are cut into parts."""
+    dealt = pairs.withColumn("part", F.pmod("tile", F.lit(parts)))
+    left = first.drop("f_labels").join(dealt.select("q_tile", "key", "part").distinct(), ["q_tile", "key"])
+    right = dealt.join(known.select("tile", "ids", "labels", "vectors"), "tile")
+    return left.join(right, ["q_tile", "key", "part"])
+
+
+def _all_pairs(queries: DataFrame, known: DataFrame, down: int, across: int) -> DataFrame:
+    """Every tile of queries beside every tile of training rows of its group."""
+    left = queries.select("grp", F.col("tile").alias("at"), F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.lit(0).alias("width"))
+    return _dealt(left, known.select("grp", "key", F.col("tile").alias("at"), "ids", "labels", "vectors"), down, across, ("grp",))
+
+
+def _flat(first: DataFrame) -> DataFrame:
+    """(grp, key, q, train_id, label, dist) of the first pass."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                q, dist, ids, labels = (np.frombuffer(x, np.int64) for x in (r.q_ids, r.f_dist, r.f_ids, r.f_labels))
+                yield pd.DataFrame({"grp": r.grp, "key": r.key, "q": np.repeat(q, r.width), "train_id": ids, "label": labels, "dist": dist / 10**DIGITS})
+
+    return first.drop("q_vectors").mapInPandas(run, FOUND)
+
+
+def searched(test: DataFrame, train: DataFrame, k: int, key: str | None = None, group: str | None = None, counted: bool = False) -> Searched:
+    """``neighbours``, and if wanted how many pairs of tiles were compared."""
+    asked, rows = _rows(test, F.lit(0), group), _rows(train, F.col(key) if key else F.lit(0), group)
+    centres = _centres(rows)
+    queries, known = _tiles(asked, QUERY_TILE, centres), _tiles(rows, TRAIN_TILE, centres)
+    n_queries, n_known = queries.count(), known.count()
+    parts = lambda n, per: max(1, -(-n // per))
+    total = queries.select("grp").join(known.select("grp"), "grp").count() if counted else None
+    if not centres:
+        found = written(_compared(_all_pairs(queries, known, parts(n_queries, QUERY_TILES), parts(n_known, TRAIN_TILES)), k), "nearest")
+        dropped(queries, known)
+        return Searched(_ranked(found, k, key, group), total, total)
+    packs, across = _packs(known), parts(n_known, PACK * PACKS)
+    picks = _first_tiles(queries, packs, k, parts(n_queries, QUERY_TILES * 64), across)
+    first = _first(queries, known, picks, k)
+    pairs = _open_pairs(first, packs, picks, k, parts(n_queries, QUERY_TILES), across)
+    found = written(_flat(first).unionByName(_compared(_rest(first, known, pairs, parts(n_known, TRAIN_TILES)), k)), "nearest")
+    compared = picks.count() + pairs.count() if counted else None
+    dropped(queries, known, picks, first, pairs)
+    return Searched(_ranked(found, k, key, group), total, compared)
+
+
+def _ranked(found: DataFrame, k: int, key: str | None, group: str | None) -> DataFrame:
     order = Window.partitionBy("grp", "key", "q").orderBy("dist", "train_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     for name, given in (("key", key), ("grp", group)):
@@ -111,6 +323,13 @@ def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None
     return ranked
 
 
+def neighbours(test: DataFrame, train: DataFrame, k: int, key: str | None = None, group: str | None = None) -> DataFrame:
+    """(q, train_id, label, dist, rank): the k nearest training rows of every test row by cosine distance, rounded to
+    nine digits; ties go to the smaller id. With ``key``, an integer column of the training rows, the k nearest of each key;
+    with ``group``, an integer column of both sides, among the rows of the own group."""
+    return searched(test, train, k, key, group).found
+
+
 def distances(test: DataFrame, train: DataFrame) -> DataFrame:
     """(q, train_id, dist): the cosine distance of every test row to every training row."""
 
@@ -122,7 +341,9 @@ def distances(test: DataFrame, train: DataFrame) -> DataFrame:
                     part = near[i : i + 64]
                     yield pd.DataFrame({"q": np.repeat(own[i : i + 64], len(ids)), "train_id": np.tile(ids, len(part)), "dist": part.ravel() / 10**DIGITS})
 
-    return _tile_pairs(test, train, None, None).mapInPandas(run, "q long, train_id long, dist double")
+    queries, known = (_tiles(_rows(df, F.lit(0), None), per) for df, per in ((test, QUERY_TILE), (train, TRAIN_TILE)))
+    down, across = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_TILES), (known, TRAIN_TILES)))
+    return _all_pairs(queries, known, down, across).mapInPandas(run, "q long, train_id long, dist double")
 
 
 def vote(found: DataFrame, *keys: str, weight=None) -> DataFrame:
