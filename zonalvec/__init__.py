@@ -8,10 +8,11 @@ from importlib import import_module
 _PUBLIC = {
     "functions.codecs": "minmax_vector percentile_stretch quantise_offset quantise_power recode_u8 sanitize scale_clip stride_sample",
     "model": "assemble patches_to_long pixels_to_long",
+    "operators.estimators": "Codebook CodebookModel PrincipalComponents PrincipalComponentsModel",
     "operators.fitted": "PCA BoVW NotFitted fit_mini_batch fit_wide seeded_centres",
     "operators.metrics": "METRICS class_scores confusion metrics summary",
     "operators.pool": "POOLERS TRAINING_FREE Mergeable Pooler average_deviation covariance covariance_by_pairs custom custom_mergeable features gem output_dim percentiles pool_long pool_many signed_gem",
-    "operators.probe": "bootstrap_knn bootstrap_linear bootstrap_sweep distances evaluate_knn evaluate_linear linear_sweep neighbours standardise standardiser sweep",
+    "operators.probe": "bootstrap_knn bootstrap_linear bootstrap_sweep distances evaluate_knn evaluate_linear linear_sweep neighbours replaced searched standardise standardiser sweep",
     "operators.sampling": "bootstrap bootstrap_in_place quotas size_curve subsample",
     "sources.manifest": "decode_labels encode_labels entries load load_pooled lookup quarantine read_lines split",
     "sources.tables": "inventory read_pooled read_results write_pooled write_results",

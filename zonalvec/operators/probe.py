@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import sanitize
+from ..functions.codecs import odd_values, sanitize
 from ..storage import dropped, written
 from . import linear
 from .metrics import METRICS, metrics, summary
@@ -55,6 +55,12 @@ def clean(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", sanitize(F.col("features")))
 
 
+def replaced(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, replaced, vectors): how many values ``clean`` sets to 0, and in how many vectors; a null vector has none."""
+    odd = F.coalesce(odd_values(F.col("features")), F.lit(0))
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum(F.greatest(odd, F.lit(0))), F.lit(0)).alias("replaced"), F.count_if(odd > 0).alias("vectors"))
+
+
 def unit(rows: DataFrame) -> DataFrame:
     """Vectors divided by their length; a zero vector stays zero, and so has distance 1 to everything."""
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
