@@ -113,6 +113,11 @@ def test_neighbours_of_random_vectors_by_key_and_in_small_tables(spark, monkeypa
     got = {(r.n, r.q - 1000, r["rank"]): r.train_id for r in probe.neighbours(test, both, 5, key="n").collect()}
     for n in (30, 90):
         assert [[got[n, i, m + 1] for m in range(5)] for i in range(25)] == _brute(a, b[:n], 5)
+    # Apart by group: only rows of the own side are neighbours.
+    got = {(r.q - 1000, r["rank"]): r.train_id for r in probe.neighbours(test, train, 4, group="side").collect()}
+    for i in range(25):
+        own = [j for j in range(90) if j % 2 == i % 2]
+        assert [got[i, m + 1] for m in range(4)] == [own[j] for j in _brute(a[i : i + 1], b[own], 4)[0]]
     # More neighbours than there are rows: all of them.
     assert probe.neighbours(test, train.filter("row_id < 3"), 5).count() == 75
     assert probe.neighbours(test.limit(0), train, 5).count() == probe.neighbours(test, train.limit(0), 5).count() == 0
