@@ -172,6 +172,31 @@ def test_constants_and_empty_selections(spark):
         report.selected(res, "linear")
 
 
+def _shuffled(spark):
+    """Bytes that all stages of the session have written for exchanges."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(60_000)
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_what_a_search_exchanges_grows_as_the_rows_do(spark, monkeypatch):
+    for name, value in (("QUERY_TILE", 16), ("TRAIN_TILE", 16), ("CELL_ROWS", 16), ("LEAST_CELLS", 2), ("CENTRES", 4)):
+        monkeypatch.setattr(probe, name, value)
+    rng, used = np.random.default_rng(3), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (600, 4800):
+            x = rng.normal(size=(n, 64))  # nothing near anything: no pair of tiles can be left out
+            rows = storage.written(spark.createDataFrame([(i, i % 3, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>"), "rows")
+            before = _shuffled(spark)
+            assert probe.neighbours(rows.filter("row_id % 4 = 0"), rows.filter("row_id % 4 > 0"), 3).count() == n // 4 * 3
+            used.append(_shuffled(spark) - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert used[1] < 10 * used[0]  # eight times the rows; with a copy for each pair of tiles 20 times
+
+
 def _pixels(spark, n, seed):
     x = np.random.default_rng(seed).normal(size=(n, 2)) + np.arange(n)[:, None] % 3 * 5
     return spark.createDataFrame([(i, 0, i, [float(v) for v in x[i]]) for i in range(n)], "patch_id long, y int, x int, vec array<double>")
