@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from zonalvec import storage
 from zonalvec.operators import fitted, geo, pool, sampling, sketches
+from zonalvec.plans import report
 from zonalvec.sources import manifest
 from zonalvec.streaming import stream
 
+from . import oracle
+
 RNG = np.random.default_rng(23)
 BOX = "{} long, xmin double, ymin double, xmax double, ymax double"
 
@@ -162,3 +165,23 @@ def test_seeding_of_few_and_equal_pixels(spark):
         fitted.seeded_centres(same.limit(0), 3)
     with pytest.raises(ValueError, match="no pixels"):
         fitted.fit_mini_batch(same.limit(0), 3)
+
+
+def test_rolled_up_percentiles_of_zones_larger_than_their_sketches(spark, data, monkeypatch):
+    monkeypatch.setattr(report, "ROLLED_K", 64)
+    got = oracle.rows(report.pool_percentiles_rollup(spark, data).toPandas())
+    assert got == oracle.rows(oracle.connection(data).execute(report.ORACLES["pool_percentiles_rollup"]).df())
+
+
+def test_exact_percentiles_from_brackets(spark, monkeypatch):
+    x = RNG.normal(size=3000).tolist()
+    rows = [(i % 2 or None, 0, x[i]) for i in range(3000)] + [(1, 1, float(i % 3)) for i in range(2000)] + [(2, 0, float("nan")), (2, 0, 1.0), (3, 0, None), (4, 0, None), (4, 0, 7.0)]
+    long = spark.createDataFrame(rows, "patch_id long, band int, v double").withColumn("d", F.lit(2)).repartition(5)
+    least = lambda own, q: sorted(own)[max(1, -(-len(own) * q // 100)) - 1]
+    for wide in (4, 0):  # brackets that hold nothing but a value or two miss some places, which are found all the same
+        monkeypatch.setattr(sketches, "WIDE", wide)
+        got = {(r.patch_id, r.ord): r.value for r in sketches.exact(long, sketches.sketched(long, k=256), k=256).collect()}
+        for i, q in enumerate(pool.PERCENTILES):
+            assert got[1, 2 * i] == least(x[1::2], q) and got[None, 2 * i] == least(x[::2], q) and got[1, 2 * i + 1] == least([j % 3 for j in range(2000)], q)
+            assert np.isnan(got[2, 2 * i]) and got[3, 2 * i] is None and got[4, 2 * i] == 7.0
+        assert len(got) == 30
