@@ -158,6 +158,16 @@ def test_seeded_mini_batches_come_near_the_whole_fit(spark):
     assert fitted.inertia(pixels, model.codebook(spark)).first().inertia <= 1.05 * whole
 
 
+def test_a_mini_batch_is_one_job(spark):
+    pixels, used = storage.written(_clusters(spark, 480, 3), "pixels"), []
+    for epochs in (1, 3):
+        spark.sparkContext.setJobGroup(f"epochs-{epochs}", "mini-batches")
+        fitted.fit_mini_batch(pixels, 3, batch=60, epochs=epochs, starved=0.0)
+        used.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epochs-{epochs}")))
+    spark.sparkContext.setJobGroup("after", "")
+    assert used[1] - used[0] == 16  # eight batches twice more
+
+
 def test_seeding_of_few_and_equal_pixels(spark):
     same = spark.createDataFrame([(i, 0, 0, [1.0, 2.0]) for i in range(9)], "patch_id long, y int, x int, vec array<double>")
     np.testing.assert_allclose(fitted.seeded_centres(same, 3), [[1.0, 2.0]])

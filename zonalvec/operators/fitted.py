@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..storage import children, new_folder, removed
 
 #: Of wide vectors: rows that a task multiplies at a time, and values of a sum that travel together.
 WIDE_ROWS, STRIPE = 64, 4096
+#: Pixels of a batch that one task reads, about.
+SPLIT = 65_536
 
 
 class NotFitted(RuntimeError):
@@ -315,7 +318,7 @@ def seeded_centres(pixels: DataFrame, k: int, seed: int = 42, key: tuple[str, ..
         if not total:
             break
         chance = F.pmod(F.xxhash64(F.lit(seed + 1 + n), *key), F.lit(1 << 52)) / float(1 << 52)
-        more = far.filter(chance < F.col("_d") * (2.0 * k / total)).select(vector).distinct().collect()
+        more = sorted(far.filter(chance < F.col("_d") * (2.0 * k / total)).select(vector).distinct().collect())  # in whatever order they came
         found = np.vstack([found, *[[r[vector]] for r in more]]) if more else found
     near = assign(rows, BoVWModel(found).codebook(pixels.sparkSession), vector).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
     near = sorted((r["cluster"], r["n"]) for r in near)
@@ -331,22 +334,26 @@ def fit_mini_batch(pixels: DataFrame, k: int, batch: int = 100_000, epochs: int
     """
     spark = pixels.sparkSession
     shuffled, n = in_batches(pixels, batch, seed, *key)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder = new_folder(spark, "batches")
-    shuffled.repartition(parts, "_batch", F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(parts))).write.partitionBy("_batch").parquet(folder)
+    folder, splits = new_folder(spark, "batches"), max(1, -(-batch // SPLIT))
+    # A batch is a file, or a few for a large one: a task writes whole batches, and a batch is read by as many tasks as it has files.
+    shuffled.repartition("_batch", F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(splits))).write.partitionBy("_batch").parquet(folder)
     have = {int(name.partition("=")[2]) for name in children(spark, folder) if name.startswith("_batch=")}
-    batches = [spark.read.schema(pixels.schema).parquet(f"{folder}/_batch={number}") for number in range(n) if number in have]
-    if not batches:
+    numbers = [number for number in range(n) if number in have]
+    if not numbers:
         raise ValueError("no pixels")
-    centres = seeded_centres(batches[0], k, seed, key, vector)
-    counts = np.zeros(len(centres))
-    for number in range(epochs * len(batches)):
-        near = assign(batches[number % len(batches)], BoVWModel(centres).codebook(spark), vector)
-        centres, counts = mini_batch_update(centres, counts, lloyd_step(near, vector))
+    read = lambda number: spark.read.schema(pixels.schema).parquet(f"{folder}/_batch={number}")
+    centres = seeded_centres(read(numbers[0]), k, seed, key, vector)
+    counts, last = np.zeros(len(centres)), epochs * len(numbers) - 1
+    for at in range(last + 1):
+        own = read(numbers[at % len(numbers)])
+        sums, n_near = _near_sums(own, centres, vector)
+        for c in np.flatnonzero(n_near):
+            counts[c] += n_near[c]
+            centres[c] += (sums[c] / n_near[c] - centres[c]) * n_near[c] / counts[c]
         poor = np.flatnonzero(counts < starved * counts.max())
-        if len(poor) and number + 1 < epochs * len(batches):
+        if len(poor) and at < last:
             book = BoVWModel(centres).codebook(spark)
-            apart = assign(batches[number % len(batches)], book, vector).join(F.broadcast(book), "cluster").select(*key, vector, squared_distance(F.col(vector), F.col("centre")).alias("_d"))
+            apart = assign(own, book, vector).join(F.broadcast(book), "cluster").select(*key, vector, squared_distance(F.col(vector), F.col("centre")).alias("_d"))
             taken = apart.orderBy(F.col("_d").desc(), *key).limit(len(poor)).collect()
             for c, r in zip(poor, taken):
                 centres[c] = np.array(r[vector], float)
@@ -355,6 +362,26 @@ def fit_mini_batch(pixels: DataFrame, k: int, batch: int = 100_000, epochs: int
     return BoVWModel(centres)
 
 
+def _near_sums(pixels: DataFrame, centres: np.ndarray, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each centre the sum and the number of the pixels nearest to it, as ``assign`` finds it: one job and one row a task, no exchange."""
+    k, d = centres.shape
+
+    def run(batches):
+        sums, n = np.zeros((k, d)), np.zeros(k, np.int64)
+        for batch in batches:
+            column = batch.column(0).filter(batch.column(0).is_valid())
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            for i in range(0, len(x), 4096):
+                own = x[i : i + 4096]
+                near = np.round(((own[:, None] - centres) ** 2).sum(2), 9).argmin(1)
+                np.add.at(sums, near, own)
+                n += np.bincount(near, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([n.tobytes()])], ["sums", "n"])
+
+    found = pixels.select(vector).mapInArrow(run, "sums binary, n binary").collect()
+    return sum((np.frombuffer(r["sums"]).reshape(k, d) for r in found), np.zeros((k, d))), sum((np.frombuffer(r["n"], np.int64) for r in found), np.zeros(k, np.int64))
+
+
 def inertia(pixels: DataFrame, codebook: DataFrame, vector: str = "vec") -> DataFrame:
     """(n, inertia): the pixels and the sum of their squared distances to their centres."""
     near = assign(pixels, codebook, vector).join(F.broadcast(codebook), "cluster")
