@@ -197,6 +197,39 @@ def test_what_a_search_exchanges_grows_as_the_rows_do(spark, monkeypatch):
     assert used[1] < 10 * used[0]  # eight times the rows; with a copy for each pair of tiles 20 times
 
 
+def test_bootstrapped_neighbours_are_not_multiplied_by_repetitions(spark, monkeypatch):
+    """Fifty times the repetitions exchange less than eleven times as much, and the votes are those of lists redrawn one by one, also where all lists are asked for again."""
+    rng = np.random.default_rng(4)
+    x, reps, k = rng.normal(size=(400, 6)), 40, 3
+    rows = storage.written(spark.createDataFrame([(i, int(i % 3), [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>"), "rows")
+    test, train = rows.filter("row_id % 4 = 0"), rows.filter("row_id % 4 > 0")
+    mult = {(r.rep, r.row_id): r.mult for r in sampling.bootstrap(train, reps).collect()}
+    own = np.flatnonzero(np.arange(400) % 4 > 0)
+    near = {q: own[i] for q, i in zip(range(0, 400, 4), _brute(x[::4], x[own], len(own)))}
+    expected = []
+    for rep in range(reps):
+        right = 0
+        for q, ids in near.items():
+            drawn = np.repeat(ids, [mult.get((rep, int(i)), 0) for i in ids])[:k] % 3
+            right += int(np.bincount(drawn, minlength=3).argmax() == q % 3)
+        expected.append(right / len(near))
+    for reach in (None, 2):
+        if reach:
+            monkeypatch.setattr(probe, "_reach", lambda k, lists: reach)
+        got = {r.rep: r.accuracy for r in probe.bootstrap_knn(test, train, k, reps, margin=0 if reach else 16).collect()}
+        np.testing.assert_allclose([got[r] for r in range(reps)], expected)
+    used = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (2, 100):
+            before = _shuffled(spark)
+            probe.bootstrap_knn(test, train, k, n).count()
+            used[n] = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert used[100] < 11 * used[2], used
+
+
 def _pixels(spark, n, seed):
     x = np.random.default_rng(seed).normal(size=(n, 2)) + np.arange(n)[:, None] % 3 * 5
     return spark.createDataFrame([(i, 0, i, [float(v) for v in x[i]]) for i in range(n)], "patch_id long, y int, x int, vec array<double>")

@@ -11,10 +11,12 @@ query or training row comes to the driver but the centres, and every task's work
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from ..storage import dropped, written
 from . import linear
 from .metrics import METRICS, metrics, summary
 from .order import numbered_within
-from .sampling import bootstrap, size_curve
+from .sampling import bootstrap_counts, size_curve
 
 #: Rows of a tile of queries and of training rows; tiles of queries whose means are asked for their first tiles together, and tiles of training rows that pass by in a block.
 QUERY_TILE, TRAIN_TILE = 512, 2048
@@ -429,25 +431,82 @@ def evaluate_knn(test: DataFrame, train: DataFrame, ks: list[int], key: str | No
     return metrics(vote(voting, "k", *keys).join(truth(test, *groups), [*groups, "q"]), "k", *keys)
 
 
+def _reach(k: int, lists: int) -> int:
+    """How many of a query's nearest rows hold k draws in all of so many lists, but for a chance of a hundredth: draws of a row are Poisson with mean 1 at most."""
+    few = lambda n: sum(math.exp(i * math.log(n) - n - math.lgamma(i + 1)) for i in range(k))
+    size = max(k, 1)
+    while lists * few(size) > 0.01:
+        size += 1
+    return size
+
+
+def _redrawn(near: DataFrame, k: int, reps: int, draws: int) -> DataFrame:
+    """(q, p): for every repetition the label that most of a query's k nearest draws have, of equals the smallest, and null where
+    there are none; no list where a repetition finds fewer than ``draws`` among the rows of near (q, label, rank, mult array<int> or null: never drawn). Rows are exchanged once a neighbour, with the draws of all repetitions."""
+
+    def votes(rows: pa.Table) -> pa.RecordBatch:
+        q, label = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        mult = rows.column(2).combine_chunks().flatten().to_numpy().reshape(len(q), reps).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        own = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(q)]))
+        before = np.cumsum(mult, axis=0) - mult
+        take = np.clip(k - (before - before[first][own]), 0, mult)
+        short = (np.add.reduceat(take, first, axis=0) < draws).any(1)
+        # The votes of a label and its place among the query's labels in one number: the largest has most votes, and of equals the smallest label.
+        order = np.lexsort((label, own))
+        label, own = label[order], own[order]
+        pair = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (label[1:] != label[:-1])])
+        of = own[pair]
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        place = np.arange(len(pair)) - start[of]
+        width = int(place.max()) + 1
+        best = np.maximum.reduceat(np.add.reduceat(take[order], pair, axis=0) * width + (width - 1 - place)[:, None], start, axis=0)
+        p = pa.array(label[pair][start[:, None] + width - 1 - best % width].astype(np.int32).ravel(), mask=(best < width).ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * reps), p, mask=pa.array(short))
+        return pa.RecordBatch.from_arrays([pa.array(q[first]), lists], ["q", "p"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            q = rows.column(0).to_numpy()
+            last = len(q) - int((q[::-1] == q[-1]).argmin() or len(q))  # where the last query begins, whose rows may go on
+            if last:
+                yield votes(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield votes(rest)
+
+    placed = near.repartition("q").sortWithinPartitions("q", "rank")
+    return placed.select("q", "label", F.coalesce(F.col("mult").cast("array<int>"), F.array_repeat(F.lit(0), reps)).alias("mult")).mapInArrow(run, "q long, p array<int>")
+
+
 def bootstrap_knn(test: DataFrame, train: DataFrame, k: int, reps: int, seed: int = 42, margin: int = 16) -> DataFrame:
     """(rep, the five metrics) over stratified bootstraps of the training rows.
 
-    Distances are found once; a repetition takes a neighbour as often as it was drawn until k draws are reached.
-    The list of neighbours is doubled until it holds k draws of every repetition.
+    Distances are found once; a repetition takes a neighbour as often as it was drawn until k draws are reached. Neighbours are never
+    multiplied by repetitions: each carries its draws in all of them as an array, and a task that has a query's neighbours votes in all of them. Queries whose
+    list does not hold k draws of every repetition are asked again, and only these, for twice as many.
     """
-    drawn = written(bootstrap(train, reps, seed).select("rep", F.col("row_id").alias("train_id"), "mult"), "drawn")
-    queries, size, known = test.count(), k + margin, train.count()
+    least = F.transform("mult", lambda m: F.least(m, F.lit(k)).cast("byte" if k < 128 else "int"))  # no more than k are ever taken
+    drawn = written(bootstrap_counts(train, reps, seed).select(F.col("row_id").alias("train_id"), least.alias("mult")), "drawn")
+    known, asked, found, again = train.count(), test, None, None
+    size = max(k + margin, _reach(k, test.count() * reps))
     while True:
-        near = neighbours(test, train, min(size, known)).join(drawn, "train_id")
-        before = F.coalesce(F.sum("mult").over(Window.partitionBy("rep", "q").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = written(near.withColumn("take", F.least(F.col("mult"), F.lit(k) - before)).filter("take > 0"), "taken")
-        full = taken.groupBy("rep", "q").agg(F.sum("take").alias("n")).filter(F.col("n") >= min(k, known)).count()
-        if full == queries * reps or size >= known:
+        near = neighbours(asked, train, min(size, known)).select("q", "train_id", "label", "rank").join(drawn, "train_id", "left")
+        votes = written(_redrawn(near, k, reps, k if size < known else 0), "votes")
+        full = votes.filter(F.col("p").isNotNull())
+        found = full if found is None else found.unionByName(full)
+        short = votes.filter(F.col("p").isNull()).select(F.col("q").alias("row_id"))
+        if size >= known or short.isEmpty():
             break
-        dropped(taken)
-        size *= 2
+        again, size = written(asked.join(short, "row_id", "left_semi"), "asked-again", again), 2 * size
+        asked = again
     dropped(drawn)
-    return metrics(vote(taken, "rep", weight=F.col("take")).join(truth(test), "q"), "rep")
+    return metrics(found.join(truth(test), "q").select("y", F.posexplode("p").alias("rep", "p")).filter("p is not null"), "rep")
 
 
 def standardiser(train: DataFrame, weight: str | None = None) -> DataFrame:
@@ -561,11 +620,9 @@ def bootstrap_linear_many(test: DataFrame, train: DataFrame, reps: int, c: float
     parts = [r[0] for r in known.select("part").distinct().collect()]  # one row a part
     drawn = None
     for p in parts:
-        own = bootstrap(known.filter(F.col("part") == p), reps, seed).select(F.lit(p).alias("part"), "row_id", "rep", "mult")
+        own = bootstrap_counts(known.filter(F.col("part") == p), reps, seed).select(F.lit(p).alias("part"), "row_id", F.col("mult").cast("array<double>").alias("w"))
         drawn = own if drawn is None else drawn.unionByName(own)
-    counts = drawn.groupBy("part", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("_m"))
-    w = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("double"))
-    blocks = linear.packed(known.join(counts, ["part", "row_id"]).withColumn("w", w))
+    blocks = linear.packed(known.join(drawn, ["part", "row_id"]))
     named = [(p, r) for p in parts for r in range(reps)]
     fitted = linear.fit_many(blocks, [linear.Model(p, r, r, c) for p, r in named])
     dropped(blocks, known)

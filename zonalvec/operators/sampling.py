@@ -83,9 +83,22 @@ def bootstrap(rows: DataFrame, reps: int, seed: int = 42, label: str = "label",
     Each row stands for one draw of each repetition, so draws are made where the rows are.
     """
     placed = numbered_within(rows.select(label, key), label, key, name="_at", size="_n")
+    return _picked(placed, reps, seed, label).join(placed.select(label, key, "_at"), [label, "_at"]).select("rep", key, label, "mult")
+
+
+def bootstrap_counts(rows: DataFrame, reps: int, seed: int = 42, label: str = "label", key: str = "row_id") -> DataFrame:
+    """(key, label, mult): the draws of ``bootstrap``, each row once with an array of how often every repetition drew it; rows that none drew are left out."""
+    placed = numbered_within(rows.select(label, key), label, key, name="_at", size="_n")
+    counts = _picked(placed, reps, seed, label).groupBy(label, "_at").agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("_m"))
+    mult = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("int"))
+    return placed.select(label, key, "_at").join(counts, [label, "_at"]).select(key, label, mult.alias("mult"))
+
+
+def _picked(placed: DataFrame, reps: int, seed: int, label: str) -> DataFrame:
+    """(rep, label, _at, mult): the draws, counted. They are exchanged once, by the row drawn, whatever is counted or joined after."""
     draws = placed.select("_n", label, F.col("_at").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    picked = draws.select("rep", label, F.pmod(seeded_hash(seed, "rep", label, "draw"), F.col("_n")).alias("_at")).groupBy("rep", label, "_at").agg(F.count(F.lit(1)).alias("mult"))
-    return picked.join(placed.select(label, key, "_at"), [label, "_at"]).select("rep", key, label, "mult")
+    picked = draws.select("rep", label, F.pmod(seeded_hash(seed, "rep", label, "draw"), F.col("_n")).alias("_at"))
+    return picked.repartition(label, "_at").groupBy("rep", label, "_at").agg(F.count(F.lit(1)).alias("mult"))
 
 
 def shared_draws(sizes: np.ndarray, draws: int, at: int, *seed: int) -> int:
