@@ -324,6 +324,23 @@ def test_many_linear_models_at_their_minimum(spark):
     assert single.join(many.select("q", F.col("p").alias("p2")), "q").filter("p <> p2").count() == 0
 
 
+def test_features_that_go_together_take_few_passes(spark, monkeypatch):
+    """Nearly equal features, as percentiles of one band are, and a large C; and a part that is done is not read again."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 600)
+    level = np.eye(3)[y] @ rng.normal(size=(3, 2)) + rng.normal(size=(600, 2))
+    x = np.repeat(level, 5, axis=1) + rng.normal(0, 0.02, (600, 10))
+    rows = spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(y, x))], "row_id long, label int, features array<double>").withColumn("w", F.array(F.lit(1.0)))
+    few = rows.filter("row_id < 45").withColumn("part", F.lit(1))
+    blocks, read = linear.packed(rows.withColumn("part", F.lit(0)).unionByName(few)), []
+    found, one = linear._summed, linear.Model(0, 0, 0, 100.0)
+    monkeypatch.setattr(linear, "_summed", lambda blocks, of, *most: read.append({r.part for r in blocks.select("part").distinct().collect()}) or found(blocks, of, *most))
+    got = linear.fit_many(blocks, [one, linear.Model(1, 0, 0, 100.0)])
+    assert slope(x, y, np.ones(600), x.mean(0), x.std(0), got.coefficients[0], got.intercepts[0], 100.0) < 2e-4
+    alone = linear.fit_many(blocks, [one])
+    assert alone.passes < 30 and read[2] == {0, 1} and read[got.passes + 1] == {1} and read[-1] == {0}
+
+
 def test_a_class_without_weight_is_not_predicted(spark):
     rows, x, y = separable(spark, 90)
     known = rows.withColumn("part", F.lit(0)).withColumn("w", F.array((F.col("label") != 2).cast("double")))

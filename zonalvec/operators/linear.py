@@ -4,7 +4,8 @@ A model is a set of rows (a part), how often each row of it counts (a weight gro
 the weights under which features are standardised, and a penalty C. All models are fitted together: one pass over the rows sums up
 the loss and the gradient of every model that has not converged, so 18 models of a cross-validation or 100 resamples take as many passes as the
 slowest of them takes steps, not as many as all take together. Tasks hold one block of rows and one gradient a model; gradients are merged in
-tasks, and the driver sees one sum a model and takes a step of L-BFGS for each.
+tasks, and the driver sees one sum a model and takes a step of L-BFGS for each. Steps are taken in coordinates in which a part's features are
+uncorrelated: features that go together, as the percentiles of one band do, would make the loss a long valley and cost hundreds of passes.
 
 The objective is the penalty |w|^2 / 2 over standardised features and C times the summed loss; intercepts are free. A class
 without weight in a model is never predicted by it.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Rows of a block.
-BLOCK = 1024
+#: Rows of a block, and numbers whose sums a task merges.
+BLOCK, MERGED = 1024, 32
 #: Largest entry of the gradient of the mean loss at which a model is done; relative progress of no more count, and steps of L-BFGS remembered.
 TOLERANCE, PROGRESS, MEMORY = 1e-5, 1e-8, 20
 MAX_STEPS = 1000
@@ -67,8 +68,8 @@ def packed(rows: DataFrame) -> DataFrame:
     return written(kept.mapInArrow(run, "part int, n long, y binary, x binary, w binary"), "linear-blocks")
 
 
-def _summed(blocks: DataFrame, of) -> dict[int, np.ndarray]:
-    """Sums over all blocks. of(part, y, x, w) gives (number, array) pairs; a task holds one array a number, and one a number comes to the driver."""
+def _summed(blocks: DataFrame, of, most: int = MERGED) -> dict[int, np.ndarray]:
+    """Sums over all blocks. of(part, y, x, w) gives (number, array) pairs, of ``most`` numbers together; a task holds one array a number, and one a number comes to the driver."""
 
     def each(batches):
         held: dict[int, np.ndarray] = {}
@@ -85,7 +86,7 @@ def _summed(blocks: DataFrame, of) -> dict[int, np.ndarray]:
                 held[k] = held[k] + np.frombuffer(v) if k in held else np.frombuffer(v)
         yield from _sent(held)
 
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // MERGED))
     found = blocks.mapInArrow(each, "k int, v binary").repartition(parts, "k").mapInArrow(merge, "k int, v binary")
     return {r["k"]: np.frombuffer(r["v"]) for r in found.collect()}
 
@@ -95,19 +96,21 @@ def _sent(held):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.ascontiguousarray(v, float).tobytes() for v in held.values()], pa.binary())], ["k", "v"])
 
 
-def _scalers(blocks: DataFrame, classes: list[int]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, np.ndarray]]:
-    """part -> (means, scales) with a row for each weight group, and part -> the weight of each class in each group."""
-    plain = _summed(blocks, lambda part, y, x, w: [(part, np.r_[len(x), x.sum(0)])])
+def _scalers(blocks: DataFrame, classes: list[int], parts: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """part -> (means, scales) with a row for each weight group, part -> the weight of each class in each group, and part -> the covariance of its rows,
+    each counted once (d x d values a part)."""
+    plain = _summed(blocks, lambda part, y, x, w: [(part, np.r_[len(x), x.sum(0)])], parts)
     shift = {part: s[1:] / s[0] for part, s in plain.items()}
 
     def moments(part, y, x, w):
         apart = x - shift[part]
         by = np.stack([w[y == c].sum(0) for c in classes])
-        return [(part, np.concatenate([by.ravel(), (w.T @ apart).ravel(), (w.T @ (apart * apart)).ravel()]))]
+        return [(part, np.concatenate([(apart.T @ apart).ravel(), by.ravel(), (w.T @ apart).ravel(), (w.T @ (apart * apart)).ravel()]))]
 
-    scales, weights = {}, {}
-    for part, s in _summed(blocks, moments).items():
+    scales, weights, together = {}, {}, {}
+    for part, s in _summed(blocks, moments, parts).items():
         d = len(shift[part])
+        together[part], s = s[: d * d].reshape(d, d) / plain[part][0], s[d * d :]
         groups = len(s) // (len(classes) + 2 * d)
         by, first, second = np.split(s, [len(classes) * groups, (len(classes) + d) * groups])
         by, first, second = by.reshape(-1, groups), first.reshape(groups, d), second.reshape(groups, d)
@@ -116,19 +119,33 @@ def _scalers(blocks: DataFrame, classes: list[int]) -> tuple[dict[int, tuple[np.
         level = np.abs(shift[part]) + np.abs(first / n) + deviation.max(initial=0)
         scales[part] = shift[part] + first / n, np.where(deviation > 1e-12 * level, deviation, 1.0)
         weights[part] = by
-    return scales, weights
+    return scales, weights, together
+
+
+def _axes(covariance: np.ndarray, scale: np.ndarray, penalty: float, classes: int) -> np.ndarray:
+    """A triangle T: with coefficients w = v @ T the loss bends about equally in all directions of v. The bend is bounded by the features'
+    covariance times the largest product of two probabilities, and the penalty; only the speed depends on how good this guess is."""
+    d = len(scale)
+    bend = covariance / np.outer(scale, scale) / max(2, classes) + (penalty + 1e-9) * np.eye(d)
+    return np.linalg.inv(np.linalg.cholesky(bend))
 
 
 class _Descent:
-    """L-BFGS of one model, fed with the loss and gradient at the point it asks for."""
+    """L-BFGS of one model, fed with the loss and gradient at the point it asks for, both in coordinates of its own: coefficients (classes, features and
+    intercept) are ``at`` @ ``axes``."""
 
-    def __init__(self, size: int):
+    def __init__(self, axes: np.ndarray, classes: int):
+        size, self.axes = classes * len(axes), axes
         self.at, self.x = np.zeros(size), None
         self.f, self.g, self.step, self.length, self.still, self.steps, self.done = np.inf, None, None, 1.0, 0, 0, False
         self.pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
 
-    def told(self, f: float, g: np.ndarray) -> None:
-        """Value at ``at``: go on from there if it is low enough, else try a shorter step."""
+    def coefficients(self) -> np.ndarray:
+        return self.at.reshape(-1, len(self.axes)) @ self.axes
+
+    def told(self, f: float, slopes: np.ndarray) -> None:
+        """Value at ``at``, and slopes by coefficients: go on from there if it is low enough, else try a shorter step."""
+        g = (slopes @ self.axes.T).ravel()
         if self.x is not None and not f <= self.f + 1e-4 * self.length * (self.g @ self.step):
             slope = self.length * (self.g @ self.step)
             best = -slope / (2 * (f - self.f - slope)) if np.isfinite(f) else 0.1
@@ -142,7 +159,7 @@ class _Descent:
                 self.pairs = [*self.pairs[-MEMORY + 1 :], (moved, turned, 1 / bend)]
             self.still = self.still + 1 if self.f - f <= PROGRESS * max(abs(f), 1e-3) else 0
         self.x, self.f, self.g, self.steps = self.at, f, g, self.steps + 1
-        self.done = np.abs(g).max(initial=0) <= TOLERANCE or self.still >= 3 or self.steps > MAX_STEPS
+        self.done = np.abs(slopes).max(initial=0) <= TOLERANCE or self.still >= 3 or self.steps > MAX_STEPS
         q, shares = g.copy(), []
         for moved, turned, r in reversed(self.pairs):
             shares.append(r * (moved @ q))
@@ -161,16 +178,21 @@ def fit_many(blocks: DataFrame, models: list[Model]) -> Fitted:
     labels = set().union(*(np.frombuffer(r["y"], np.int64).tolist() for r in _label_blocks(blocks).collect()))
     classes = sorted(labels)
     number = np.array(classes)
-    scales, weights = _scalers(blocks, classes)
+    scales, weights, together = _scalers(blocks, classes, len({m.part for m in models}))
     out = Fitted(models, classes, [None] * len(models), [None] * len(models))
     seen = [weights[m.part][:, m.weight] > 0 for m in models]
     total = [weights[m.part][:, m.weight].sum() for m in models]
     scaler = [(scales[m.part][0][m.scaler], scales[m.part][1][m.scaler]) for m in models]
-    descents = [_Descent(int(s.sum()) * (len(mean) + 1)) for s, (mean, _) in zip(seen, scaler)]
+    penalties = [1 / (m.c * n) if n else 1.0 for m, n in zip(models, total)]
+    descents = []
+    for m, s, (_, scale), penalty in zip(models, seen, scaler, penalties):
+        axes = np.eye(len(scale) + 1) * np.sqrt(max(2, s.sum()))  # of the intercept, whose feature is 1
+        axes[:-1, :-1] = _axes(together[m.part], scale, penalty, int(s.sum()))
+        descents.append(_Descent(axes, int(s.sum())))
 
     def unscaled(i: int) -> tuple[np.ndarray, np.ndarray]:
         mean, scale = scaler[i]
-        own = descents[i].at.reshape(-1, len(mean) + 1)
+        own = descents[i].coefficients()
         a = own[:, :-1] / scale
         return a, own[:, -1] - a @ mean
 
@@ -197,17 +219,17 @@ def fit_many(blocks: DataFrame, models: list[Model]) -> Fitted:
                 p *= ws[:, None]
                 yield i, np.concatenate([[loss], (p.T @ xs).ravel(), p.sum(0)])
 
-        got = _summed(blocks, value)
+        got = _summed(blocks.filter(F.col("part").isin(list(of_part))), value, len(active))  # parts that are done are not read again
         sent.unpersist()
         out.passes += 1
         for i in active:
             mean, scale = scaler[i]
-            d, k, penalty = len(mean), int(seen[i].sum()), 1 / (models[i].c * total[i])
+            d, k, penalty = len(mean), int(seen[i].sum()), penalties[i]
             s = got.get(i, np.zeros(1 + k * (d + 1))) / max(total[i], 1e-300)
             ga, gb = s[1 : 1 + k * d].reshape(k, d), s[1 + k * d :]
-            own = descents[i].at.reshape(k, d + 1)
+            own = descents[i].coefficients()
             g = np.hstack([(ga - np.outer(gb, mean)) / scale + penalty * own[:, :-1], gb[:, None]])
-            descents[i].told(s[0] + penalty / 2 * (own[:, :-1] ** 2).sum(), g.ravel())
+            descents[i].told(s[0] + penalty / 2 * (own[:, :-1] ** 2).sum(), g)
     for i, d in enumerate(descents):
         d.at = d.x if d.x is not None else d.at
         a, b = unscaled(i)
