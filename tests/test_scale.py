@@ -197,6 +197,22 @@ def test_what_a_search_exchanges_grows_as_the_rows_do(spark, monkeypatch):
     assert used[1] < 10 * used[0]  # eight times the rows; with a copy for each pair of tiles 20 times
 
 
+def test_a_search_writes_no_more_than_the_nearest_rows(spark, monkeypatch):
+    """k rows a query, in however many blocks rows were compared, with a first pass and without."""
+    for name, value in (("QUERY_TILE", 16), ("TRAIN_TILE", 16), ("CELL_ROWS", 16), ("CENTRES", 4)):
+        monkeypatch.setattr(probe, name, value)
+    x, kept, write = np.random.default_rng(9).normal(size=(600, 8)), [], probe.written
+    monkeypatch.setattr(probe, "written", lambda df, what, *of: kept.append((what, write(df, what, *of))) or kept[-1][1])
+    rows = storage.written(spark.createDataFrame([(i, i % 3, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>"), "rows")
+    own = np.flatnonzero(np.arange(600) % 4 > 0)
+    for least in (2, 10_000):
+        monkeypatch.setattr(probe, "LEAST_CELLS", least)
+        found = probe.neighbours(rows.filter("row_id % 4 = 0"), rows.filter("row_id % 4 > 0"), 5).orderBy("q", "rank").toPandas()
+        assert [df.count() for what, df in kept if what == "nearest"] == [750]
+        assert found.train_id.to_numpy().reshape(150, 5).tolist() == own[np.array(_brute(x[::4], x[own], 5))].tolist()
+        kept.clear()
+
+
 def test_bootstrapped_neighbours_are_not_multiplied_by_repetitions(spark, monkeypatch):
     """Fifty times the repetitions exchange less than eleven times as much, and the votes are those of lists redrawn one by one, also where all lists are asked for again."""
     rng = np.random.default_rng(4)

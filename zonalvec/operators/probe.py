@@ -137,9 +137,13 @@ def _dealt(left: DataFrame, right: DataFrame, down: int, across: int, on: tuple[
     return a.join(b, [*on, "_down", "_across"]).drop("_down", "_across")
 
 
+def _rounded(cosines: np.ndarray) -> np.ndarray:
+    """Rounded distances of cosines, in units of 10**-DIGITS."""
+    return np.rint((1.0 - cosines) * 10**DIGITS).astype(np.int64)
+
+
 def _near(vectors: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Rounded distances of queries and training rows, in units of 10**-DIGITS."""
-    return np.rint((1.0 - vectors @ known.T) * 10**DIGITS).astype(np.int64)
+    return _rounded(vectors @ known.T)
 
 
 def _matrices(pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,6 +244,7 @@ class _Nearest:
         if row.cut is not None:
             self.cut, self.last = np.frombuffer(row.cut, np.int64).astype(float), np.frombuffer(row.last, np.int64).copy()
         self.found = np.zeros((4, 0), np.int64)  # query's place, distance, id, label
+        self.new, self.waiting = [], 0  # what was found since, and how many rows that is
 
     def meets(self, tile, ids, labels, known) -> bool:
         """Compare with a training tile; whether any query was."""
@@ -250,23 +255,37 @@ class _Nearest:
         at = np.flatnonzero(may)
         if not len(at):
             return False
-        near = _near(self.vectors[at], known)
-        if np.isinf(self.cut[at]).any():
-            best = _best(self.k, ids, labels, near)
+        cosines, cut = self.vectors[at] @ known.T, self.cut[at]
+        unbounded = np.isinf(cut).any()
+        if unbounded:
+            best = _best(self.k, ids, labels, _rounded(cosines))
             new = np.stack([np.repeat(at, best[0].shape[1]), *(x.ravel() for x in best)])
         else:
-            q, column = np.nonzero(near <= self.cut[at][:, None])
-            new = np.stack([at[q], near[q, column], ids[column], labels[column]])
-        both = np.concatenate([self.found, new], axis=1)
+            # Only rows that may be near enough are rounded, which adds half a unit at most.
+            q, column = np.nonzero(cosines >= 1.0 - (cut[:, None] + 1) / 10**DIGITS)
+            near = _rounded(cosines[q, column])
+            some = near <= cut[q]
+            q, column = q[some], column[some]
+            new = np.stack([at[q], near[some], ids[column], labels[column]])
+        self.new.append(new)
+        self.waiting += new.shape[1]
+        if unbounded or 4 * self.waiting >= self.k * len(self.ids):
+            self.sort()
+        return True
+
+    def sort(self) -> None:
+        """Put what was found since the last time in order, keep k rows a query, and lower the bounds."""
+        both = np.concatenate([self.found, *self.new], axis=1)
+        self.new, self.waiting = [], 0
         both = both[:, np.lexsort((both[2], both[1], both[0]))]
         place = np.arange(both.shape[1]) - np.searchsorted(both[0], both[0])
         self.found, place = both[:, place < self.k], place[place < self.k]
         q, dist, last, _ = self.found[:, place == self.k - 1]
         less = (dist < self.cut[q]) | ((dist == self.cut[q]) & (last < self.last[q]))
         self.cut[q[less]], self.last[q[less]] = dist[less], last[less]
-        return True
 
     def rows(self, grp: int, key: int) -> pd.DataFrame:
+        self.sort()
         q, dist, ids, labels = self.found
         some = dist <= self.cut[q]
         return pd.DataFrame({"grp": grp, "key": key, "q": self.ids[q[some]], "train_id": ids[some], "label": labels[some], "dist": dist[some] / 10**DIGITS})
@@ -368,17 +387,18 @@ def searched(test: DataFrame, train: DataFrame, k: int, key: str | None = None,
     parts = lambda n, per: max(1, -(-n // per))
     total = queries.select("grp").join(known.select("grp"), "grp").count() if counted else None
     if not centres:
-        found = written(_compared(_beside(_unbounded(queries), known, queries), k, False), "nearest")
+        found = written(_ranked(_compared(_beside(_unbounded(queries), known, queries), k, False), k, key, group), "nearest")
         dropped(queries, known)
-        return Searched(_ranked(found, k, key, group), total, total)
+        return Searched(found, total, total)
     picks = _first_tiles(queries, _packs(known), k, parts(n_queries, QUERY_TILES * 64), parts(n_known, PACK * PACKS))
     first = _first(queries, known, picks, k)
     count = test.sparkSession.sparkContext.accumulator(0) if counted else None
     bounded = first.withColumnsRenamed({"q_tile": "tile", "q_ids": "ids", "q_vectors": "vectors"})
-    found = written(_flat(first).unionByName(_compared(_beside(bounded, known, queries), k, True, count)), "nearest")
+    found = _flat(first).unionByName(_compared(_beside(bounded, known, queries), k, True, count))
+    found = written(_ranked(found, k, key, group), "nearest")  # k rows a query and key, not those of each block
     compared = picks.count() + count.value if counted else None
     dropped(queries, known, picks, first)
-    return Searched(_ranked(found, k, key, group), total, compared)
+    return Searched(found, total, compared)
 
 
 def _ranked(found: DataFrame, k: int, key: str | None, group: str | None) -> DataFrame:
