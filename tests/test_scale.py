@@ -213,6 +213,23 @@ def test_a_search_writes_no_more_than_the_nearest_rows(spark, monkeypatch):
         kept.clear()
 
 
+def test_all_pairs_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    for name, value in (("QUERY_TILE", 8), ("TRAIN_TILE", 8), ("BLOCKS", 1)):
+        monkeypatch.setattr(probe, name, value)
+    monkeypatch.setattr(probe, "PAIRS", 500, raising=False)
+    x = np.random.default_rng(10).normal(size=(240, 4))
+    rows = storage.written(spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>"), "rows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = probe.distances(rows.filter("row_id % 4 = 0"), rows.filter("row_id % 4 > 0")).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(pairs) == len(pairs.drop_duplicates(["q", "train_id"])) == 60 * 180
+    assert pairs.groupby("task").size().max() < 60 * 180 / 4  # one block held all pairs
+
+
 def test_bootstrapped_neighbours_are_not_multiplied_by_repetitions(spark, monkeypatch):
     """Fifty times the repetitions exchange less than eleven times as much, and the votes are those of lists redrawn one by one, also where all lists are asked for again."""
     rng = np.random.default_rng(4)
