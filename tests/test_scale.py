@@ -230,6 +230,22 @@ def test_all_pairs_are_spread_over_tasks_by_their_number(spark, monkeypatch):
     assert pairs.groupby("task").size().max() < 60 * 180 / 4  # one block held all pairs
 
 
+def test_all_pairs_exchange_each_tile_once(spark, monkeypatch):
+    for name, value in (("QUERY_TILE", 8), ("TRAIN_TILE", 8), ("BLOCKS", 1), ("PAIRS", 8000)):
+        monkeypatch.setattr(probe, name, value)
+    rng, used = np.random.default_rng(12), []
+    for n in (240, 1920):
+        x = rng.normal(size=(n, 64))
+        rows = storage.written(spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, label int, features array<double>"), "rows")
+        before = _shuffled(spark)
+        pairs = probe.distances(rows.filter("row_id % 4 = 0"), rows.filter("row_id % 4 > 0")).toPandas()
+        used.append(_shuffled(spark) - before)
+        assert len(pairs) == len(pairs.drop_duplicates(["q", "train_id"])) == (n // 4) * (n - n // 4)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert np.abs(1 - (x[pairs.q] * x[pairs.train_id]).sum(1) - pairs.dist).max() < 1e-9
+    assert used[1] < 12 * used[0]  # eight times the rows; dealt to blocks, each with a copy, more and more copies
+
+
 def test_bootstrapped_neighbours_are_not_multiplied_by_repetitions(spark, monkeypatch):
     """Fifty times the repetitions exchange less than eleven times as much, and the votes are those of lists redrawn one by one, also where all lists are asked for again."""
     rng = np.random.default_rng(4)
